@@ -6,7 +6,11 @@ import importlib
 
 #: query name -> module that holds the function of that name
 NAMES = {
+    "op10_toxicity": "toxicity",
+    "op3_decontamination": "phrase_index",
+    "op4_line_dedup": "line_dedup",
     "op5_token_counts": "token_counts",
+    "op6_simhash": "simhash",
     "op8_byte_bpe": "byte_bpe",
 }
 
