@@ -11,6 +11,7 @@ NAMES = {
     "op4_line_dedup": "line_dedup",
     "op5_token_counts": "token_counts",
     "op6_simhash": "simhash",
+    "op7_topk": "topk",
     "op8_byte_bpe": "byte_bpe",
 }
 

@@ -1,8 +1,8 @@
 """Operator 10: toxic passages as maximum-scoring segments, calibrated by extreme values.
 
-Token scores are log-odds between toxic and clean labelled texts under an
-informative Dirichlet prior (Monroe et al. 2008), lowered by their standard
-error; a word too rare to tell takes the score of its first five or four
+Token scores are log-odds of occurring in toxic and in clean labelled texts
+under an informative Dirichlet prior (Monroe et al. 2008), lowered by their
+standard error, from the number of texts that hold the token; a word too rare to tell takes the score of its first five or four
 letters if many different words agree on them.  Every token also pays a drift,
 so clean text runs downhill, and one linear scan (Ruzzo and Tompa 1999) finds
 all maximal segments.  By Karlin-Altschul statistics a segment of score S in a
@@ -38,12 +38,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .phrase_index import words_of
+from . import phrase_index
 from .simhash import shingle_hashes
 
 THRESHOLD = 0.3
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-case runs of letters and digits."""
+    return phrase_index.words_of((text or "").lower())
+
+
 @dataclass
 class Model:
     words: dict[str, float] = field(default_factory=dict)
@@ -129,24 +134,26 @@ def _min_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(keep: set):
+    """Texts that hold a word (kind 0) or a long word's first 4 or 5 letters, by label; ``many``: different words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
         for b in batches:
             for d, t, y in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if d not in keep:
                     continue
-                here: dict = {}
-                for w in words_of(t):
-                    here[w] = here.get(w, 0) + 1
-                for w, n in here.items():
-                    c = seen.get(w)
+                words = {w.decode() for w in words_of(t)}
+                keys = {(0, w) for w in words} | {(k, w[:k]) for w in words if len(w) > 5 for k in (4, 5)}
+                for key in keys:
+                    c = seen.get(key)
                     if c is None:
-                        c = seen[w] = [0, 0, 0, 0]
-                    c[1 - y] += n
-                    c[3 - y] += 1
-        words = [w.decode() for w in seen]
-        table = np.array(list(seen.values()), np.int64).reshape(-1, 4)
-        yield pa.record_batch([pa.array(words, pa.string()), *[pa.array(table[:, k].copy()) for k in range(4)]], names=["word", "yt", "yn", "dt", "dn"])
+                        c = seen[key] = [0, 0]
+                    c[1 - y] += 1
+        table = np.array(list(seen.values()), np.int64).reshape(-1, 2)
+        yield pa.record_batch(
+            [pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.string()), pa.array(table[:, 0].copy()), pa.array(table[:, 1].copy())],
+            names=["kind", "word", "yt", "yn"],
+        )
 
     return run
 
@@ -182,23 +189,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = (ys[1] + 0.5) / (ys[0] + ys[1] + 1)
     if not (ys[0] and ys[1]):
         return Model(slope=0.0, intercept=log(share / (1 - share)))
-    counts = train.mapInArrow(_count(kept), "word string, yt long, yn long, dt long, dn long")
-    counts = common.materialize(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("yt", "yn", "dt", "dn")]), "toxic-counts")
+    counts = train.mapInArrow(_count(kept), "kind int, word string, yt long, yn long")
+    counts = common.materialize(counts.groupBy("kind", "word").agg(F.sum("yt").alias("yt"), F.sum("yn").alias("yn")), "toxic-counts")
+    every, counts = counts, counts.filter("kind = 0")
     nt, nn = (float(x or 0) for x in counts.agg(F.sum("yt"), F.sum("yn")).first())
     odds, err = _log_odds(F.col("yt"), F.col("yn"), nt, nn, prior)
     low = odds - 1.645 * err
-    words = {r[0]: r[1] for r in counts.filter(F.col("dt") >= least_docs).select("word", low.alias("s")).filter("s > 1").collect()}
+    q = ys[1] / (ys[0] + ys[1])
+
+    def telling(found: DataFrame) -> dict[str, float]:
+        """Of keys in enough toxic texts, those whose share of toxic texts chance does not explain (Chernoff, Bonferroni)."""
+        n, r = F.col("yt") + F.col("yn"), F.col("yt") / (F.col("yt") + F.col("yn"))
+        clean = F.when(F.col("yn") > 0, F.col("yn") * F.log((1 - r) / (1 - q))).otherwise(0.0)
+        tested = max(1, found.count())
+        some = found.filter((F.col("yt") > q * n) & (F.col("yt") * F.log(r / q) + clean > log(tested / 0.05)))
+        return {x[0]: x[1] for x in some.select("word", low.alias("s")).filter("s > 0.5").collect()}
+
+    words = telling(counts.filter(F.col("yt") >= least_docs))
     prefixes: dict[str, float] = {}
     for size in (4, 5):
-        p = counts.filter(F.length("word") > 5).groupBy(F.substring("word", 1, size).alias("p"))
-        p = p.agg(*[F.sum(c).alias(c) for c in ("yt", "yn", "dt")], F.count(F.when(F.col("yt") > 0, 1)).alias("many"))
-        p = p.filter((F.col("many") >= 5) & (F.col("dt") >= 2 * least_docs)).select("p", low.alias("s")).filter("s > 2.5")
-        prefixes |= {r[0]: r[1] for r in p.collect()}
+        many = counts.filter((F.length("word") > 5) & (F.col("yt") > 0)).groupBy(F.substring("word", 1, size).alias("word")).agg(F.count(F.lit(1)).alias("many"))
+        prefixes |= telling(every.filter((F.col("kind") == size) & (F.col("yt") >= least_docs)).join(many.filter("many >= 3"), "word"))
     if prefixes:  # words that clean texts do hold keep their own odds
         guard = counts.filter((F.length("word") > 5) & (F.col("yn") > 0)).filter(
             F.substring("word", 1, 5).isin(list(prefixes)) | F.substring("word", 1, 4).isin(list(prefixes))
         )
-        for w, s in guard.select("word", F.least(odds, low)).collect():
+        for w, s in guard.select("word", odds).collect():
             words.setdefault(w, min(s, 0.0))
     model = Model(words=words, prefixes=prefixes)
     model.lam = _karlin(counts, model, nn)
