@@ -6,6 +6,8 @@ import importlib
 
 #: query name -> module that holds the function of that name
 NAMES = {
+    "op1_main_text": "main_text",
+    "op2_warc": "warc",
     "op10_toxicity": "toxicity",
     "op3_decontamination": "phrase_index",
     "op4_line_dedup": "line_dedup",
