@@ -302,19 +302,23 @@ def decode_column(ids: Column | str, rank_file: str | None = None, pattern: str
     return text(ids)
 
 
-def encode_digests(docs: DataFrame, text_col: str = "text", rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``docs`` with n_tokens, ids_sha256 and decoded_sha256, from one pass over the texts."""
+def encode_digests(docs: DataFrame, text_col: str = "text", rank_file: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """``docs`` with n_tokens, ids_sha256 and decoded_sha256 (and ``ids``), from one pass over the texts."""
     rank_file, pattern = rank_file or default_ranks(), pattern or default_pattern()
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = encoder(rank_file, pattern)
         for s in batches:
-            rows = [(len(x), hashlib.sha256(t.encode()).hexdigest(), hashlib.sha256(e.decode(x)).hexdigest()) for t, x in e.encode_texts(s)]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = [
+                (len(x), hashlib.sha256(t.encode()).hexdigest(), hashlib.sha256(e.decode(x)).hexdigest(), *[x.astype(np.int32)] * with_ids)
+                for t, x in e.encode_texts(s)
+            ]
+            yield pd.DataFrame(rows, columns=names)
 
     out = docs.withColumn("_bpe", digest(F.coalesce(F.col(text_col), F.lit(""))))
-    for c in ("n_tokens", "ids_sha256", "decoded_sha256"):
+    for c in names:
         out = out.withColumn(c, F.col(f"_bpe.{c}"))
     return out.drop("_bpe")
 

@@ -298,3 +298,170 @@ def near_duplicates(
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
+# ---------------------------------------------------------------- similar texts
+
+
+def _views(hashes: np.ndarray, views: int) -> list[int]:
+    """Independent fingerprints of the same shingles: their hashes mixed anew for each view."""
+    out = []
+    for k in range(views):
+        x = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(fingerprint(x ^ (x >> np.uint64(29))))
+    return out
+
+
+def _sketch(shingle: int, views: int):
+    def sketch(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in s:
+            words = words_of(t)
+            rows.append((xxhash.xxh3_64_intdigest(b" ".join(words)), *_views(shingle_hashes(words, shingle), views)))
+        a = np.array(rows, np.uint64).reshape(-1, views + 1).view(np.int64)
+        return pd.DataFrame({"node": a[:, 0], **{f"f{k}": a[:, k + 1] for k in range(views)}})
+
+    return F.pandas_udf(sketch, "node long, " + ", ".join(f"f{k} long" for k in range(views)))
+
+
+def sampled_masks(n: int, similarity: float, recall: float, views: int) -> tuple[int, int]:
+    """(bits a filing keeps, filings per view): wide enough for ``n`` texts, enough for ``recall`` at ``similarity``.
+
+    Texts of Jaccard similarity s have cosine near 2s / (1 + s), and differ in
+    each bit with probability arccos(cosine) / pi.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = int(np.clip(np.ceil(np.log2(max(n, 2))) - 3, 12, 40))
+    tables = int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - p) ** bits))))
+    return bits, -(-tables // views)
+
+
+def _file_views(masks: list[list[int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node = b.column(0)
+            for v, ms in enumerate(masks):
+                fp = b.column(v + 1).to_numpy(zero_copy_only=False).view(np.uint64)
+                for m in np.array(ms, np.uint64):
+                    bucket = _bucket(np.full(len(fp), m), fp & m) + np.uint64(v)
+                    yield pa.record_batch([pa.array(bucket.view(np.int64)), pa.array(fp.view(np.int64)), node], names=["b", "fp", "node"])
+
+    return run
+
+
+def _nearest(max_bits: int, rows: int = 100_000):
+    """Of each bucket's members: the nearest other one, and the nearest of those before, within ``max_bits``."""
+
+    def runs(b, f, n):
+        edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
+        size = np.diff(edge)
+        us, vs = [], []
+        two = edge[:-1][size == 2]
+        two = two[np.bitwise_count(f[two] ^ f[two + 1]) <= max_bits]
+        us.append(n[two])
+        vs.append(n[two + 1])
+        for a, s in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            x, y = f[a : a + s], n[a : a + s]
+            for k in range(0, s, 256):
+                rows_ = np.arange(k, min(s, k + 256))
+                d = np.bitwise_count(x[rows_, None] ^ x[None, :]).astype(np.int16)
+                d[np.arange(len(rows_)), rows_] = 99
+                for w in (d, np.where(np.arange(s)[None, :] < rows_[:, None], d, 99)):
+                    at = w.argmin(1)
+                    ok = w[np.arange(len(rows_)), at] <= max_bits
+                    us.append(y[rows_[ok]])
+                    vs.append(y[at[ok]])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        return pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        for b in batches:
+            new = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            held = [np.concatenate(x) for x in zip(held, (new[0], new[1].view(np.uint64), new[2]), strict=True)]
+            if len(held[0]) >= rows:
+                cut = int(np.searchsorted(held[0], held[0][-1]))
+                if cut:
+                    yield runs(*[x[:cut] for x in held])
+                    held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield runs(*held)
+
+    return run
+
+
+def _alike(shingle: int):
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            s, t = (np.unique(shingle_hashes(words_of(w), shingle)) for w in (x, y))
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            out.append(both / max(1, len(s) + len(t) - both))
+        return pd.Series(out, dtype=float)
+
+    return F.pandas_udf(jaccard, "double")
+
+
+def duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
+    recall: float = 0.98, views: int = 2, max_bits: int = 22, bucket_cap: int = 4096, broadcast_rows: int = 200_000,
+) -> tuple[DataFrame, bool]:
+    """Rows that repeat an earlier text: (_k, _t) of all rows but one of each group, and whether a row is repeated.
+
+    Texts of ``similarity`` or more (Jaccard, ``shingle``-word shingles) differ
+    in up to a third of the fingerprint's bits, beyond any affordable
+    pigeonhole; so fingerprints are filed under sampled bits (``sampled_masks``),
+    each member of a bucket is paired with its nearest, and every pair is
+    verified on the whole texts.  Equal texts collapse before.  Buckets above
+    the cap are dealt into several by a hash.  Of each group the row with the
+    smallest id (nulls last, then by text hash) stays.
+    """
+    spark = docs.sparkSession
+    key = common.row_key(id_col, text_col)
+    rows = docs.select(*key, F.col(id_col).cast("long").alias("_d"), _sketch(shingle, views)(F.col(text_col)).alias("_s")).select("_k", "_t", "_d", "_s.*")
+    rows = common.materialize(rows, "sketches")
+    fps = [f"f{k}" for k in range(views)]
+    least = F.min(F.struct(F.col("_d").isNull().alias("_n"), "_d", "_t", "_k"))
+    nodes = common.materialize(rows.groupBy("node").agg(*[F.first(f).alias(f) for f in fps], least.alias("_first")), "distinct-texts")
+    n = nodes.count()
+    bits, tables = sampled_masks(n, similarity, recall, views)
+    rng = np.random.default_rng(7)
+    masks = [[sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)] for _ in range(views)]
+    filed = nodes.select("node", *fps).mapInArrow(_file_views(masks), "b long, fp long, node long")
+    big = common.materialize(filed.groupBy("b").count().filter(F.col("count") > bucket_cap), "big-buckets")
+    many = big.count()
+    if many:
+        big = F.broadcast(big) if many <= broadcast_rows else big
+        parts = F.ceil(F.col("count") / bucket_cap)
+        share = F.pmod(F.xxhash64("node", "b"), F.coalesce(parts, F.lit(1)))
+        filed = filed.join(big, "b", "left").select(F.when(F.col("count").isNull(), F.col("b")).otherwise(F.xxhash64("b", share)).alias("b"), "fp", "node")
+    pairs = filed.repartition("b").sortWithinPartitions("b", "fp").mapInArrow(_nearest(max_bits), "u long, v long")
+    pairs = common.materialize(pairs.distinct(), "near-pairs")
+    seen = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    named = nodes.join(seen, "node", "left_semi").select("node", F.col("_first._k").alias("_k"), F.col("_first._t").alias("_t"))
+    texts = docs.select(*key, F.col(text_col).alias("_text")).join(named, ["_k", "_t"]).dropDuplicates(["node"]).select("node", "_text")
+    texts = common.materialize(texts, "near-texts")
+    both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v")
+    links = both.filter(_alike(shingle)(F.col("a"), F.col("b")) >= similarity).select("u", "v")
+    roots = components(links)
+    joined = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "_first")
+    best = joined.groupBy("root").agg(F.min("_first").alias("_best"))
+    keep = joined.join(best, "root").select("node", F.col("_best._k").alias("_bk"), F.col("_best._t").alias("_bt"))
+    marked = rows.join(keep, "node")
+    drops = common.materialize(marked.filter((F.col("_k") != F.col("_bk")) | (F.col("_t") != F.col("_bt"))).select("_k", "_t").distinct(), "drops")
+    repeated = rows.groupBy("_k", "_t").count().filter("count > 1").limit(1).count() > 0
+    return drops, repeated
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000, **how) -> DataFrame:
+    """One row of each group of near copies, with all its columns."""
+    drops, repeated = duplicates(docs, id_col, text_col, broadcast_rows=broadcast_rows, **how)
+    drops = F.broadcast(drops) if drops.count() <= broadcast_rows else drops
+    key = common.row_key(id_col, text_col)
+    out = docs.withColumn("_k", key[0]).withColumn("_t", key[1]).join(drops, ["_k", "_t"], "left_anti")
+    if repeated:
+        out = out.dropDuplicates(["_k", "_t"])
+    return out.select(*docs.columns)
