@@ -8,6 +8,7 @@ import importlib
 NAMES = {
     "op1_main_text": "main_text",
     "op2_warc": "warc",
+    "op9_id_files": "id_files",
     "op10_toxicity": "toxicity",
     "op3_decontamination": "phrase_index",
     "op4_line_dedup": "line_dedup",
