@@ -221,7 +221,7 @@ def decode_blocks(words: list[np.ndarray], n: int, id_bits: int) -> np.ndarray:
             rng[lit] = r * f.astype(np.uint64)
         k = np.flatnonzero(rng <= _LOW32)
         if len(k):
-            gap[k] = gap[k] << _32 | flat[at[k]]
+            gap[k] = gap[k] << _32 | flat[np.minimum(at[k], len(flat) - 1)]  # a damaged block may run on
             at[k] += 1
             rng[k] <<= _32
         ids[i] = x
