@@ -65,8 +65,8 @@ class Model:
         s = self.words.get(w)
         if s is None and len(w) > 5:
             s = self.prefixes.get(w[:5])
-            if s is None:
-                s = self.prefixes.get(w[:4])
+        if s is None and len(w) > 4:
+            s = self.prefixes.get(w[:4])
         return (s or 0.0) - self.drift
 
 
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         many = counts.filter((F.length("word") > 5) & (F.col("yt") > 0)).groupBy(F.substring("word", 1, size).alias("word")).agg(F.count(F.lit(1)).alias("many"))
         prefixes |= telling(every.filter((F.col("kind") == size) & (F.col("yt") >= least_docs)).join(many.filter("many >= 3"), "word"))
     if prefixes:  # words that clean texts do hold keep their own odds
-        guard = counts.filter((F.length("word") > 5) & (F.col("yn") > 0)).filter(
+        guard = counts.filter((F.length("word") > 4) & (F.col("yn") > 0)).filter(
             F.substring("word", 1, 5).isin(list(prefixes)) | F.substring("word", 1, 4).isin(list(prefixes))
         )
         for w, s in guard.select("word", odds).collect():
