@@ -338,82 +338,128 @@ def sampled_masks(n: int, similarity: float, recall: float, views: int) -> tuple
 
 
 def _file_views(masks: list[list[int]]):
+    """Rows (bucket, fingerprints of all views, node), a filing for each mask of each view."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node = b.column(0)
+            node, fps = b.column(0), [b.column(v + 1) for v in range(len(masks))]
             for v, ms in enumerate(masks):
-                fp = b.column(v + 1).to_numpy(zero_copy_only=False).view(np.uint64)
+                fp = fps[v].to_numpy(zero_copy_only=False).view(np.uint64)
                 for m in np.array(ms, np.uint64):
                     bucket = _bucket(np.full(len(fp), m), fp & m) + np.uint64(v)
-                    yield pa.record_batch([pa.array(bucket.view(np.int64)), pa.array(fp.view(np.int64)), node], names=["b", "fp", "node"])
+                    yield pa.record_batch([pa.array(bucket.view(np.int64)), *fps, node], names=["b", *[f"f{k}" for k in range(len(fps))], "node"])
 
     return run
 
 
 def _nearest(max_bits: int, rows: int = 100_000):
-    """Of each bucket's members: the nearest other one, and the nearest of those before, within ``max_bits``."""
+    """Of each bucket's members: the nearest other one, and the nearest of those before, within ``max_bits`` over all views."""
 
-    def runs(b, f, n):
+    def runs(b, fps, n):
         edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
         size = np.diff(edge)
-        us, vs = [], []
         two = edge[:-1][size == 2]
-        two = two[np.bitwise_count(f[two] ^ f[two + 1]) <= max_bits]
-        us.append(n[two])
-        vs.append(n[two + 1])
+        two = two[sum(np.bitwise_count(f[two] ^ f[two + 1]).astype(np.int16) for f in fps) <= max_bits]
+        us, vs, ds = [n[two]], [n[two + 1]], [sum(np.bitwise_count(f[two] ^ f[two + 1]).astype(np.int16) for f in fps)]
         for a, s in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            x, y = f[a : a + s], n[a : a + s]
+            y = n[a : a + s]
             for k in range(0, s, 256):
-                rows_ = np.arange(k, min(s, k + 256))
-                d = np.bitwise_count(x[rows_, None] ^ x[None, :]).astype(np.int16)
-                d[np.arange(len(rows_)), rows_] = 99
-                for w in (d, np.where(np.arange(s)[None, :] < rows_[:, None], d, 99)):
+                at_once = np.arange(k, min(s, k + 256))
+                d = sum(np.bitwise_count(f[a + at_once, None] ^ f[None, a : a + s]).astype(np.int16) for f in fps)
+                d[np.arange(len(at_once)), at_once] = 9999
+                for w in (d, np.where(np.arange(s)[None, :] < at_once[:, None], d, 9999)):
                     at = w.argmin(1)
-                    ok = w[np.arange(len(rows_)), at] <= max_bits
-                    us.append(y[rows_[ok]])
+                    least = w[np.arange(len(at_once)), at]
+                    ok = least <= max_bits
+                    us.append(y[at_once[ok]])
                     vs.append(y[at[ok]])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+                    ds.append(least[ok])
+        u, v, d = (np.concatenate(x) for x in (us, vs, ds))
+        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v), d.astype(np.int64)], 1), axis=0)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        return pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
+        return pa.record_batch([pa.array(pairs[:, k].copy()) for k in range(3)], names=["u", "v", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        held: list[np.ndarray] = []
         for b in batches:
-            new = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            held = [np.concatenate(x) for x in zip(held, (new[0], new[1].view(np.uint64), new[2]), strict=True)]
+            new = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             if len(held[0]) >= rows:
                 cut = int(np.searchsorted(held[0], held[0][-1]))
                 if cut:
-                    yield runs(*[x[:cut] for x in held])
+                    yield done([x[:cut] for x in held])
                     held = [x[cut:] for x in held]
-        if len(held[0]):
-            yield runs(*held)
+        if held and len(held[0]):
+            yield done(held)
+
+    def done(cols):
+        return runs(cols[0], [c.view(np.uint64) for c in cols[1:-1]], cols[-1])
 
     return run
 
 
-def _alike(shingle: int):
+def _shingle_set(shingle: int):
+    """Sorted distinct shingle hashes of a text."""
+
+    def hashes(s: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(words_of(t), shingle)).tobytes() for t in s], dtype=object)
+
+    return F.pandas_udf(hashes, "binary")
+
+
+def _jaccard():
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            s, t = (np.unique(shingle_hashes(words_of(w), shingle)) for w in (x, y))
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(both / max(1, len(s) + len(t) - both))
-        return pd.Series(out, dtype=float)
+        out = np.zeros(len(a))
+        for k, (x, y) in enumerate(zip(a, b, strict=True)):
+            n = (len(x) + len(y)) // 8
+            both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
+            same = int((both[1:] == both[:-1]).sum())
+            out[k] = same / max(1, n - same)
+        return pd.Series(out)
 
     return F.pandas_udf(jaccard, "double")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets are alike."""
+    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    return both.filter(_jaccard()(F.col("a"), F.col("b")) >= similarity).select("u", "v")
+
+
+def _classes(pairs: DataFrame, sets: DataFrame, similarity: float, few: int, rounds: int = 8) -> DataFrame:
+    """(node, root) of the components of verified pairs.
+
+    A pair inside a component changes nothing, so it need not be verified.
+    While more than ``few`` pairs join different components, every component
+    tries its nearest one; at last all pairs still open are verified.
+    """
+    links, roots, k = None, None, 0
+    left = pairs.select("u", "v", "d", F.col("u").alias("cu"), F.col("v").alias("cv"))
+    while True:
+        tried, last = left, k == rounds or left.count() <= few
+        if not last:
+            ends = left.select(F.col("cu").alias("c"), "d", "u", "v").unionByName(left.select(F.col("cv").alias("c"), "d", "u", "v"))
+            tried = ends.groupBy("c").agg(F.min(F.struct("d", "u", "v")).alias("_p")).select("_p.u", "_p.v").distinct()
+        good = common.materialize(_verified(tried.select("u", "v"), sets, similarity), "links")
+        links = good if links is None else links.unionByName(good)
+        roots = components(links)
+        if last:
+            return roots
+        left = left.join(tried.withColumn("_tried", F.lit(True)), ["u", "v"], "left").filter("_tried IS NULL").select("u", "v", "d")
+        left = left.join(roots.toDF("u", "cu"), "u", "left").join(roots.toDF("v", "cv"), "v", "left")
+        left = left.select("u", "v", "d", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).filter("cu <> cv")
+        left, k = common.materialize(left, "open-pairs"), k + 1
+
+
 def duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-    recall: float = 0.98, views: int = 2, max_bits: int = 22, bucket_cap: int = 4096, broadcast_rows: int = 200_000,
+    recall: float = 0.98, views: int = 2, max_bits: int = 30, bucket_cap: int = 4096, broadcast_rows: int = 200_000,
 ) -> tuple[DataFrame, bool]:
     """Rows that repeat an earlier text: (_k, _t) of all rows but one of each group, and whether a row is repeated.
 
     Texts of ``similarity`` or more (Jaccard, ``shingle``-word shingles) differ
-    in up to a third of the fingerprint's bits, beyond any affordable
-    pigeonhole; so fingerprints are filed under sampled bits (``sampled_masks``),
+    in up to a quarter of a fingerprint's bits (``max_bits`` over all views),
+    beyond any affordable pigeonhole; so fingerprints are filed under sampled bits (``sampled_masks``),
     each member of a bucket is paired with its nearest, and every pair is
     verified on the whole texts.  Equal texts collapse before.  Buckets above
     the cap are dealt into several by a hash.  Of each group the row with the
@@ -430,23 +476,21 @@ def duplicates(
     bits, tables = sampled_masks(n, similarity, recall, views)
     rng = np.random.default_rng(7)
     masks = [[sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)] for _ in range(views)]
-    filed = nodes.select("node", *fps).mapInArrow(_file_views(masks), "b long, fp long, node long")
+    filed = nodes.select("node", *fps).mapInArrow(_file_views(masks), "b long, " + ", ".join(f"{f} long" for f in fps) + ", node long")
     big = common.materialize(filed.groupBy("b").count().filter(F.col("count") > bucket_cap), "big-buckets")
     many = big.count()
     if many:
         big = F.broadcast(big) if many <= broadcast_rows else big
         parts = F.ceil(F.col("count") / bucket_cap)
         share = F.pmod(F.xxhash64("node", "b"), F.coalesce(parts, F.lit(1)))
-        filed = filed.join(big, "b", "left").select(F.when(F.col("count").isNull(), F.col("b")).otherwise(F.xxhash64("b", share)).alias("b"), "fp", "node")
-    pairs = filed.repartition("b").sortWithinPartitions("b", "fp").mapInArrow(_nearest(max_bits), "u long, v long")
+        filed = filed.join(big, "b", "left").select(F.when(F.col("count").isNull(), F.col("b")).otherwise(F.xxhash64("b", share)).alias("b"), *fps, "node")
+    pairs = filed.repartition("b").sortWithinPartitions("b", "f0").mapInArrow(_nearest(max_bits), "u long, v long, d long")
     pairs = common.materialize(pairs.distinct(), "near-pairs")
     seen = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     named = nodes.join(seen, "node", "left_semi").select("node", F.col("_first._k").alias("_k"), F.col("_first._t").alias("_t"))
-    texts = docs.select(*key, F.col(text_col).alias("_text")).join(named, ["_k", "_t"]).dropDuplicates(["node"]).select("node", "_text")
-    texts = common.materialize(texts, "near-texts")
-    both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v")
-    links = both.filter(_alike(shingle)(F.col("a"), F.col("b")) >= similarity).select("u", "v")
-    roots = components(links)
+    texts = docs.select(*key, F.col(text_col).alias("_text")).join(named, ["_k", "_t"]).dropDuplicates(["node"])
+    sets = common.materialize(texts.select("node", _shingle_set(shingle)(F.col("_text")).alias("set")), "near-texts")
+    roots = _classes(pairs, sets, similarity, n)
     joined = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "_first")
     best = joined.groupBy("root").agg(F.min("_first").alias("_best"))
     keep = joined.join(best, "root").select("node", F.col("_best._k").alias("_bk"), F.col("_best._t").alias("_bt"))
