@@ -89,7 +89,7 @@ class MatrixBPE:
 
     MULT = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, rank_file: str, pattern: str, longest_row: int = 256, cells: int = 400_000, memo: int = 450_000):
+    def __init__(self, rank_file: str, pattern: str, longest_row: int = 256, cells: int = 400_000, memo: int = 200_000):
         with open(rank_file, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.splitter = Splitter(pattern)

@@ -75,7 +75,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.memo = common.BatchMemo(lambda ws: [model.token(w) for w in ws], 400_000)
+        self.memo = common.BatchMemo(lambda ws: [model.token(w) for w in ws], 150_000)
 
     def passages(self, words: list[bytes], scores: dict) -> list[tuple[int, int, float]]:
         """(begin, end, score) of all maximal segments, in order of begin."""
