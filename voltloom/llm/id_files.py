@@ -46,10 +46,10 @@ from .byte_bpe import LOOSE_SPACE
 from .warc import filesystem
 
 MAGIC = b"VLIDS001"
-BLOCK = 8192
-LANES = 1024
+BLOCK = 4096
+LANES = 2048
 NULL_ID = -(1 << 63)
-_HASH = 4096
+_HASH = 1024
 _tokenizers: dict = {}
 
 
@@ -57,58 +57,65 @@ _tokenizers: dict = {}
 
 
 class _Model:
-    """State of all lanes: predictions, confidences, mixing counts, order-0 slots."""
+    """State of all lanes: predictions with confidences, mixing counts, order-0 slots.
+
+    A prediction and its confidence (0 to 3) share one number, as do an order-0
+    slot's id, the place of the id's first slot and the number of its slots, so
+    that each costs one access to memory.
+    """
 
     def __init__(self, lanes: int, n: int):
         self.lanes, self.n = lanes, n
         self.row = np.arange(lanes)
         self.base = self.row * _HASH
-        self.next2 = np.zeros(lanes * _HASH, np.int32)
-        self.next1 = np.zeros(lanes * _HASH, np.int32)
-        self.sure2 = np.zeros(lanes * _HASH, np.int8)
-        self.sure1 = np.zeros(lanes * _HASH, np.int8)
+        self.order2 = np.zeros(lanes * _HASH, np.int32)
+        self.order1 = np.zeros(lanes * _HASH, np.int32)
         self.mix = np.tile(np.array([4, 4, 16, 40], np.int32), (lanes * 32, 1))
+        self.states = self.row * 32
+        self.edges = np.zeros((lanes, 5), np.int64)
+        self.edges[:, 4] = 4096
+        self.flat_edges, self.row5 = self.edges.ravel(), self.row * 5
         self.p1 = np.zeros(lanes, np.int64)
         self.p2 = np.zeros(lanes, np.int64)
-        self.slots = np.zeros((lanes, 1), np.int32)
-        self.first = np.zeros((lanes, 1), np.int32)
-        self.count = np.zeros((lanes, 1), np.int32)
-        self.shift = 0
+        self.slots = np.zeros(lanes, np.int64)
+        self.shift, self.many = 0, 1
 
-    def renew(self, ids: np.ndarray) -> None:
-        """Order 0 from the ids so far, a power of two of them."""
+    def renew(self, ids: np.ndarray) -> np.ndarray:
+        """Order 0 from the ids so far, a power of two of them; returns them sorted."""
         s = np.sort(ids, axis=1)
         many = s.shape[1]
         new = np.ones(s.shape, bool)
         new[:, 1:] = s[:, 1:] != s[:, :-1]
-        place = np.arange(many, dtype=np.int32)
-        first = np.maximum.accumulate(np.where(new, place, 0), axis=1)
-        last = np.ones(s.shape, bool)
-        last[:, :-1] = new[:, 1:]
-        end = np.minimum.accumulate(np.where(last, place, many)[:, ::-1], axis=1)[:, ::-1]
-        self.slots, self.first, self.count = s, first, (end - first + 1).astype(np.int32)
-        self.shift = many.bit_length() - 1
+        start = np.flatnonzero(new)
+        count = np.diff(np.concatenate([start, [s.size]]))
+        self.slots = np.repeat((start % many << 16) + count, count) + (s.ravel().astype(np.int64) << 32)
+        self.many, self.shift = many, many.bit_length() - 1
+        return s
 
     def predict(self):
-        self.h2 = ((self.p2 * 40503 + self.p1 * 2654435) >> 3 & (_HASH - 1)) + self.base
-        self.h1 = ((self.p1 * 40503) >> 4 & (_HASH - 1)) + self.base
-        self.c2, self.c1 = self.next2[self.h2], self.next1[self.h1]
-        self.k2, self.k1 = self.sure2[self.h2], self.sure1[self.h1]
-        self.state = self.row * 32 + self.k2 * 4 + self.k1 + 16 * (self.c2 == self.c1)
-        m = self.mix[self.state]
-        edge = np.cumsum(m, axis=1)
-        self.total = edge[:, 3]
-        self.edge = np.zeros((self.lanes, 5), np.int64)
-        self.edge[:, 1:4] = edge[:, :3] * 4092 // self.total[:, None] + np.arange(1, 4)
-        self.edge[:, 4] = 4096
+        p1 = self.p1
+        self.h2 = ((self.p2 * 40503 + p1 * 2654435) >> 3 & (_HASH - 1)) + self.base
+        self.h1 = ((p1 * 40503) >> 4 & (_HASH - 1)) + self.base
+        self.v2, self.v1 = self.order2[self.h2], self.order1[self.h1]
+        self.c2, self.c1 = self.v2 >> 2, self.v1 >> 2
+        self.state = self.states + ((self.v2 & 3) << 2 | (self.v1 & 3)) + ((self.c2 == self.c1).view(np.int8) << 4)
+        self.counts = self.mix[self.state]
+        run = self.counts.cumsum(axis=1, dtype=np.int64)
+        self.total = run[:, 3]
+        self.edges[:, 1:4] = run[:, :3] * 4092 // self.total[:, None] + _ONE_TO_THREE
+
+    def between(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Low end and width of each lane's outcome, of 4096."""
+        at = self.row5 + outcome
+        low = self.flat_edges[at]
+        return low.astype(np.uint64), (self.flat_edges[at + 1] - low).astype(np.uint64)
 
     def learn(self, x: np.ndarray, outcome: np.ndarray) -> None:
-        right2, right1 = x == self.c2, x == self.c1
-        self.sure2[self.h2] = np.where(right2, np.minimum(self.k2 + 1, 3), 0)
-        self.sure1[self.h1] = np.where(right1, np.minimum(self.k1 + 1, 3), 0)
-        self.next2[self.h2] = x
-        self.next1[self.h1] = x
-        self.mix[self.state, outcome] += 24
+        x = x.astype(np.int32)
+        x4 = x << 2
+        self.order2[self.h2] = np.where(x == self.c2, np.minimum(self.v2 + 1, x4 | 3), x4)
+        self.order1[self.h1] = np.where(x == self.c1, np.minimum(self.v1 + 1, x4 | 3), x4)
+        self.mix.ravel()[self.state * 4 + outcome] += 24
         full = np.flatnonzero(self.total > 4000)
         if len(full):
             at = self.state[full]
@@ -116,11 +123,14 @@ class _Model:
         self.p2, self.p1 = self.p1, x.astype(np.int64)
 
 
+_ONE_TO_THREE = np.arange(1, 4)
+
+
 def _renewal(i: int) -> bool:
     return i >= 16 and i & (i - 1) == 0
 
 
-_LOW32, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
+_LOW32, _32, _12, _4095 = (np.uint64(x) for x in (0xFFFFFFFF, 32, 12, 4095))
 
 
 def encode_blocks(ids: np.ndarray, id_bits: int) -> list[np.ndarray]:
@@ -129,48 +139,48 @@ def encode_blocks(ids: np.ndarray, id_bits: int) -> list[np.ndarray]:
     m = _Model(lanes, n)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     out, used = np.zeros((lanes, n + 4), np.uint32), np.zeros(lanes, np.int64)
-    start = count = np.zeros((0, lanes), np.int64)
-    since = 0
+    places, since = None, 0
     columns = np.ascontiguousarray(ids.T)
+    every = np.arange(lanes)
+    lane_key = every << 20
 
-    def add(at, step):
-        low[at] += step
-        over = at[low[at] < step]
+    def carry(over):
+        """A sum ran over: add one to the words already written."""
         k = 1
-        while len(over):  # a carry runs into words already written
+        while len(over):
             w = used[over] - k
             out[over, w] += np.uint32(1)
             over, k = over[out[over, w] == 0], k + 1
 
-    every = np.arange(lanes)
     for i in range(n):
         if _renewal(i):
-            m.renew(ids[:, :i])
-            # where each id until the next renewal lies in order 0
-            seg = columns[i : min(n, 2 * i)]
-            key = (m.slots.astype(np.int64) + (every << 20)[:, None]).ravel()
-            q = seg.astype(np.int64) + (every << 20)[None, :]
+            s = m.renew(ids[:, :i])
+            # where each id until the next renewal lies in order 0: a row with no slot if it is new
+            key = (s + lane_key[:, None]).ravel()
+            q = columns[i : min(n, 2 * i)] + lane_key[None, :]
             at = np.minimum(np.searchsorted(key, q.ravel()), len(key) - 1).reshape(q.shape)
-            count = np.where(key[at] == q, m.count.ravel()[at], 0)
-            start, since = m.first.ravel()[at], i
+            places, since = np.where(key[at] == q, m.slots[at] & 0xFFFFFFFF, 0), i
         m.predict()
         x = columns[i]
-        known = count[i - since] > 0 if i >= 16 else np.zeros(lanes, bool)
-        o = np.where(x == m.c2, 0, np.where(x == m.c1, 1, np.where(known, 2, 3)))
-        r = rng >> np.uint64(12)
-        a, b = m.edge[every, o], m.edge[every, o + 1]
-        add(every, r * a.astype(np.uint64))
-        rng = r * (b - a).astype(np.uint64)
+        place = places[i - since] if places is not None else np.zeros(lanes, np.int64)
+        o = np.where(x == m.c2, 0, np.where(x == m.c1, 1, np.where(place > 0, 2, 3)))
+        a, width = m.between(o)
+        r = rng >> _12
+        step = r * a
+        low += step
+        if (low < step).any():
+            carry(np.flatnonzero(low < step))
+        rng = r * width
         lit = np.flatnonzero(o >= 2)
         if len(lit):
-            old = o[lit] == 2
+            old, p, y = o[lit] == 2, place[lit], x[lit]
             r = rng[lit] >> np.where(old, m.shift, id_bits).astype(np.uint64)
-            if i >= 16:
-                s, f = np.where(old, start[i - since, lit], x[lit]), np.where(old, count[i - since, lit], 1)
-            else:
-                s, f = x[lit], np.ones(len(lit), np.int64)
-            add(lit, r * s.astype(np.uint64))
-            rng[lit] = r * f.astype(np.uint64)
+            step = r * np.where(old, p >> 16, y).astype(np.uint64)
+            now = low[lit] + step
+            low[lit] = now
+            if (now < step).any():
+                carry(lit[now < step])
+            rng[lit] = r * np.where(old, p & 0xFFFF, 1).astype(np.uint64)
         k = np.flatnonzero(rng <= _LOW32)
         if len(k):
             out[k, used[k]] = low[k] >> _32
@@ -201,12 +211,13 @@ def decode_blocks(words: list[np.ndarray], n: int, id_bits: int) -> np.ndarray:
         if _renewal(i):
             m.renew(np.ascontiguousarray(ids[:i].T))
         m.predict()
-        r = rng >> np.uint64(12)
-        v = np.minimum(gap // r, np.uint64(4095)).astype(np.int64)
-        o = (v[:, None] >= m.edge[:, 1:4]).sum(axis=1)
-        a, b = m.edge[every, o], m.edge[every, o + 1]
-        gap -= r * a.astype(np.uint64)
-        rng = r * (b - a).astype(np.uint64)
+        r = rng >> _12
+        v = np.minimum(gap // r, _4095).astype(np.int64)
+        e = m.edges
+        o = (v >= e[:, 1]).view(np.int8) + (v >= e[:, 2]).view(np.int8) + (v >= e[:, 3]).view(np.int8)
+        a, width = m.between(o)
+        gap -= r * a
+        rng = r * width
         x = np.where(o == 0, m.c2, m.c1)
         lit = np.flatnonzero(o >= 2)
         if len(lit):
@@ -214,11 +225,10 @@ def decode_blocks(words: list[np.ndarray], n: int, id_bits: int) -> np.ndarray:
             bits = np.where(old, m.shift, id_bits)
             r = rng[lit] >> bits.astype(np.uint64)
             v = np.minimum((gap[lit] // r).astype(np.int64), (1 << bits) - 1)
-            slot = np.where(old, v, 0)
-            s, f = np.where(old, m.first[lit, slot], v), np.where(old, m.count[lit, slot], 1)
-            x[lit] = np.where(old, m.slots[lit, slot], v)
-            gap[lit] -= r * s.astype(np.uint64)
-            rng[lit] = r * f.astype(np.uint64)
+            p = m.slots[lit * m.many + np.where(old, v, 0)]
+            x[lit] = np.where(old, p >> 32, v)
+            gap[lit] -= r * np.where(old, p >> 16 & 0xFFFF, v).astype(np.uint64)
+            rng[lit] = r * np.where(old, p & 0xFFFF, 1).astype(np.uint64)
         k = np.flatnonzero(rng <= _LOW32)
         if len(k):
             gap[k] = gap[k] << _32 | flat[np.minimum(at[k], len(flat) - 1)]  # a damaged block may run on
