@@ -232,6 +232,40 @@ def test_near_duplicate_texts(spark):
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def kept_texts(texts, least=0.8, size=5):
+    """Ids that stay by brute force: the first of every component of texts alike; and the similarities of pairs over 0.5."""
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))})
+    root, found = list(range(len(texts))), []
+    for i in range(len(texts)):
+        for j in range(i):
+            if (same := len(sets[i] & sets[j])) * 3 > len(sets[i]) + len(sets[j]):
+                found.append(same / (len(sets[i]) + len(sets[j]) - same))
+                if found[-1] >= least and root[i] != root[j]:
+                    lo, hi = sorted((root[i], root[j]))
+                    root = [lo if r == hi else r for r in root]
+    return sorted(set(root)), found
+
+
+def template_texts(n):
+    """Texts of one template and words of their own, about 0.7 alike, and after them a copy of each, over 0.8 alike."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    template = [word() for _ in range(250)]
+    base = [[*template, *[word() for _ in range(50)]] for _ in range(n)]
+    return [" ".join(b) for b in base] + [" ".join([*b[:at], word(), *b[at + 1 :]]) for b in base for at in [int(rng.integers(5, 245))]]
+
+
+def test_near_duplicates_in_hot_buckets(spark):
+    texts = template_texts(120)
+    want, found = kept_texts(texts)
+    assert want == list(range(120)) and sum(s < 0.8 for s in found) > 20_000
+    for how in ({"bucket_cap": 16, "order_sample": 0}, {"bucket_cap": 16}):
+        assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame(spark, texts), **how).collect()) == want
+
+
 # ---------------------------------------------------------------- 7
 
 

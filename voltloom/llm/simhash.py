@@ -303,97 +303,153 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- similar texts
 
 
-def _views(hashes: np.ndarray, views: int) -> list[int]:
-    """Independent fingerprints of the same shingles: their hashes mixed anew for each view."""
-    out = []
-    for k in range(views):
-        x = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        out.append(fingerprint(x ^ (x >> np.uint64(29))))
-    return out
+def _least_shared(n: int, similarity: float) -> int:
+    """Shingles that a set of ``n`` has at least in common with any set as similar."""
+    return int(np.ceil(similarity * n - 1e-9))
 
 
-def _sketch(shingle: int, views: int):
+def _sketch(shingle: int, similarity: float, common_ones: tuple[np.ndarray, np.ndarray]):
+    """Text hash, number of distinct shingles and the prefix: the rarest of them, one more than may differ.
+
+    The order is by how often a shingle was seen in the sample, then by hash;
+    any order that all texts share gives the same pairs.
+    """
+    known, seen = common_ones
+
     def sketch(s: pd.Series) -> pd.DataFrame:
-        rows = []
+        node, size, prefix, often = [], [], [], []
         for t in s:
             words = words_of(t)
-            rows.append((xxhash.xxh3_64_intdigest(b" ".join(words)), *_views(shingle_hashes(words, shingle), views)))
-        a = np.array(rows, np.uint64).reshape(-1, views + 1).view(np.int64)
-        return pd.DataFrame({"node": a[:, 0], **{f"f{k}": a[:, k + 1] for k in range(views)}})
+            h = np.unique(shingle_hashes(words, shingle))
+            c = np.zeros(len(h), np.int32)
+            if len(known) and len(h):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                c = np.where(known[at] == h, seen[at], 0).astype(np.int32)
+            first = np.argsort(c, kind="stable")[: len(h) - _least_shared(len(h), similarity) + 1]
+            node.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+            size.append(len(h))
+            prefix.append(h[first].tobytes())
+            often.append(int((c[first] == 0).sum()))
+        return pd.DataFrame({"node": np.array(node, np.uint64).view(np.int64), "size": np.array(size, np.int32), "prefix": prefix, "rare": np.array(often, np.int32)})
+
+    return F.pandas_udf(sketch, "node long, size int, prefix binary, rare int")
+
+
+def _common_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int, sample: int, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, sorted, and in how many; steers cost only."""
+    n = docs.count()
+    some = docs.select(text_col) if n <= sample else docs.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < int((1 << 30) * sample / n)).select(text_col)
 
-    return F.pandas_udf(sketch, "node long, " + ", ".join(f"f{k} long" for k in range(views)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.unique(shingle_hashes(words_of(t), shingle)) for t in b.column(0).to_pylist()]
+            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64))], names=["s"])
 
+    found = some.mapInArrow(run, "s long").groupBy("s").count().filter("count > 1").orderBy(F.desc("count"), "s").limit(most).toPandas()
+    known = found["s"].to_numpy(np.int64).view(np.uint64)
+    at = np.argsort(known)
+    return known[at], found["count"].to_numpy(np.int32)[at]
 
-def sampled_masks(n: int, similarity: float, recall: float, views: int) -> tuple[int, int]:
-    """(bits a filing keeps, filings per view): wide enough for ``n`` texts, enough for ``recall`` at ``similarity``.
 
-    Texts of Jaccard similarity s have cosine near 2s / (1 + s), and differ in
-    each bit with probability arccos(cosine) / pi.
-    """
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = int(np.clip(np.ceil(np.log2(max(n, 2))) - 3, 12, 40))
-    tables = int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - p) ** bits))))
-    return bits, -(-tables // views)
+FILED_TEXTS = "s long, node long, size int, pos int"
 
 
-def _file_views(masks: list[list[int]]):
-    """Rows (bucket, fingerprints of all views, node), a filing for each mask of each view."""
+def _file_prefix(rare: bool):
+    """Rows (shingle, text, its number of shingles, place in its order) of the prefixes' rare or common shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, fps = b.column(0), [b.column(v + 1) for v in range(len(masks))]
-            for v, ms in enumerate(masks):
-                fp = fps[v].to_numpy(zero_copy_only=False).view(np.uint64)
-                for m in np.array(ms, np.uint64):
-                    bucket = _bucket(np.full(len(fp), m), fp & m) + np.uint64(v)
-                    yield pa.record_batch([pa.array(bucket.view(np.int64)), *fps, node], names=["b", *[f"f{k}" for k in range(len(fps))], "node"])
+            node, size, count = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            prefix = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+            parts = [x[:c] if rare else x[c:] for x, c in zip(prefix, count.tolist(), strict=True)]
+            many = np.array([len(x) for x in parts], np.int64)
+            if not many.sum():
+                continue
+            start = np.repeat(np.cumsum(many) - many, many)
+            pos = np.arange(many.sum()) - start + (0 if rare else np.repeat(count, many))
+            yield pa.record_batch(
+                [pa.array(np.concatenate(parts)), pa.array(np.repeat(node, many)), pa.array(np.repeat(size, many)), pa.array(pos.astype(np.int32))],
+                names=["s", "node", "size", "pos"],
+            )
 
     return run
 
 
-def _nearest(max_bits: int, rows: int = 100_000):
-    """Of each bucket's members: the nearest other one, and the nearest of those before, within ``max_bits`` over all views."""
-
-    def runs(b, fps, n):
-        edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
-        size = np.diff(edge)
-        two = edge[:-1][size == 2]
-        two = two[sum(np.bitwise_count(f[two] ^ f[two + 1]).astype(np.int16) for f in fps) <= max_bits]
-        us, vs, ds = [n[two]], [n[two + 1]], [sum(np.bitwise_count(f[two] ^ f[two + 1]).astype(np.int16) for f in fps)]
-        for a, s in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            y = n[a : a + s]
-            for k in range(0, s, 256):
-                at_once = np.arange(k, min(s, k + 256))
-                d = sum(np.bitwise_count(f[a + at_once, None] ^ f[None, a : a + s]).astype(np.int16) for f in fps)
-                d[np.arange(len(at_once)), at_once] = 9999
-                for w in (d, np.where(np.arange(s)[None, :] < at_once[:, None], d, 9999)):
-                    at = w.argmin(1)
-                    least = w[np.arange(len(at_once)), at]
-                    ok = least <= max_bits
-                    us.append(y[at_once[ok]])
-                    vs.append(y[at[ok]])
-                    ds.append(least[ok])
-        u, v, d = (np.concatenate(x) for x in (us, vs, ds))
-        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v), d.astype(np.int64)], 1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        return pa.record_batch([pa.array(pairs[:, k].copy()) for k in range(3)], names=["u", "v", "d"])
+def _whole_buckets(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted rows, cut only where the first column changes."""
+    held: list[list[np.ndarray]] = []
+    count = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)])
+        count += b.num_rows
+        if count >= rows and held[-1][0][-1] != held[0][0][0]:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            edge = np.flatnonzero(cols[0][1:] != cols[0][:-1])[-1] + 1
+            yield [x[:edge] for x in cols]
+            held, count = [[x[edge:] for x in cols]], len(cols[0]) - edge
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Filed rows whose shingle another text has too."""
+    for cols in _whole_buckets(batches):
+        same = cols[0][1:] == cols[0][:-1]
+        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        yield pa.record_batch([pa.array(x[keep]) for x in cols], names=["s", "node", "size", "pos"])
+
+
+def _neighbours(similarity: float):
+    """Each member of a bucket with the next one and with the first, where sizes and places allow: few pairs that join most of a group."""
+    share = similarity / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for b in batches:
-            new = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-            if len(held[0]) >= rows:
-                cut = int(np.searchsorted(held[0], held[0][-1]))
-                if cut:
-                    yield done([x[:cut] for x in held])
-                    held = [x[cut:] for x in held]
-        if held and len(held[0]):
-            yield done(held)
-
-    def done(cols):
-        return runs(cols[0], [c.view(np.uint64) for c in cols[1:-1]], cols[-1])
+        for b, node, size, pos in _whole_buckets(batches):
+            start = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            many = np.diff(np.concatenate([start, [len(b)]]))
+            at = np.arange(len(b))
+            i = np.concatenate([at[:-1][b[1:] == b[:-1]], np.repeat(start, many)])
+            j = np.concatenate([at[1:][b[1:] == b[:-1]], at])
+            ok = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= share * (size[i].astype(np.int64) + size[j]) - 1e-6
+            u, v = node[i[ok]], node[j[ok]]
+            yield pa.record_batch([pa.array(x[u != v]) for x in (np.minimum(u, v), np.maximum(u, v))], names=["u", "v"])
+
+    return run
+
+
+def _open_pairs(similarity: float):
+    """All pairs of a bucket that may be alike and are of different components.
+
+    The shingle is taken for the first that both have (it is for one bucket of
+    every pair alike): what may follow it in both bounds what they share.
+    Members of different blocks (``blk``) are paired in the cell of both only.
+    """
+    share = similarity / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, _, node, size, pos, root, blk, cross in _whole_buckets(batches):
+            edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
+            us, vs, held = [], [], 0
+            for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                rest = size[a:z] - pos[a:z]
+                for k in range(a, z, 256):
+                    i = np.arange(k, min(z, k + 256))
+                    shared = np.minimum((size[i] - pos[i])[:, None], rest[None, :])
+                    ok = shared >= share * (size[i][:, None].astype(np.int64) + size[None, a:z]) - 1e-6
+                    ok &= (root[i][:, None] != root[None, a:z]) & (node[i][:, None] < node[None, a:z])
+                    if cross[a]:
+                        ok &= blk[i][:, None] != blk[None, a:z]
+                    x, y = np.nonzero(ok)
+                    us.append(node[i[x]])
+                    vs.append(node[a + y])
+                    held += len(x)
+                    if held > 500_000:
+                        yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+                        us, vs, held = [], [], 0
+            if held:
+                yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
     return run
 
@@ -426,25 +482,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.filter(_jaccard()(F.col("a"), F.col("b")) >= similarity).select("u", "v")
 
 
-def _classes(pairs: DataFrame, sets: DataFrame, similarity: float, few: int, rounds: int = 8) -> DataFrame:
-    """(node, root) of the components of verified pairs.
+def _classes(pairs: DataFrame, sets: DataFrame, similarity: float, few: int, rounds: int = 8, links: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the components of verified pairs, and of ``links`` verified before.
 
     A pair inside a component changes nothing, so it need not be verified.
     While more than ``few`` pairs join different components, every component
-    tries its nearest one; at last all pairs still open are verified.
+    tries its nearest one; at last, or once a round links none, all pairs
+    still open are verified.
     """
-    links, roots, k = None, None, 0
+    roots, k, last = None, 0, False
     left = pairs.select("u", "v", "d", F.col("u").alias("cu"), F.col("v").alias("cv"))
     while True:
-        tried, last = left, k == rounds or left.count() <= few
+        tried, last = left, last or k == rounds or left.count() <= few
         if not last:
             ends = left.select(F.col("cu").alias("c"), "d", "u", "v").unionByName(left.select(F.col("cv").alias("c"), "d", "u", "v"))
             tried = ends.groupBy("c").agg(F.min(F.struct("d", "u", "v")).alias("_p")).select("_p.u", "_p.v").distinct()
         good = common.materialize(_verified(tried.select("u", "v"), sets, similarity), "links")
-        links = good if links is None else links.unionByName(good)
-        roots = components(links)
+        new = good.limit(1).count() > 0
+        if new or roots is None:
+            links = good if links is None else links.unionByName(good)
+            roots = components(links)
         if last:
             return roots
+        last = not new
         left = left.join(tried.withColumn("_tried", F.lit(True)), ["u", "v"], "left").filter("_tried IS NULL").select("u", "v", "d")
         left = left.join(roots.toDF("u", "cu"), "u", "left").join(roots.toDF("v", "cv"), "v", "left")
         left = left.select("u", "v", "d", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).filter("cu <> cv")
@@ -453,48 +513,61 @@ def _classes(pairs: DataFrame, sets: DataFrame, similarity: float, few: int, rou
 
 def duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-    recall: float = 0.98, views: int = 2, max_bits: int = 30, bucket_cap: int = 4096, broadcast_rows: int = 200_000,
+    bucket_cap: int = 4096, broadcast_rows: int = 200_000, order_sample: int = 8000,
 ) -> tuple[DataFrame, bool]:
     """Rows that repeat an earlier text: (_k, _t) of all rows but one of each group, and whether a row is repeated.
 
-    Texts of ``similarity`` or more (Jaccard, ``shingle``-word shingles) differ
-    in up to a quarter of a fingerprint's bits (``max_bits`` over all views),
-    beyond any affordable pigeonhole; so fingerprints are filed under sampled bits (``sampled_masks``),
-    each member of a bucket is paired with its nearest, and every pair is
-    verified on the whole texts.  Equal texts collapse before.  Buckets above
-    the cap are dealt into several by a hash.  Of each group the row with the
-    smallest id (nulls last, then by text hash) stays.
+    Groups are the components of all pairs of ``similarity`` or more (Jaccard,
+    sets of ``shingle``-word shingles), exactly: two such sets share one of the
+    rarest shingles of each (a prefix as long as may differ, and one more), so
+    texts are filed under those.  First each member of a bucket is tried with
+    its neighbour and the bucket's first, which joins most of large groups;
+    then all pairs of a bucket between components that are still different and
+    whose sizes and places allow the similarity are verified on the whole
+    texts.  Equal texts collapse before.  A bucket above the cap is cut into
+    blocks, and every two blocks meet in a cell of their own, so none of its
+    pairs is left out.  Of each group the row with the smallest id (nulls last,
+    then by text hash) stays.
     """
     spark = docs.sparkSession
     key = common.row_key(id_col, text_col)
-    rows = docs.select(*key, F.col(id_col).cast("long").alias("_d"), _sketch(shingle, views)(F.col(text_col)).alias("_s")).select("_k", "_t", "_d", "_s.*")
+    often = _common_shingles(docs, id_col, text_col, shingle, order_sample)
+    rows = docs.select(*key, F.col(id_col).cast("long").alias("_d"), _sketch(shingle, similarity, often)(F.col(text_col)).alias("_s")).select("_k", "_t", "_d", "_s.*")
     rows = common.materialize(rows, "sketches")
-    fps = [f"f{k}" for k in range(views)]
     least = F.min(F.struct(F.col("_d").isNull().alias("_n"), "_d", "_t", "_k"))
-    nodes = common.materialize(rows.groupBy("node").agg(*[F.first(f).alias(f) for f in fps], least.alias("_first")), "distinct-texts")
+    nodes = rows.groupBy("node").agg(*[F.first(f).alias(f) for f in ("size", "prefix", "rare")], least.alias("_first"))
+    nodes = common.materialize(nodes, "distinct-texts")
     n = nodes.count()
-    bits, tables = sampled_masks(n, similarity, recall, views)
-    rng = np.random.default_rng(7)
-    masks = [[sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)] for _ in range(views)]
-    filed = nodes.select("node", *fps).mapInArrow(_file_views(masks), "b long, " + ", ".join(f"{f} long" for f in fps) + ", node long")
-    big = common.materialize(filed.groupBy("b").count().filter(F.col("count") > bucket_cap), "big-buckets")
-    many = big.count()
-    if many:
-        big = F.broadcast(big) if many <= broadcast_rows else big
-        parts = F.ceil(F.col("count") / bucket_cap)
-        share = F.pmod(F.xxhash64("node", "b"), F.coalesce(parts, F.lit(1)))
-        filed = filed.join(big, "b", "left").select(F.when(F.col("count").isNull(), F.col("b")).otherwise(F.xxhash64("b", share)).alias("b"), *fps, "node")
-    pairs = filed.repartition("b").sortWithinPartitions("b", "f0").mapInArrow(_nearest(max_bits), "u long, v long, d long")
-    pairs = common.materialize(pairs.distinct(), "near-pairs")
-    seen = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    filings = nodes.select("node", "size", "prefix", "rare")
+    rare = filings.mapInArrow(_file_prefix(True), FILED_TEXTS).repartition("s").sortWithinPartitions("s").mapInArrow(_met, FILED_TEXTS)
+    filed = common.materialize(rare.unionByName(filings.mapInArrow(_file_prefix(False), FILED_TEXTS)), "filed-texts")
+    big = common.materialize(filed.groupBy("s").count().filter(F.col("count") > bucket_cap).select("s", F.ceil(F.col("count") / bucket_cap).alias("parts")), "big-buckets")
+    big = F.broadcast(big) if big.count() <= broadcast_rows else big
+    blocked = filed.join(big, "s", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("blk", F.pmod(F.xxhash64("node", "s"), F.col("parts")))
+    near = blocked.select(F.xxhash64("s", "blk").alias("b"), "node", "size", "pos").repartition("b").sortWithinPartitions("b", "size", "node")
+    pairs = near.mapInArrow(_neighbours(similarity), "u long, v long").groupBy("u", "v").agg((-F.count(F.lit(1))).alias("d"))
+    pairs = common.materialize(pairs, "near-pairs")
+    seen = filed.select("node").distinct()
     named = nodes.join(seen, "node", "left_semi").select("node", F.col("_first._k").alias("_k"), F.col("_first._t").alias("_t"))
     texts = docs.select(*key, F.col(text_col).alias("_text")).join(named, ["_k", "_t"]).dropDuplicates(["node"])
     sets = common.materialize(texts.select("node", _shingle_set(shingle)(F.col("_text")).alias("set")), "near-texts")
     roots = _classes(pairs, sets, similarity, n)
+    # the rest: all pairs of buckets that still hold different components
+    now = blocked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = now.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("s")
+    now = common.materialize(now.join(mixed, "s", "left_semi"), "open-buckets")
+    now = now.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    lo, hi = F.least("blk", "other"), F.greatest("blk", "other")
+    cells = now.select(F.xxhash64("s", lo, hi).alias("b"), "s", "node", "size", "pos", "root", "blk", (lo != hi).alias("cross"))
+    rest = cells.repartition("b").sortWithinPartitions("b").mapInArrow(_open_pairs(similarity), "u long, v long")
+    rest = rest.groupBy("u", "v").agg((-F.count(F.lit(1))).alias("d")).join(pairs.select("u", "v"), ["u", "v"], "left_anti")
+    rest = common.materialize(rest, "rest-pairs")
+    if rest.limit(1).count():
+        roots = _classes(rest, sets, similarity, n, links=roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
     joined = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "_first")
     best = joined.groupBy("root").agg(F.min("_first").alias("_best"))
     keep = joined.join(best, "root").select("node", F.col("_best._k").alias("_bk"), F.col("_best._t").alias("_bt"))
-    marked = rows.join(keep, "node")
+    marked = rows.select("_k", "_t", "node").join(keep, "node")
     drops = common.materialize(marked.filter((F.col("_k") != F.col("_bk")) | (F.col("_t") != F.col("_bt"))).select("_k", "_t").distinct(), "drops")
     repeated = rows.groupBy("_k", "_t").count().filter("count > 1").limit(1).count() > 0
     return drops, repeated
