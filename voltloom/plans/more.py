@@ -234,7 +234,9 @@ def session_counts(spark, sf):
 
 
 def _frames(spark, sf):
-    s = signal(spark, sf).filter("chan < 16").select(F.lit("events").alias("rec"), F.col("chan").cast("int").alias("chan"), "ti", "v")
+    """Frames of all channels: each 16 of them are a probe with a recording of its own, referenced by itself."""
+    rec = F.concat(F.lit("events-"), F.floor(F.col("chan") / 16).cast("string"))
+    s = signal(spark, sf).select(rec.alias("rec"), F.col("chan").cast("int").alias("chan"), "ti", "v")
     return K.frames_from_samples(S.gap_fill(s, ["rec", "chan"]), 50.0, 4000, 1000)
 
 
@@ -263,12 +265,14 @@ resampled_rms = _filtered("resampled_rms", K.Settings(filter=None, car=None, res
 
 @query()
 def detect_spikes(spark, sf):
-    """Frames of 16 channels searched block by block."""
+    """Frames of 16 channels searched block by block; ids count within a recording."""
     probe = {k: (0.0, 50.0 * k) for k in range(16)}
     cfg = K.Settings(filter=None, car=None, threshold="fixed", fixed_uv=40.0, window_us=(-250.0, 500.0))
     even = F.transform("data", lambda r: F.slice(r, F.lit(1), F.col("_n")))
     f = _frames(spark, sf).withColumn("_n", F.array_min(F.transform("data", lambda r: F.size(r)))).withColumn("data", even).drop("_n")
-    return K.with_ids(K.detect(f, probe, cfg)).select("id", "t", "chan", "Vpp", "x0", "y0", "sx")
+    f = f.withColumn("chans", F.transform("chans", lambda c: F.pmod(c, F.lit(16))))
+    found = K.detect(f, probe, cfg).withColumn("chan", F.col("chan") + 16 * F.split("rec", "events-")[1].cast("int"))
+    return K.with_ids(found).select("rec", "id", "t", "chan", "Vpp", "x0", "y0", "sx")
 
 
 @query()
