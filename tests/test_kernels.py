@@ -140,3 +140,9 @@ def test_detection_finds_planted_spikes():
     assert np.median(err) < 15
     both = [list(BlockSearch(x, 1e6 / 30000, xs, ys, s, c).run()) for c in ((0, 15000), (15000, x.shape[1]))]
     assert {(f["ti"], f["chan"]) for b in both for f in b} == {(f["ti"], f["chan"]) for f in found}
+
+
+def test_unsettled_ascent_raises():
+    x = np.random.default_rng(0).normal(size=(200, 3))
+    with pytest.raises(RuntimeError, match="did not settle"):
+        clustering.ascend(x, clustering.Ascent(sigma=0.3, alpha=1.0, rounds=1))

@@ -147,6 +147,8 @@ def ascend(points: np.ndarray, p: Ascent | None = None) -> np.ndarray:
                 frozen[k] = step @ step < still2
             else:
                 frozen[k] = True
+    else:
+        raise RuntimeError(f"clusters did not settle in {p.rounds} rounds")
     while (owner[owner] != owner).any():
         owner = owner[owner]
     roots, label, count = np.unique(owner, return_inverse=True, return_counts=True)

@@ -296,7 +296,7 @@ def nmf_components(spark, sf):
 @query()
 def ascent_clusters(spark, sf):
     """C1-C5 within each unit, on the first three features."""
-    return C.cluster(points(spark, sf), ["label"], "vec_id", ["x", "y", "z"], C.Ascent(sigma=0.3, alpha=1.0, rounds=200))
+    return C.cluster(points(spark, sf), ["label"], "vec_id", ["x", "y", "z"], C.Ascent(sigma=0.3, alpha=1.0))
 
 
 @query()
