@@ -266,6 +266,17 @@ def test_near_duplicates_in_hot_buckets(spark):
         assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame(spark, texts), **how).collect()) == want
 
 
+def test_near_duplicates_at_the_limit(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    base = [[word() for _ in range(104)] for _ in range(400)]
+    copies = [[word() if k in (20, 70) else w for k, w in enumerate(b)] for b in base]
+    texts = [" ".join(t) for t in base + copies]
+    want, found = kept_texts(texts)
+    assert len(found) == 400 and all(0.8 <= s < 0.85 for s in found) and want == list(range(400))
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame(spark, texts)).collect()) == want
+
+
 # ---------------------------------------------------------------- 7
 
 

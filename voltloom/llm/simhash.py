@@ -547,11 +547,14 @@ def duplicates(
     near = blocked.select(F.xxhash64("s", "blk").alias("b"), "node", "size", "pos").repartition("b").sortWithinPartitions("b", "size", "node")
     pairs = near.mapInArrow(_neighbours(similarity), "u long, v long").groupBy("u", "v").agg((-F.count(F.lit(1))).alias("d"))
     pairs = common.materialize(pairs, "near-pairs")
-    seen = filed.select("node").distinct()
-    named = nodes.join(seen, "node", "left_semi").select("node", F.col("_first._k").alias("_k"), F.col("_first._t").alias("_t"))
-    texts = docs.select(*key, F.col(text_col).alias("_text")).join(named, ["_k", "_t"]).dropDuplicates(["node"])
-    sets = common.materialize(texts.select("node", _shingle_set(shingle)(F.col("_text")).alias("set")), "near-texts")
-    roots = _classes(pairs, sets, similarity, n)
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        seen = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+        named = nodes.join(seen, "node", "left_semi").select("node", F.col("_first._k").alias("_k"), F.col("_first._t").alias("_t"))
+        texts = docs.select(*key, F.col(text_col).alias("_text")).join(named, ["_k", "_t"]).dropDuplicates(["node"])
+        return common.materialize(texts.select("node", _shingle_set(shingle)(F.col("_text")).alias("set")), "near-texts")
+
+    roots = _classes(pairs, sets_of(pairs), similarity, n)
     # the rest: all pairs of buckets that still hold different components
     now = blocked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = now.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("s")
@@ -563,7 +566,7 @@ def duplicates(
     rest = rest.groupBy("u", "v").agg((-F.count(F.lit(1))).alias("d")).join(pairs.select("u", "v"), ["u", "v"], "left_anti")
     rest = common.materialize(rest, "rest-pairs")
     if rest.limit(1).count():
-        roots = _classes(rest, sets, similarity, n, links=roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        roots = _classes(rest, sets_of(rest), similarity, n, links=roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
     joined = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "_first")
     best = joined.groupBy("root").agg(F.min("_first").alias("_best"))
     keep = joined.join(best, "root").select("node", F.col("_best._k").alias("_bk"), F.col("_best._t").alias("_bt"))
