@@ -277,6 +277,11 @@ def test_near_duplicates_at_the_limit(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame(spark, texts)).collect()) == want
 
 
+def test_near_duplicates_beside_nearer_texts(spark):
+    texts = template_texts(300)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame(spark, texts)).collect()) == list(range(300))
+
+
 # ---------------------------------------------------------------- 7
 
 
