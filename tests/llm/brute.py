@@ -15,13 +15,13 @@ def sha(s):
 
 
 def line_dedup(rows, min_chars=40, min_docs=5):
-    """rows: (doc_id, text). Returns [(doc_id, n_lines, n_dropped, kept text)]."""
+    """rows: (doc_id, text). Returns [(doc_id, n_lines, n_dropped, kept text)]; a document is a doc_id."""
     key = lambda line: line.strip(SPACE).translate(_LOWER)
-    holders = defaultdict(list)
+    holders = defaultdict(set)
     for d, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= min_chars:
-                holders[k].append(-1 if d is None else d)
+                holders[k].add(-1 if d is None else d)
     keep = {k: max(h) for k, h in holders.items() if len(h) >= min_docs}
     out = []
     for d, t in rows:

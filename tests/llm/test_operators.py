@@ -95,11 +95,34 @@ def test_warc_round_trip(spark):
                 assert r.record_type == ("response" if first in (None, i) else "revisit")
                 assert r.refers_to == (None if first in (None, i) else first)
                 assert bytes(r.payload) == (raw if r.record_type == "response" else b"")
+    long = spark.createDataFrame([(1, "u" * 1_100_000, "a"), (2, "é" * 400_000, "b"), (3, None, "c" * 10)], "page_id long, url string, html string")
+    for split in (50_000, 16 << 20):
+        got = warc.read_archives(warc.write_archives(long.coalesce(1)), split_bytes=split).collect()
+        assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in got) == sorted(tuple(r) for r in long.collect())
     small = warc.write_archives(pages, least_revisit=10)
     assert {r.record_type for r in warc.read_archives(small).collect() if r.page_id in (8, 9)} == {"response"}
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_damage(spark):
+    pages = spark.createDataFrame([(k, f"u{k}", "text " * k) for k in range(40)], "page_id long, url string, html string")
+    m = warc.write_archives(pages.coalesce(1))
+    path = m.first().path
+    raw = open(path, "rb").read()
+    at = raw.index(b"WARC/1.1", len(raw) // 2)
+    for bad in (raw[:at] + b"WARX" + raw[at + 4 :], raw[: len(raw) - 3]):
+        open(path, "wb").write(bad)
+        with pytest.raises(ValueError, match="break off"):
+            warc.read_archives(m)
+    open(path, "wb").write(raw[:at] + b"WARX" + raw[at + 4 :])
+    kept = warc.read_archives(m, damaged="keep").count()
+    assert 0 < kept < 40
+    open(path, "wb").write(raw)
+    assert warc.read_archives(m, split_bytes=100).count() == 40
+    extra = pages.selectExpr("*", "'z' AS path", "7 AS digest", "'q' AS first", "1 AS size")
+    assert warc.read_archives(warc.write_archives(extra)).count() == 40
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -135,9 +158,25 @@ def test_line_dedup(spark, odd):
     merged = line_dedup.dedup_lines(docs, broadcast_rows=0)
     assert brute.same_rows([(r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in merged.collect()], want)
     assert set(merged.columns) == {*docs.columns, "n_lines", "n_dropped", "kept"}
+    clash = line_dedup.dedup_lines(docs.selectExpr("*", "1 AS _d", "2 AS _T", "3 AS _drop", "4 AS n_lines", "5 AS kept"))
+    assert brute.same_rows([(r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in clash.collect()], want)
+    assert {(r._d, r._T, r._drop) for r in clash.collect()} == {(1, 2, 3)}
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_counts_documents(spark):
+    """Repeated rows are one document, whether their texts agree or not."""
+    rows = [(1, LONG)] * 4 + [(2, LONG)]
+    rows += [(3, f"{LONG} b\n{k}") for k in range(5)] + [(4, f"{LONG} b")]
+    rows += [(k, f"{LONG} c\n{LONG} c") for k in range(5)] + [(4, f"x\n {LONG.upper()} C\t"), (None, f"{LONG} c"), (None, f"{LONG} d")]
+    rows += [(-7, f"{LONG} e"), (-8, f"{LONG} e"), (None, f"{LONG} e"), (None, f"{LONG} e"), (-9, f"{LONG} e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in line_dedup.dedup_lines(docs).collect()]
+    want = brute.line_dedup(rows)
+    assert brute.same_rows(got, want)
+    assert all(w[2] == 0 for w in want if w[0] in (1, 2) and LONG == w[3])
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -297,10 +336,51 @@ def test_topk(spark):
         if q % 50 == 0:
             best = sorted([(-int(v @ w), i) for i, w in sound if i != q and len(w) == len(v)])[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    for shard, block in ((8192, 8192), (40, 3)):
-        got = topk.top_k(df, df.filter("vec_id % 50 = 0"), shard_rows=shard, block_rows=block).collect()
+    for shard, block, job in ((8192, 8192, 16), (40, 3, 2), (7, 8192, 1)):
+        got = topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=shard, block_rows=block, shards_a_job=job).collect()
         assert brute.same_rows([tuple(r) for r in got], want)
-    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    clash = df.selectExpr("vec_id", "embedding", "1 AS id", "2 AS v", "3 AS row", "4 AS query", "5 AS path")
+    assert topk.top_k(clash, F.col("vec_id") % 50 == 0).count() == len(want)
+
+
+def nearest(rows, k=5, every=50):
+    """(query id, rank, id, score) by brute force in whole numbers; every row but the query's own is a candidate."""
+    whole = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows]
+    out = []
+    for a, (q, v) in enumerate(whole):
+        if q % every == 0:
+            found = sorted((-sum(x * y for x, y in zip(v, w)), i) for b, (i, w) in enumerate(whole) if a != b and len(w) == len(v))[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    return out
+
+
+def test_topk_repeated_ids_and_large_values(spark):
+    rng = np.random.default_rng(5)
+    rows = [(50, [1.0, 0.0]), (51, [1.0, 0.0]), (50, [5.0, 0.0]), (50, [5.0, 0.0])]
+    rows += [(k, [float(x) for x in rng.normal(size=3)]) for k in range(100)] + [(k, [0.0] * 3) for k in (0, 7)]
+    rows += [(200 + k, [float(x) for x in rng.normal(size=4) * 2.0**k]) for k in range(50)]  # up to 2^57 in whole numbers
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
+    fits = [(i, [x / 2**32 if len(v) == 4 else x for x in v]) for i, v in rows] + [(300, [1e15, 1.0]), (301, [2.0**-8, 0.0]), (350, [-1e15, 2.0**-8, 0.0, 0.0, 0.0]), (351, [0.01, 2.0, 3.0, 4.0, 2.0**30])]
+    df = spark.createDataFrame(fits, "vec_id long, embedding array<double>")
+    for shard in (8192, 3):
+        got = topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=shard).collect()
+        assert brute.same_rows([tuple(r) for r in got], nearest(fits))
+
+
+def test_topk_bounds_prune(spark):
+    """Skewed impacts let the bounds stop early, and no member is lost."""
+    rng = np.random.default_rng(6)
+    v = np.floor(256 * rng.normal(size=(3000, 32)) * np.exp(rng.normal(size=(3000, 1)) * 2))
+    index = topk.ImpactIndex.load(topk.ImpactIndex(np.arange(3000), np.arange(3000) * 3, v).save())
+    member = index.candidates(v[:100], np.arange(100) * 3, 5, np.full(100, -np.inf))
+    assert member.mean() < 0.05
+    for j in range(100):
+        score = v @ v[j]
+        score[j] = -np.inf
+        assert member[np.argsort(-score, kind="stable")[:5], j].all()
 
 
 # ---------------------------------------------------------------- 8

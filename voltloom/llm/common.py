@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, single machine) is one made.
+    Where the session names none, one is made on a single machine (tests); on
+    a cluster that would be a folder of the driver alone, so this raises.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(base)
         return base.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="voltloom-shared-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -51,6 +54,19 @@ def forget(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh_names(df: DataFrame, *names: str, also: tuple = ()) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever their case."""
+    taken = {c.lower() for c in (*df.columns, *also)}
+    out = []
+    for n in names:
+        name = f"_{n}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def row_key(id_col: str, text_col: str) -> list:
     """Join key of a row: its id and a hash of its text, both never null.
 

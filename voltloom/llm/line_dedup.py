@@ -1,21 +1,22 @@
 """Operator 4: drop lines that many documents share.
 
 Lines are normalised, keyed by a 128-bit hash and exploded once, one row per
-document and key with the positions of the key's lines.  A map-side-combined
-count per key finds the keys in at least ``min_docs`` documents; joined back,
-they give each document the positions to drop, and the text is put together
-again from the positions that stay.  Only hashes and positions are shuffled on
-the way to the counts, never lines.
+row and key with the positions of the key's lines.  A map-side-combined count
+leaves the keys of at least ``min_docs`` rows, and of those the distinct
+documents are counted; joined back, the shared keys give each document the
+positions to drop, and the text is put together again from the positions that
+stay.  Only hashes and positions are shuffled on the way to the counts, never
+lines.
 
-A document is a row of the table.  The holder that keeps a shared line is the
-row (or the repeated rows) with the largest doc_id; a null doc_id is smaller
-than any other.
+A document is a doc_id: rows that repeat one are one document.  The holder
+that keeps a shared line is the document with the largest doc_id, in all its
+rows.  Rows without a doc_id count as one document, smaller than any other.
 
 Defined results: a null or empty text is one empty line, which is never
-dropped; a text whose lines are all dropped becomes empty; repeated rows count
-as documents of their own, and each keeps a line that their shared doc_id
-keeps; an empty table gives an empty result.  Other columns pass unchanged;
-columns named n_lines, n_dropped or as the kept text are replaced.
+dropped; a text whose lines are all dropped becomes empty; repeated rows each
+get a row; an empty table gives an empty result.  Other columns pass
+unchanged; columns named n_lines, n_dropped or as the kept text are
+replaced.
 """
 
 from __future__ import annotations
@@ -90,33 +91,38 @@ def dedup_lines(
     broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """``docs`` with n_lines, n_dropped and the text without shared lines in ``kept_col``."""
+    d, t, drop = common.fresh_names(docs, "d", "t", "drop", also=("n_lines", "n_dropped", kept_col))
     lines = common.materialize(line_keys(docs, id_col, text_col, min_chars), "lines")
+    often = lines.groupBy("_h1", "_h2").count().filter(F.col("count") >= min_docs).select("_h1", "_h2")
+    often = common.materialize(often, "frequent-lines")
+    # Few keys are sent to every task. Many are joined by sort and merge,
+    # where the runtime splits the partitions of keys that very many documents hold.
+    small = often.count() <= broadcast_rows
+    often = F.broadcast(often) if small else often.hint("merge")
+    held = common.materialize(lines.join(often, ["_h1", "_h2"]), "frequent-line-places")
     shared = (
-        lines.groupBy("_h1", "_h2")
+        held.select("_h1", "_h2", "_d")
+        .distinct()
+        .groupBy("_h1", "_h2")
         .agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_keep"))
         .filter(F.col("_n") >= min_docs)
         .drop("_n")
     )
-    shared = common.materialize(shared, "shared-lines")
-    # Few shared keys are sent to every task. Many are joined by sort and merge,
-    # where the runtime splits the partitions of keys that very many documents hold.
-    small = shared.count() <= broadcast_rows
-    shared = F.broadcast(shared) if small else shared.hint("merge")
+    shared = F.broadcast(common.materialize(shared, "shared-lines")) if small else shared.hint("merge")
     drops = (
-        lines.join(shared, ["_h1", "_h2"])
+        held.join(shared, ["_h1", "_h2"])
         .filter(F.col("_d") < F.col("_keep"))
-        .groupBy("_d", "_t")
-        .agg(F.array_distinct(F.flatten(F.collect_list("_at"))).alias("_drop"))
+        .groupBy(F.col("_d").alias(d), F.col("_t").alias(t))
+        .agg(F.array_distinct(F.flatten(F.collect_list("_at"))).alias(drop))
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_d", F.coalesce(F.col(id_col).cast("long"), F.lit(SMALLEST))).withColumn("_t", F.xxhash64(F.col(text_col)))
-    out = keyed.join(drops, ["_d", "_t"], "left")
+    keyed = docs.withColumn(d, F.coalesce(F.col(id_col).cast("long"), F.lit(SMALLEST))).withColumn(t, F.xxhash64(F.col(text_col)))
+    out = keyed.join(drops, [d, t], "left")
     return (
         out.withColumn("n_lines", (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-        .withColumn("n_dropped", F.when(F.col("n_dropped") < 0, 0).otherwise(F.col("n_dropped")))
-        .withColumn(kept_col, F.pandas_udf(_without, "string")(text, F.col("_drop")))
-        .drop("_d", "_t", "_drop")
+        .withColumn("n_dropped", F.greatest(F.coalesce(F.size(drop), F.lit(0)), F.lit(0)).cast("long"))
+        .withColumn(kept_col, F.pandas_udf(_without, "string")(text, F.col(drop)))
+        .drop(d, t, drop)
     )
 
 

@@ -1,171 +1,273 @@
 """Operator 7: exact top-k inner-product search over an impact-ordered index.
 
-Vectors become integer impacts.  Every shard of vectors keeps, for each level
-of quantised impact and each dimension, the posting segment of the vectors
-whose component falls there.  A block of queries goes through the segments of
-all dimensions level by level, largest quantised impact first, adding
-``query component * quantised impact`` to accumulators.  What is still missing
-of a score is at most ``|query| * |residual|`` (Cauchy-Schwarz), and the
-residual norms after each level are part of the index; once that bound leaves
-few vectors that could enter the top k - or proves that none can - processing
-stops.  Possible members, ties included, are rescored exactly in integers.
-
-Shards hold ``shard_rows`` vectors, queries are streamed through the driver in
-blocks of ``block_rows``, so memory and broadcasts are bounded; each shard
-sends at most k rows per query to the final ranking.
+Vectors become integers.  Every shard of ``shard_rows`` vectors keeps, for each
+level of quantised impact, the posting segment of the (vector, dimension)
+entries that fall there.  A block of queries goes through the segments level
+by level, largest quantised impact first, adding ``query component * quantised
+impact`` to accumulators.  What is still missing of a score is at most
+``|query| * |residual|`` (Cauchy-Schwarz), and the residual norms after each
+level are part of the index.  After every level the bounds give a score that
+k vectors reach for certain; once few vectors could still reach it - or it is
+proven that no other can - processing stops.  Possible members, ties included,
+are rescored exactly in integers.
+
+The index is stored once, a file per shard in the shared folder, and so are
+the queries, a file per block of ``block_rows``; a manifest that Spark commits
+lists the files of successful attempts.  A job takes some shards and one block
+of queries and reads both by itself: neither passes through the driver or a
+broadcast, and a task holds one shard and one block.  The best scores of a
+job's earlier shards bound the later ones, and a job sends at most k rows per
+query to the final ranking.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite
 component take no part, nor do rows with a null id; vectors are compared only
-with vectors of equal length; repeated rows of a vector id are candidates of
-their own, never of their own id's queries, and a repeated query id is
-answered once per distinct vector; ties go to the smaller vec_id; an empty
-table gives an empty result.  Only the named columns are read.
+with vectors of equal length; a query meets every row but its own, so rows that
+repeat an id or a vector are candidates and queries of their own; ties go to
+the smaller vec_id; an empty table gives an empty result; components of any
+finite size take part, and a returned score beyond 64 bits raises
+OverflowError.  Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .warc import filesystem
+
+RESULT = "query_row long, query_id long, vec_id long, score long"
+MANIFEST = "path string, dims int, rows long"
 
-RESULT = "query_id long, query_no long, vec_id long, score long"
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same integers in the narrowest type that holds them; doubles beyond 32 bits stay doubles."""
+    most = np.abs(x).max(initial=0)
+    for kind in (np.int8, np.int16, np.int32):
+        if most <= np.iinfo(kind).max:
+            return x.astype(kind)
+    return x
 
 
 class ImpactIndex:
-    """Posting segments of one shard of integer vectors."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = 8):
-        self.ids, self.vectors, self.levels = ids, vectors, levels
-        n, dims = vectors.shape
-        size = np.abs(vectors)
-        top = max(1, int(size.max()) if size.size else 1)
-        self.step = -(-(top + 1) // levels)
-        level = size // self.step
-        centre = np.where(level == 0, 0, np.sign(vectors) * (level * self.step + self.step // 2))
-        residual = vectors.astype(np.float64)
-        self.segments, self.norms = [], [np.sqrt((residual**2).sum(1))]
+    """Posting segments of one shard of integer vectors (as float64, integers all)."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, levels: int = 8):
+        order = np.argsort(rows)
+        self.ids, self.rows, self.vectors = ids[order], rows[order], vectors[order]
+        self.top = max(1.0, float(np.abs(vectors).max(initial=0)))
+        unit = self.vectors / self.top
+        level = np.minimum((np.abs(unit) * levels).astype(np.int16), levels - 1)
+        self.segments, norms = [], [np.sqrt((unit**2).sum(1))]
         for k in range(levels - 1, 0, -1):  # level 0 is impact zero: nothing to add
-            at = level == k
-            found = []
-            for d in range(dims):
-                for sign in (1, -1):
-                    rows = np.flatnonzero(at[:, d] & (vectors[:, d] * sign > 0))
-                    if len(rows):
-                        found.append((d, sign * (k * self.step + self.step // 2), rows))
-            residual = residual - np.where(at, centre, 0)
-            self.segments.append(found)
-            self.norms.append(np.sqrt((residual**2).sum(1)))
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, few: float = 0.02) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query row, candidate rows, exact scores) of at most k best, ties by id."""
-        n = len(self.ids)
-        acc = np.zeros((n, len(queries)), np.float32)
-        q = queries.astype(np.float32)
-        length = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
-        mine = self.ids[:, None] == own[None, :]
-        acc[mine] = -np.inf
+            row, dim = np.nonzero(level == k)
+            impact = np.float32((k + 0.5) / levels) * np.sign(unit[row, dim]).astype(np.float32)
+            self.segments.append((row, dim, impact))
+            unit[row, dim] -= impact
+            norms.append(np.sqrt((unit**2).sum(1)))
+        self.norms = np.array(norms)
+
+    def save(self) -> bytes:
+        out, flat = io.BytesIO(), {}
+        for k, (row, dim, impact) in enumerate(self.segments):
+            flat |= {f"r{k}": _narrow(row), f"d{k}": _narrow(dim), f"n{k}": impact < 0, f"i{k}": np.abs(impact[:1])}
+        norms = np.nextafter(self.norms.astype(np.float32), np.float32(np.inf))
+        np.savez(out, ids=self.ids, rows=self.rows, vectors=_narrow(self.vectors), top=np.array(self.top), norms=norms, **flat)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> ImpactIndex:
+        self = cls.__new__(cls)
+        z = np.load(io.BytesIO(data))
+        self.ids, self.rows, self.vectors, self.top = z["ids"], z["rows"], z["vectors"].astype(np.float64), float(z["top"])
+        self.norms = z["norms"].astype(np.float64)
+        self.segments = []
+        for k in range(len(self.norms) - 1):
+            sign = np.where(z[f"n{k}"], np.float32(-1), np.float32(1))
+            self.segments.append((z[f"r{k}"].astype(np.int64), z[f"d{k}"].astype(np.int64), sign * z[f"i{k}"] if len(sign) else sign))
+        return self
+
+    def candidates(self, queries: np.ndarray, own: np.ndarray, k: int, known: np.ndarray, few: float = 0.02) -> np.ndarray:
+        """(vector, query): whether the vector may be among the query's k best.
+
+        ``own`` are the queries' rows, ``known`` scores that k vectors of other
+        shards reach (-inf where there are none).
+        """
+        n, dims = self.vectors.shape
+        size = np.maximum(np.abs(queries).max(1), 1.0)
+        q = (queries / size[:, None]).astype(np.float32)
+        length = np.sqrt(((queries / size[:, None]) ** 2).sum(1))
+        # float32 sums stay within this much of the exact ones
+        slack = (dims + len(self.segments) + 8) * 2.0**-22 * (length * float(self.norms[0].max(initial=0)) + 1e-3)
+        known = known / (self.top * size) - slack
+        at = np.minimum(np.searchsorted(self.rows, own), n - 1)
+        mine = self.rows[at] == own
+        acc = np.zeros((n, len(q)), np.float32)
+        acc[at[mine], np.flatnonzero(mine)] = -np.inf
+        level = np.zeros((n, dims), np.float32)
+        starts = np.arange(0, n, max(1, n // 256))
         for done in range(len(self.segments) + 1):
             if done:
-                for d, impact, rows in self.segments[done - 1]:
-                    acc[rows] += q[:, d] * np.float32(impact)
-            if n <= 4 * k or done not in (len(self.segments) // 2, len(self.segments)):
-                continue
-            # float sums are within a relative slack of the exact ones
-            slack = np.float32(1e-4) * (length.max(initial=0) * self.norms[0].max(initial=0) + 1)
-            bound = np.outer(self.norms[done], length).astype(np.float32) + slack
-            low = np.partition(acc - bound, n - k, axis=0)[n - k]
-            member = acc + bound >= low
-            if done == len(self.segments) or member.sum(0).mean() <= max(4 * k, few * n):
+                row, dim, impact = self.segments[done - 1]
+                level[row, dim] = impact
+                acc += level @ q.T
+                level[row, dim] = 0
+            bound = (np.outer(self.norms[done], length) + slack).astype(np.float32)
+            low = known
+            if len(starts) >= k:
+                # the best of k groups of vectors: scores that k vectors reach for certain
+                sure = np.maximum.reduceat(acc - bound, starts, axis=0)
+                low = np.maximum(low, np.partition(sure, len(starts) - k, axis=0)[len(starts) - k])
+            member = acc + bound >= low.astype(np.float32)[None, :]
+            if member.sum() <= max(4 * k, few * n) * len(q):
                 break
-        if n <= 4 * k:
-            member = np.ones(acc.shape, bool)
-        member &= ~mine
-        for j in range(len(queries)):
-            rows = np.flatnonzero(member[:, j])
-            score = self.vectors[rows] @ queries[j]
-            best = np.lexsort((self.ids[rows], -score))[:k]
-            yield j, rows[best], score[best]
-
-
-def _search(queries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, shard_rows: int, at_once: int = 256):
-    """``queries``: by vector length, query ids, their running numbers and vectors."""
-
-    def shard(ids: np.ndarray, vectors: np.ndarray):
-        own, number, qs = queries[vectors.shape[1]]
-        index = ImpactIndex(ids, vectors)
-        out = [[], [], [], []]
-        for a in range(0, len(qs), at_once):
-            for j, rows, score in index.search(qs[a : a + at_once], own[a : a + at_once], k):
-                out[0].append(np.full(len(rows), own[a + j]))
-                out[1].append(np.full(len(rows), number[a + j]))
-                out[2].append(ids[rows])
-                out[3].append(score)
-        return pa.record_batch([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in out], names=["query_id", "query_no", "vec_id", "score"])
+        member[at[mine], np.flatnonzero(mine)] = False
+        return member
+
+    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact inner products, in the narrowest numbers that hold them."""
+        v = self.vectors[rows]
+        most = self.top * float(np.abs(query).max(initial=0)) * len(query)
+        if most < 2.0**53:  # every partial sum is an integer that a double holds
+            return (v @ query).astype(np.int64)
+        q = [int(x) for x in query]
+        out = [sum(int(a) * b for a, b in zip(x, q, strict=True)) for x in v]
+        return np.array(out, np.int64 if most < 2.0**62 else object)
+
+
+def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores, ties to the smaller id."""
+    if scores.dtype == object:
+        order = np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
+    else:
+        order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order]
+
+
+def _store(folder: str, rows_a_file: int, index: bool):
+    """Write integer vectors of equal length into files, as an index or as they are; yields the manifest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = filesystem(folder)
         held: dict[int, list] = {}
+
+        def put(n):
+            ids, rows, vectors = (np.concatenate(x) for x in zip(*held.pop(n), strict=True))
+            name = f"{path}/{uuid.uuid4().hex}.npz"
+            if index:
+                data = ImpactIndex(ids, rows, vectors).save()
+            else:
+                out = io.BytesIO()
+                np.savez(out, ids=ids, rows=rows, vectors=vectors)
+                data = out.getvalue()
+            with files.open_output_stream(name) as f:
+                f.write(data)
+            return pa.record_batch([pa.array([name]), pa.array([n], pa.int32()), pa.array([len(ids)], pa.int64())], names=["path", "dims", "rows"])
+
         for b in batches:
-            lists = b.column(1)
+            lists = b.column(2)
             size = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            ids, rows = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             starts = np.cumsum(size) - size
             for n in np.unique(size).tolist():
-                if n not in queries:
-                    continue
-                rows = np.flatnonzero(size == n)
-                held.setdefault(n, []).append((ids[rows], flat[starts[rows][:, None] + np.arange(n)]))
-                if sum(len(x) for x, _ in held[n]) >= shard_rows:
-                    parts = held.pop(n)
-                    yield shard(np.concatenate([x for x, _ in parts]), np.concatenate([v for _, v in parts]))
-        for parts in held.values():
-            yield shard(np.concatenate([x for x, _ in parts]), np.concatenate([v for _, v in parts]))
+                some = np.flatnonzero(size == n)
+                held.setdefault(n, []).append((ids[some], rows[some], flat[starts[some][:, None] + np.arange(n)]))
+                if sum(len(x[0]) for x in held[n]) >= rows_a_file:
+                    yield put(n)
+        for n in list(held):
+            yield put(n)
+
+    return run
+
+
+def _search(folder: str, k: int, at_once: int = 256):
+    """Answers of one query block from some shards, a job a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = filesystem(folder)
+
+        def read(path):
+            with files.open_input_file(path) as f:
+                return f.read()
+
+        for b in batches:
+            for block, shards in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                z = np.load(io.BytesIO(read(block)))
+                ids, rows, vectors = z["ids"], z["rows"], z["vectors"]
+                found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+                known = np.full(len(ids), -np.inf)
+                for shard in shards:
+                    index = ImpactIndex.load(read(shard))
+                    for a in range(0, len(ids), at_once):
+                        member = index.candidates(vectors[a : a + at_once], rows[a : a + at_once], k, known[a : a + at_once])
+                        for j in range(member.shape[1]):
+                            at, q = np.flatnonzero(member[:, j]), a + j
+                            held = found[q]
+                            score = index.scores(at, vectors[q])
+                            found[q] = best(np.concatenate([held[0], index.ids[at]]), np.concatenate([held[1], score]), k)
+                            if len(found[q][0]) == k:
+                                known[q] = float(found[q][1][-1])
+                many = [len(x) for x, _ in found]
+                score = np.concatenate([s for _, s in found]).tolist()
+                if any(not -(1 << 63) <= s < 1 << 63 for s in score):
+                    raise OverflowError("a score does not fit 64 bits")
+                cols = [np.repeat(rows, many), np.repeat(ids, many), np.concatenate([x for x, _ in found]), np.array(score, np.int64)]
+                yield pa.record_batch([pa.array(c) for c in cols], names=["query_row", "query_id", "vec_id", "score"])
 
     return run
 
 
-def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """(id, v): components as floor(scale * x), of rows that take part."""
+def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 256, **more: Column) -> DataFrame:
+    """(id, v) and more: components as floor(scale * x), integers in doubles, of rows that take part."""
     x = F.col(vector_col)
-    sound = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(2.0**53 / scale)))
+    sound = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
     out = df.filter(F.col(id_col).isNotNull() & F.coalesce(sound, F.lit(False)))
-    return out.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"))
+    scaled = lambda c: c.cast("double") * scale
+    # beyond 2^52 every double is an integer; FLOOR would pass through a long
+    whole = F.transform(x, lambda c: F.when(F.abs(scaled(c)) < 2.0**52, F.floor(scaled(c)).cast("double")).otherwise(scaled(c)))
+    return out.select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), *[c.alias(n) for n, c in more.items()])
+
+
+def build_index(rows: DataFrame, shard_rows: int = 8192) -> tuple[DataFrame, str]:
+    """Store the index of ``rows(id, row, v)``; returns its manifest and folder."""
+    return _stored(rows, shard_rows, True)
+
+
+def _stored(rows: DataFrame, rows_a_file: int, index: bool) -> tuple[DataFrame, str]:
+    folder = common.fresh_path(rows.sparkSession, "impact-index" if index else "query-blocks")
+    files, path = filesystem(folder)
+    files.create_dir(path)
+    return common.materialize(rows.select("id", "row", "v").mapInArrow(_store(folder, rows_a_file, index), MANIFEST), "vector-files"), folder
 
 
-def top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, shard_rows: int = 8192, block_rows: int = 8192) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best rows of ``df`` for every row of ``queries``."""
+def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, shard_rows: int = 8192, block_rows: int = 8192, shards_a_job: int = 16, broadcast_rows: int = 100_000) -> DataFrame:
+    """(query_id, rank, vec_id, score): for every row of ``df`` that ``is_query`` holds for, the k best of the other rows."""
     spark = df.sparkSession
-    rows = integer_vectors(df, id_col, vector_col, scale)
-    asked = integer_vectors(queries, id_col, vector_col, scale).distinct()
-    out, block, number = None, [], 0
-
-    def flush():
-        by: dict = {}
-        for no, (i, v) in block:
-            by.setdefault(len(v), []).append((i, no, v))
-        by = {n: tuple(np.array(c, np.int64) for c in zip(*x, strict=True)) for n, x in by.items()}
-        return rows.mapInArrow(_search(by, k, shard_rows), RESULT)
-
-    for r in asked.toLocalIterator():
-        block.append((number, (r[0], r[1])))
-        number += 1
-        if len(block) >= block_rows:
-            out = flush() if out is None else out.unionByName(flush())
-            block = []
-    if block:
-        out = flush() if out is None else out.unionByName(flush())
-    if out is None:
-        out = spark.createDataFrame([], RESULT)
-    w = Window.partitionBy("query_no").orderBy(F.desc("score"), "vec_id")
+    rows = integer_vectors(df, id_col, vector_col, scale, query=F.coalesce(is_query, F.lit(False)), row=F.monotonically_increasing_id())
+    rows = common.materialize(rows, "integer-vectors")
+    index, folder = build_index(rows, shard_rows)
+    asked = rows.filter("query")
+    blocks, _ = _stored(asked.repartition(max(1, -(-asked.count() // block_rows)), "row"), block_rows, False)
+    # a job: some shards and a block of queries of the same length
+    shards, many = index.count(), blocks.count()
+    groups = max(-(-shards // shards_a_job), min(shards, -(-4 * spark.sparkContext.defaultParallelism // max(1, many))), 1)
+    grouped = index.groupBy("dims", F.pmod(F.xxhash64("path"), F.lit(groups)).alias("g")).agg(F.collect_list("path").alias("shards"))
+    by = blocks.select("dims", F.col("path").alias("block"))
+    jobs = grouped.join(F.broadcast(by) if many <= broadcast_rows else by, "dims").select("block", "shards")
+    jobs = jobs.repartition(int(max(1, min(groups * many, 20_000))))
+    out = jobs.mapInArrow(_search(folder, k), RESULT)
+    w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+    return top_k(vectors, F.col("vec_id") % 50 == 0)

@@ -17,8 +17,11 @@ Defined results: null html is an empty payload; a null url leaves out the
 target URI; rows with a null page id are written too, and revisit equal
 payloads of any known page id; repeated rows with the smallest page id are all
 responses; an empty table writes no record and returns no row.  Only the named
-columns are read.  A damaged record ends its file's chain: what follows it is
-unreachable and not returned, and a payload that fails its digest raises.
+columns are read.  Headers have any length.  A damaged record ends its file's
+chain, so what follows it is unreachable: reading raises ValueError where a
+chain does not end at the end of its file or holds other than the records its
+manifest row lists (``damaged="keep"`` returns what is reachable instead).  A
+payload that fails its digest raises.
 """
 
 from __future__ import annotations
@@ -37,8 +40,10 @@ from pyspark.sql import functions as F
 from . import common
 
 MAGIC = b"WARC/1."
-MOST_HEADER = 1 << 20
+AHEAD = 1 << 16
 _HEADER = re.compile(rb"WARC/1\.[01]\r\n((?:[!-9;-~]+:[^\r\n]*\r\n)+)\r\n")
+#: What may still become a header when more bytes are read.
+_OPEN = re.compile(rb"WARC/1\.(?:[01](?:\r(?:\n(?:[!-9;-~]+:[^\r\n]*\r\n)*(?:[!-9;-~]*|[!-9;-~]+:[^\r\n]*\r?|\r))?)?)?\Z")
 _LENGTH = re.compile(rb"(?:\A|\r\n)content-length:[ \t]*(\d{1,18})[ \t]*\r\n", re.I)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -145,13 +150,43 @@ def write_archives(
 # ---------------------------------------------------------------- reading
 
 
-def _header(data: bytes, at: int) -> tuple[int, int] | None:
-    """(end of the header, length of the block) of a well-formed record header at ``at``."""
-    m = _HEADER.match(data, at, at + MOST_HEADER)
-    if m is None:
-        return None
-    n = _LENGTH.search(b"\r\n" + m[1])
-    return (m.end(), int(n[1])) if n else None
+class _Window:
+    """Bytes of a file from ``base`` on, read further as headers and blocks need them."""
+
+    def __init__(self, f, size: int, base: int, most: int):
+        self.f, self.size, self.base = f, size, base
+        self.data = f.read_at(max(min(most, size - base), 0), base)
+
+    def more(self, stop: int) -> None:
+        """Hold the bytes up to ``stop`` or the end of the file."""
+        end = self.base + len(self.data)
+        if min(stop, self.size) > end:
+            self.data += self.f.read_at(min(stop, self.size) - end, end)
+
+    def forget(self, at: int) -> None:
+        self.data, self.base = self.data[at - self.base :], at
+
+    def header(self, at: int) -> tuple[int, int] | None:
+        """(end of the header, length of the block) of a well-formed record header at ``at``."""
+        ahead = AHEAD
+        self.more(at + 16)
+        while True:
+            m = _HEADER.match(self.data, at - self.base)
+            if m is not None:
+                n = _LENGTH.search(b"\r\n" + m[1])
+                return (self.base + m.end(), int(n[1])) if n else None
+            end = self.base + len(self.data)
+            if end >= self.size or not _OPEN.match(self.data, at - self.base):
+                return None
+            self.more(end + ahead)
+            ahead *= 4
+
+    def bytes(self, start: int, stop: int) -> bytes:
+        self.more(stop)
+        return self.data[start - self.base : stop - self.base]
+
+
+LINKS = "path string, at long, next long, many long"
 
 
 def _candidates(folder: str, split_bytes: int):
@@ -159,28 +194,31 @@ def _candidates(folder: str, split_bytes: int):
         files, _ = filesystem(folder)
         for b in batches:
             for path, start, size in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                stop = min(start + split_bytes, size)
+                succ: dict[int, tuple[int, int]] = {}
                 with files.open_input_file(path) as f:
-                    data = f.read_at(min(stop + MOST_HEADER, size) - start, start)
-                succ: dict[int, int] = {}
-                at = data.find(MAGIC)
-                while 0 <= at < stop - start:
-                    h = _header(data, at)
-                    if h and start + h[0] + h[1] + 4 <= size:
-                        succ[start + at] = start + h[0] + h[1] + 4
-                    at = data.find(MAGIC, at + 1)
+                    size = min(size, f.size())
+                    stop = min(start + split_bytes, size)
+                    w = _Window(f, size, start, max(stop + AHEAD - start, 0))
+                    at = w.data.find(MAGIC)
+                    while 0 <= at < stop - start:
+                        h = w.header(start + at)
+                        if h and sum(h) + 4 <= size:
+                            succ[start + at] = sum(h) + 4, 1
+                        at = w.data.find(MAGIC, at + 1)
                 for o in sorted(succ, reverse=True):  # later ones first: chains shorten to beyond the split
-                    succ[o] = succ.get(succ[o], succ[o])
-                yield pa.record_batch([pa.array([path] * len(succ), pa.string()), pa.array(list(succ), pa.int64()), pa.array(list(succ.values()), pa.int64())], names=["path", "at", "next"])
+                    to, many = succ[o]
+                    if to in succ:
+                        succ[o] = succ[to][0], many + succ[to][1]
+                cols = [pa.array([path] * len(succ), pa.string()), pa.array(list(succ), pa.int64()), *[pa.array([v[k] for v in succ.values()], pa.int64()) for k in (0, 1)]]
+                yield pa.record_batch(cols, names=["path", "at", "next", "many"])
 
     return run
 
 
 def reachable(links: DataFrame) -> DataFrame:
     """(path, at): offsets reached from offset 0 of each file over ``links(path, at, next)``, by pointer jumping."""
-    links = common.materialize(links, "warc-links")
     seen = links.filter("at = 0").select("path", "at")
-    jumps, before = links, seen.count()
+    jumps, before = links.select("path", "at", "next"), seen.count()
     while True:
         to = seen.join(jumps, ["path", "at"]).select("path", F.col("next").alias("at"))
         seen = common.materialize(seen.unionByName(to.join(links.select("path", "at"), ["path", "at"], "left_semi")).distinct(), "warc-seen")
@@ -221,24 +259,19 @@ def _read(folder: str, split_bytes: int, keep_payload: bool):
                 rows, held = [], 0
                 with files.open_input_file(path) as f:
                     size, at = f.size(), entry
-                    data, base = b"", entry
+                    w = _Window(f, size, entry, max(stop - entry, 0) + AHEAD)
                     while at < min(stop, size):
-                        if at - base + MOST_HEADER > len(data) and base + len(data) < size:
-                            data, base = f.read_at(min(max(stop - at, 0) + MOST_HEADER, size - at), at), at
-                        h = _header(data, at - base)
-                        if h is None:
-                            break
-                        end = base + h[0] + h[1]
-                        if end + 4 > size:
+                        h = w.header(at)
+                        if h is None or sum(h) + 4 > size:
                             break
-                        if end - base > len(data):
-                            data, base = data[at - base :] + f.read_at(end - base - len(data), base + len(data)), at
-                            h = _header(data, 0)
-                        r = parse(path, at, data[at - base : h[0]], data[h[0] : h[0] + h[1]])
+                        w.more(sum(h))
+                        r = parse(path, at, w.bytes(at, h[0]), w.bytes(h[0], sum(h)))
                         if r:
                             rows.append(r)
                             held += h[1] if keep_payload else 100
-                        at = end + 4
+                        at = sum(h) + 4
+                        if at - w.base > split_bytes:
+                            w.forget(min(at, w.base + len(w.data)))
                         if held > 32_000_000:
                             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                             rows, held = [], 0
@@ -248,8 +281,8 @@ def _read(folder: str, split_bytes: int, keep_payload: bool):
     return run
 
 
-def read_archives(manifest: DataFrame, folder: str | None = None, split_bytes: int = 16 << 20, keep_payload: bool = True) -> DataFrame:
-    """Records of the files in ``manifest(path, size)``, found by boundary chains."""
+def read_archives(manifest: DataFrame, folder: str | None = None, split_bytes: int = 16 << 20, keep_payload: bool = True, damaged: str = "raise") -> DataFrame:
+    """Records of the files in ``manifest(path, size[, records])``, found by boundary chains."""
     spark = manifest.sparkSession
     folder = folder or common.shared_dir(spark)
     pieces = F.greatest(F.lit(0), F.ceil(F.col("size") / split_bytes) - 1)
@@ -257,10 +290,23 @@ def read_archives(manifest: DataFrame, folder: str | None = None, split_bytes: i
     parts = int(min(max(many, 1), 20_000))
     splits = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("long"), pieces.cast("long"))).alias("k"), "size")
     splits = splits.select("path", (F.col("k") * split_bytes).alias("start"), "size").repartition(parts, "path", "start")
-    entries = reachable(splits.mapInArrow(_candidates(folder, split_bytes), "path string, at long, next long"))
+    links = common.materialize(splits.mapInArrow(_candidates(folder, split_bytes), LINKS), "warc-links")
+    entries = reachable(links)
+    if damaged == "raise":
+        _whole(manifest, entries.join(links, ["path", "at"]))
     return entries.repartition(parts, "path", "at").mapInArrow(_read(folder, split_bytes, keep_payload), RECORDS)
 
 
+def _whole(manifest: DataFrame, chains: DataFrame) -> None:
+    """Raise unless every file's chain ends with the file and holds the records listed (beside its warcinfo)."""
+    ends = chains.groupBy("path").agg(F.max("next").alias("end"), F.sum("many").alias("found"))
+    listed = F.col("records") + 1 if "records" in manifest.columns else F.col("found")
+    bad = manifest.join(ends, "path", "left").filter((F.col("size") > 0) & ~(F.col("end").eqNullSafe(F.col("size")) & F.col("found").eqNullSafe(listed)))
+    bad = [r.path for r in bad.select("path").limit(5).collect()]
+    if bad:
+        raise ValueError(f"record chains break off in {', '.join(bad)}")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
     records = read_archives(write_archives(pages), keep_payload=False)
