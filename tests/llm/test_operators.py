@@ -363,7 +363,7 @@ def test_topk_repeated_ids_and_large_values(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="64 bits"):
         topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
-    fits = [(i, [x / 2**32 if len(v) == 4 else x for x in v]) for i, v in rows] + [(300, [1e15, 1.0]), (301, [2.0**-8, 0.0]), (350, [-1e15, 2.0**-8, 0.0, 0.0, 0.0]), (351, [0.01, 2.0, 3.0, 4.0, 2.0**30])]
+    fits = [(i, [x / 2**32 if len(v) == 4 else x for x in v]) for i, v in rows] + [(300, [1e13, 1.0]), (301, [2.0**-8, 0.0]), (350, [-1e15, 2.0**-8, 0.0, 0.0, 0.0]), (351, [0.01, 2.0, 3.0, 4.0, 2.0**30])]
     df = spark.createDataFrame(fits, "vec_id long, embedding array<double>")
     for shard in (8192, 3):
         got = topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=shard).collect()
