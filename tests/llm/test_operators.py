@@ -62,8 +62,8 @@ def test_main_text():
         assert main_text.main_text(bad, tree) == ""
     cut = PAGE[: PAGE.index("<p>One") + 4]
     assert main_text.main_text(cut, tree).startswith("Title <here> Some bold")
-    rows = [tuple(map(float, r.split())) for r in main_text.LABELLED.strip().splitlines()]
-    assert all(tree.predict(r[:-1]) == r[-1] for r in rows)
+    rows, labels = main_text.labelled()
+    assert [tree.predict(r) for r in rows] == labels
 
 
 def test_main_text_query(spark):
