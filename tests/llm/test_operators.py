@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -192,18 +193,33 @@ def sp():
 def test_prefix_counts(sp, s):
     c = token_counts.counter(token_counts.default_model())
     assert c.all_prefixes(s).tolist() == [len(sp.encode(s[:k])) for k in range(len(s) + 1)]
-    assert c.counts([s])[0] == len(sp.encode(s))
+    assert c.all_prefixes(s)[-1] == len(sp.encode(s))
 
 
 def test_token_counts_query(spark, odd, sp):
     docs, rows = odd
-    got = [(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs, limit=100).collect()]
+    got = token_counts.count_tokens(docs, limit=100).collect()
     want = [(d, len((t or "").encode()), n := len(sp.encode(t or "")), n > 100) for d, t in rows]
-    assert brute.same_rows(got, want)
+    assert brute.same_rows([(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got], want)
+    texts = {d: t or "" for d, t in rows if d not in {x for x, n in Counter(d for d, _ in rows).items() if n > 1}}
+    for r in got:
+        if r.doc_id in texts:
+            t, k = texts[r.doc_id], r.chars_within
+            assert (k == len(t)) == (not r.over_limit) and len(sp.encode(t[:k])) <= 100
+            assert all(len(sp.encode(t[:j])) > 100 for j in range(k + 1, min(len(t), k + 40) + 1))
+    assert set(got[0].asDict()) == {*docs.columns, "n_bytes", "n_tokens", "over_limit", "chars_within"} - {"text"}
     assert token_counts.count_tokens(docs.limit(0)).count() == 0
-    one = frame(spark, ["the thing is here"]).withColumn("c", token_counts.prefix_counts("text"))
-    r = one.select(token_counts.tokens_upto(F.col("c"), F.lit(9)).alias("a"), token_counts.chars_within(F.col("c"), F.lit(2)).alias("b")).first()
-    assert r.a == len(sp.encode("the thing")) and len(sp.encode("the thing is here"[: r.b])) <= 2
+    clash = docs.selectExpr("*", "1 AS _steps", "2 AS prefix_steps", "3 AS n_chars")
+    assert {r._steps for r in token_counts.count_tokens(clash).collect()} == {1}
+    store = token_counts.store_counts(frame(spark, ["the thing is here", "  two  spaces ", None]))
+    asked = store.select(
+        "doc_id", token_counts.tokens_upto("prefix_steps", F.lit(9)).alias("a"), token_counts.chars_within("prefix_steps", F.lit(2)).alias("b"),
+        token_counts.tokens_upto("prefix_steps", F.lit(0)).alias("z"), token_counts.prefix_counts("prefix_steps").alias("c"),
+    )
+    for r in asked.collect():
+        t = ["the thing is here", "  two  spaces ", ""][r.doc_id]
+        assert list(r.c) == [len(sp.encode(t[:k])) for k in range(len(t) + 1)] and r.z == 0
+        assert r.a == len(sp.encode(t[:9])) and r.b == max(k for k in range(len(t) + 1) if r.c[k] <= 2)
 
 
 # ---------------------------------------------------------------- 6

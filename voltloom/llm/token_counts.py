@@ -8,8 +8,13 @@ two pieces.  So ``count[i] = count[i-len(t)] + 1``, for every ``i``, in one pass
 
 No piece of the vocabulary crosses from a word into the next word mark, so a
 text is a chain of independent units (word marks and the characters after
-them); the recurrence runs once per distinct unit and a text's counts are
-running sums over its units.
+them); the recurrence runs once per distinct unit, and a text's counts follow
+from those of its units.
+
+The store keeps the count at every prefix as the step from the prefix before,
+one signed byte a character, compressed (``store_counts``).  Whole counts, counts
+of any prefix and the longest prefix within a budget are sums over the stored
+steps; no text is read or encoded again.
 
 Defined results: a null text counts as empty; an empty text has 0 tokens;
 repeated rows give repeated results; an empty table gives an empty result.
@@ -19,6 +24,7 @@ text.  Result columns that clash with existing ones replace them.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,14 +47,14 @@ def default_model() -> str:
 class PrefixCounter:
     """Token counts of all prefixes of a text, for one sentencepiece BPE model.
 
-    ``prefixes`` runs the recurrence on one unit; ``totals`` runs it on many
+    ``prefixes`` runs the recurrence on one unit; ``steps`` runs it on many
     units of equal length at once, a column of a numpy matrix per prefix.
     """
 
     MULT = np.uint64(0x9E3779B97F4A7C15)
     BASE = np.uint64(0xD6E8FEB86659FD93)
 
-    def __init__(self, model_file: str, cache_units: int = 600_000):
+    def __init__(self, model_file: str, cache_units: int = 400_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -65,7 +71,7 @@ class PrefixCounter:
         for p in self.whole:
             self.ends[p[-3:]] = max(self.ends.get(p[-3:], 0), len(p))
         self.pair: dict = {}
-        self.units = common.BatchMemo(self.totals, cache_units)
+        self.units = common.BatchMemo(self.steps, cache_units)
         self._tables()
 
     def encode(self, s: str) -> list[str]:
@@ -113,7 +119,7 @@ class PrefixCounter:
         return count
 
     def _tables(self) -> None:
-        """Substring hashes of the pieces, for ``totals``."""
+        """Substring hashes and characters of the pieces, for ``steps``."""
         self.piece = sorted(self.whole)
         self.known = np.array([p in self.score for p in self.piece])
         self.single = {p: k for k, p in enumerate(self.piece) if len(p) == 1}
@@ -126,6 +132,9 @@ class PrefixCounter:
         h = h[:, 0]
         order = np.argsort(h)
         self.hashes, self.ids = h[order], order
+        self.letters = np.zeros((len(self.piece), self.longest), np.uint32)
+        for k, p in enumerate(self.piece):
+            self.letters[k, : len(p)] = [ord(c) for c in p]
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(h * self.MULT) >> np.uint64(42)] = True
         self.pair_key = np.full(1 << 20, -1, np.int64)
@@ -153,21 +162,25 @@ class PrefixCounter:
         ok[at] = got
         return ok
 
-    def totals(self, words: list[str]) -> list[int]:
-        """Token counts of the units that are one mark and a word."""
-        out = np.zeros(len(words), np.int64)
+    def steps(self, words: list[str]) -> list[bytes]:
+        """Steps of the prefix counts of the units that are one mark and a word."""
+        out: list[bytes] = [b""] * len(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(sizes).tolist():
-            at = np.flatnonzero(sizes == n)
-            few = [words[k] for k in at]
-            if n > 40 or not self.regular:
-                out[at] = [self.prefixes(MARK + w)[-1] for w in few]
+            at = np.flatnonzero(sizes == n).tolist()
+            if n > 40 or not self.regular:  # few of a length: one by one
+                for k in at:
+                    out[k] = _steps(self.prefixes(MARK + words[k]))
                 continue
-            for k in range(0, len(few), 5_000):
-                out[at[k : k + 5_000]] = self._matrix(few[k : k + 5_000], n + 1)
-        return out.tolist()
+            for a in range(0, len(at), 5_000):
+                some = at[a : a + 5_000]
+                flat, width = self._matrix([words[k] for k in some], n + 1).tobytes(), n + 1
+                for r, k in enumerate(some):
+                    out[k] = flat[r * width : (r + 1) * width]
+        return out
 
     def _matrix(self, words: list[str], n: int) -> np.ndarray:
+        """Steps of units of ``n`` characters, a row per unit."""
         rows = len(words)
         codes = np.frombuffer(MARK.join(["", *words]).encode("utf-32-le"), np.uint32).reshape(rows, n)
         v = self._chars(codes)
@@ -188,6 +201,8 @@ class PrefixCounter:
                     continue
                 place = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
                 found = self.hashes[place] == x
+                for c in range(size):  # equal hashes are checked by their characters
+                    found &= self.letters[self.ids[place], c] == codes[at, i - size + c]
                 if size > 1:
                     at, piece = at[found], self.ids[place[found]]
                 else:
@@ -208,21 +223,19 @@ class PrefixCounter:
                     break
             if len(open_):
                 raise AssertionError("no last piece for a prefix")
-        return count[n]
+        return np.diff(count, axis=0).T.astype(np.int8)
 
-    def counts(self, texts) -> list[int]:
-        """Token counts of whole texts."""
-        out: list[int] = []
+    def texts(self, texts) -> Iterator[bytes]:
+        """Steps of whole texts: of the leading mark, then of every character; empty for an empty text."""
         for run in common.slices(texts):
             words = [t.replace(MARK, " ").split(" ") if t else [] for t in run]
             held = self.units.of(set().union(*words))
             for ws in words:
                 if "" in ws:
-                    ws = [u if u.startswith(MARK * 2) or u == MARK else u[1:] for u in self._split(ws)]
-                    out.append(sum(self.prefixes(u)[-1] if u.startswith(MARK) else held[u] for u in ws))
+                    plain = lambda u: not u.startswith(MARK * 2) and u != MARK
+                    yield b"".join([held[u[1:]] if plain(u) else _steps(self.prefixes(u)) for u in self._split(ws)])
                 else:
-                    out.append(sum(map(held.__getitem__, ws)))
-        return out
+                    yield b"".join([held[w] for w in ws])
 
     @staticmethod
     def _split(words: list[str]) -> Iterator[str]:
@@ -238,15 +251,20 @@ class PrefixCounter:
 
     def all_prefixes(self, text: str | None) -> np.ndarray:
         """Token count of ``text[:i]`` for i = 0 ... len(text)."""
-        if not text:
-            return np.zeros(1, np.int32)
-        out, base, at = np.zeros(len(text) + 2, np.int32), 0, 0
-        for u in self._split(text.replace(MARK, " ").split(" ")):
-            c = self.prefixes(u)
-            out[at : at + len(c)] = np.asarray(c, np.int32) + base
-            base, at = base + c[-1], at + len(c) - 1
-        out[1] = 0  # position 1 is the leading mark that stands before any text
-        return out[1:]
+        return counts_of(next(self.texts([text])))
+
+
+def _steps(counts: list[int]) -> bytes:
+    return np.diff(np.array(counts)).astype(np.int8).tobytes()
+
+
+def counts_of(steps: bytes) -> np.ndarray:
+    """Token counts of all prefixes, from the empty one, out of a text's steps."""
+    if not steps:
+        return np.zeros(1, np.int32)
+    out = np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int32)
+    out[0] = 0  # the leading mark stands before any text
+    return out
 
 
 def counter(model_file: str) -> PrefixCounter:
@@ -255,57 +273,88 @@ def counter(model_file: str) -> PrefixCounter:
     return _counters[model_file]
 
 
-def token_count(text: Column | str, model_file: str | None = None) -> Column:
-    """Column: number of tokens of a text."""
+def _packed(steps: bytes) -> bytes:
+    return zlib.compress(steps, 1)
+
+
+def prefix_steps(text: Column | str, model_file: str | None = None) -> Column:
+    """Column (n_tokens, steps): the count of the whole text, and the compressed steps of all its prefixes."""
     path = model_file or default_model()
 
-    @F.pandas_udf("long")
-    def total(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("n_tokens long, steps binary")
+    def table(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = counter(path)
         for s in batches:
-            yield pd.Series(c.counts(s), dtype="int64")
+            rows = [(int(np.frombuffer(x, np.int8).sum(dtype=np.int64)), _packed(x)) for x in c.texts(s)]
+            yield pd.DataFrame(rows, columns=["n_tokens", "steps"])
 
-    return total(text)
+    return table(text)
 
 
-def prefix_counts(text: Column | str, model_file: str | None = None) -> Column:
+def prefix_counts(steps: Column | str) -> Column:
     """Column: array with the token count of every prefix, by characters, from the empty one."""
-    path = model_file or default_model()
 
     @F.pandas_udf("array<int>")
-    def table(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = counter(path)
-        for s in batches:
-            yield pd.Series([c.all_prefixes(t) for t in s])
+    def table(s: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else counts_of(zlib.decompress(x)) for x in s], dtype=object)
 
-    return table(text)
+    return table(steps)
 
 
-def tokens_upto(counts: Column, n_chars: Column) -> Column:
-    """Token count of a prefix, from the stored counts; no text is read."""
-    return F.try_element_at(counts, (F.least(n_chars, F.size(counts) - 1) + 1).cast("int"))
+def tokens_upto(steps: Column | str, n_chars: Column) -> Column:
+    """Token count of the prefix of ``n_chars`` characters (or of the whole text, if shorter), from the stored steps."""
+
+    @F.pandas_udf("long")
+    def upto(s: pd.Series, n: pd.Series) -> pd.Series:
+        parts = [np.frombuffer(zlib.decompress(x), np.int8)[: k + 1] if k > 0 else np.zeros(0, np.int8) for x, k in zip(s, n, strict=True)]
+        return pd.Series([int(x.sum(dtype=np.int64)) for x in parts], dtype="int64")
 
+    return upto(F.coalesce(F.col(steps) if isinstance(steps, str) else steps, F.lit(_packed(b""))), n_chars.cast("long"))
 
-def chars_within(counts: Column, budget: Column) -> Column:
-    """Characters in the longest prefix of at most ``budget`` tokens, from the stored counts.
+
+def chars_within(steps: Column | str, budget: Column) -> Column:
+    """Characters in the longest prefix of at most ``budget`` tokens, from the stored steps.
 
     Counts may fall when a later character completes a longer piece, so the
     answer is the last prefix that fits, not the first that does not.
     """
-    fits = F.filter(F.transform(counts, lambda c, i: F.when(c <= budget, i)), lambda i: i.isNotNull())
-    return F.coalesce(F.array_max(fits), F.lit(0))
 
+    @F.pandas_udf("long")
+    def within(s: pd.Series, most: pd.Series) -> pd.Series:
+        out = []
+        for x, m in zip(s, most, strict=True):
+            fits = np.flatnonzero(counts_of(zlib.decompress(x)) <= m)
+            out.append(int(fits[-1]) if len(fits) else 0)
+        return pd.Series(out, dtype="int64")
 
-def count_tokens(docs: DataFrame, text_col: str = "text", model_file: str | None = None, limit: int = 4096) -> DataFrame:
-    """``docs`` with n_bytes, n_tokens and over_limit."""
+    return within(F.coalesce(F.col(steps) if isinstance(steps, str) else steps, F.lit(_packed(b""))), budget.cast("long"))
+
+
+def store_counts(docs: DataFrame, text_col: str = "text", model_file: str | None = None, path: str | None = None) -> DataFrame:
+    """The columns of ``docs`` but the text, n_bytes, n_chars, n_tokens and prefix_steps, stored at ``path`` (by default in the shared folder)."""
+    spark = docs.sparkSession
+    (found,) = common.fresh_names(docs, "steps")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return (
-        docs.withColumn("n_bytes", F.octet_length(text).cast("long"))
-        .withColumn("n_tokens", token_count(text, model_file))
-        .withColumn("over_limit", F.col("n_tokens") > limit)
-    )
+    out = docs.withColumn(found, prefix_steps(text, model_file))
+    made = {"n_bytes": F.octet_length(text).cast("long"), "n_chars": F.length(text).cast("long"), "n_tokens": F.col(f"{found}.n_tokens"), "prefix_steps": F.col(f"{found}.steps")}
+    out = out.withColumns(made).drop(text_col, found)
+    path = path or common.fresh_path(spark, "prefix-counts")
+    out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def count_tokens(docs: DataFrame, text_col: str = "text", model_file: str | None = None, limit: int = 4096) -> DataFrame:
+    """The columns of ``docs`` but the text, n_bytes, n_tokens, over_limit, and chars_within: the characters that fit the limit.
+
+    All answers come from the stored counts.  Where the whole text fits, the
+    longest prefix that fits is the text.
+    """
+    store = store_counts(docs, text_col, model_file)
+    over = F.col("n_tokens") > limit
+    fits = F.when(over, chars_within(F.when(over, F.col("prefix_steps")), F.lit(limit))).otherwise(F.col("n_chars"))
+    return store.withColumns({"over_limit": over, "chars_within": fits}).drop("prefix_steps", "n_chars")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit", "chars_within")
