@@ -83,21 +83,24 @@ class BatchMemo:
     """A memo of bounded size that computes missing values many at a time.
 
     ``make(list of keys)`` returns their values in order.  ``of(keys)`` is the
-    mapping that holds at least ``keys``.  When more than ``limit`` entries
-    would live, the memo starts anew.
+    mapping that holds at least ``keys``.  Entries live in two generations of
+    half the ``limit`` each: when the young one is full it becomes the old one,
+    and an old entry that is asked for again moves back.
     """
 
     def __init__(self, make, limit: int = 300_000):
-        self.make, self.limit, self.held = make, limit, {}
+        self.make, self.limit, self.young, self.old = make, limit, {}, {}
 
     def of(self, keys: set) -> dict:
-        missing = keys.difference(self.held)
+        missing = keys.difference(self.young)
         if missing:
-            if len(self.held) + len(missing) > self.limit:
-                self.held, missing = {}, keys
-            missing = list(missing)
-            self.held.update(zip(missing, self.make(missing), strict=True))
-        return self.held
+            if len(self.young) + len(missing) > self.limit // 2:
+                self.old, self.young, missing = self.young, {}, keys
+            again = missing.intersection(self.old)
+            self.young.update({k: self.old[k] for k in again})
+            new = list(missing.difference(again))
+            self.young.update(zip(new, self.make(new), strict=True))
+        return self.young
 
 
 def slices(texts, most_chars: int = 2_000_000):

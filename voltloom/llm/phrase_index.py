@@ -4,18 +4,20 @@
 partitioned by documents: a segment holds about ``segment_words`` words of
 whole documents, and in it every term has one ascending list of positions.
 Positions of different documents never touch, so a phrase cannot cross.  A
-segment is stored as rows of ``BUCKETS`` term buckets plus one row for its
-documents, so a search reads only the lists of its own terms, and no posting
-is shuffled to build the index.
+segment is stored as ``BUCKETS`` buckets of terms and a part for its documents,
+so a search reads only the buckets of its own terms.  Tasks append their
+segments to files in the shared folder, under names no other attempt uses; a
+manifest that Spark commits lists the segments of successful attempts.
 
 A phrase is found by taking its rarest term's list (rarest in the segment)
 and intersecting it with the offset-adjusted lists of its other terms, from
 rare to frequent; a proximity match asks for one position of each term within
 a span of ``window`` words of one document.
 
-The test set is searched in blocks of at most ``block_words`` words, each sent
-to all tasks, so what is broadcast has a fixed bound; every block meets every
-segment.
+The test set is stored in blocks of at most ``block_words`` words (and one
+window); a search task goes through all blocks for each of its segments, where
+the segment lies: no posting is ever shuffled, nothing passes through the
+driver, and a task holds one block and the lists of its terms in one segment.
 
 Defined results: a null or empty text has no words and no hits; an item
 without words matches nothing; repeated items with one id count once; repeated
@@ -26,6 +28,8 @@ tables give empty results.  Only the named columns are read.
 from __future__ import annotations
 
 import hashlib
+import struct
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -38,13 +42,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .warc import filesystem
 
 #: Bytes of words: digits, letters, everything outside ASCII; A-Z lowered, all else a space.
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 BUCKETS = 32
-INDEX = "segment string, bucket int, hashes binary, counts binary, deltas binary, terms binary, doc_ids array<string>, tags array<long>, starts binary"
+INDEX = "path string, offset long, words long, docs long"
+_DOCUMENTS = pa.schema([("doc_id", pa.string()), ("tag", pa.int64()), ("start", pa.int64())])
+_PART = struct.Struct("<QQ")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -55,17 +62,24 @@ def words_of(text: str | None) -> list[bytes]:
 # ---------------------------------------------------------------- index
 
 
-def _segments(segment_words: int):
+def _segments(folder: str, segment_words: int, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, part = TaskContext.get().partitionId(), count()
+        files, path = filesystem(folder)
         vocab: defaultdict = defaultdict(count().__next__)
         codes, starts, ids, tags, at = [], [], [], [], 0
+        out, name, size, listed = None, "", 0, []
 
         def flush():
-            nonlocal vocab, codes, starts, ids, tags, at
-            yield from _segment(f"{task}-{next(part)}", vocab, codes, starts, at, ids, tags)
+            nonlocal vocab, codes, starts, ids, tags, at, out, name, size
+            if out is None or size >= file_bytes:
+                if out is not None:
+                    out.close()
+                name, size = f"{path}/{uuid.uuid4().hex}.seg", 0
+                out = files.open_output_stream(name, buffer_size=1 << 20)
+            data = _segment(vocab, codes, starts, at, ids, tags)
+            out.write(data)
+            listed.append((name, size, at - len(ids), len(ids)))
+            size += len(data)
             vocab = defaultdict(count().__next__)
             codes, starts, ids, tags, at = [], [], [], [], 0
 
@@ -79,14 +93,33 @@ def _segments(segment_words: int):
                 tags.append(t)
                 at += len(ws) + 1  # the free position keeps documents apart
                 if at >= segment_words:
-                    yield from flush()
+                    flush()
         if ids:
-            yield from flush()
+            flush()
+        if out is not None:
+            out.close()
+            cols = list(zip(*listed, strict=True))
+            yield pa.record_batch([pa.array(cols[0]), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["path", "offset", "words", "docs"])
 
     return run
 
 
-def _segment(name, vocab, codes, starts, end, ids, tags) -> Iterator[pa.RecordBatch]:
+def _pack(parts: list[bytes]) -> bytes:
+    return b"".join([_PART.pack(len(parts), 0), *[_PART.pack(len(p), 0) for p in parts], *parts])
+
+
+def _unpack(data: bytes) -> list[bytes]:
+    n = _PART.unpack_from(data, 0)[0]
+    at, out = _PART.size * (n + 1), []
+    for k in range(n):
+        size = _PART.unpack_from(data, _PART.size * (k + 1))[0]
+        out.append(data[at : at + size])
+        at += size
+    return out
+
+
+def _segment(vocab, codes, starts, end, ids, tags) -> bytes:
+    """A segment: a table of (packed, raw) sizes, then its documents and each bucket of terms, compressed."""
     starts = np.array([*starts, end], np.int64)
     code = np.concatenate(codes)
     length = np.diff(starts) - 1
@@ -103,68 +136,65 @@ def _segment(name, vocab, codes, starts, end, ids, tags) -> Iterator[pa.RecordBa
     ends = np.cumsum(counts)
     delta = np.diff(position, prepend=0)
     delta[(ends - counts)[counts > 0]] = position[(ends - counts)[counts > 0]]
-    bucket = (hashes[by] % np.uint64(BUCKETS)).astype(np.int64)
-    edges = np.searchsorted(bucket, np.arange(BUCKETS + 1))
-    rows = [(name, -1, None, None, None, None, ids, tags, starts.astype("<i8").tobytes())]
+    edges = np.searchsorted((hashes[by] % np.uint64(BUCKETS)).astype(np.int64), np.arange(BUCKETS + 1))
+    docs = pa.record_batch([pa.array([*ids, None], pa.string()), pa.array([*tags, None], pa.int64()), pa.array(starts)], schema=_DOCUMENTS)
+    raw = [docs.serialize().to_pybytes()]
     for k in range(BUCKETS):
         a, b = int(edges[k]), int(edges[k + 1])
-        if a < b:
-            p, q = int(ends[a] - counts[a]), int(ends[b - 1])
-            rows.append(
-                (name, k, hashes[by[a:b]].astype("<u8").tobytes(), counts[a:b].astype("<i4").tobytes(), delta[p:q].astype("<i4").tobytes(), b" ".join([terms[i] for i in by[a:b]]), None, None, None)
-            )
-    kinds = [pa.string(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
-    for r in rows:
-        yield pa.record_batch([pa.array([x], k) for x, k in zip(r, kinds, strict=True)], names=[f"c{i}" for i in range(9)])
-
-
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_words: int = 1_000_000, path: str | None = None) -> DataFrame:
-    """Index all words of ``docs``; stored at ``path`` (by default in the shared folder)."""
+        p, q = (int(ends[a] - counts[a]), int(ends[b - 1])) if a < b else (0, 0)
+        raw.append(_pack([hashes[by[a:b]].astype("<u8").tobytes(), counts[a:b].astype("<i4").tobytes(), delta[p:q].astype("<i4").tobytes(), b" ".join([terms[i] for i in by[a:b]])]))
+    packed = [pa.compress(x, codec="zstd", asbytes=True) for x in raw]
+    return b"".join([_PART.pack(len(x), len(y)) for x, y in zip(packed, raw, strict=True)] + packed)
+
+
+class Segment:
+    """A stored segment, read part by part."""
+
+    def __init__(self, f, offset: int):
+        self.f = f
+        head = f.read_at(_PART.size * (BUCKETS + 1), offset)
+        self.sizes = [_PART.unpack_from(head, _PART.size * k) for k in range(BUCKETS + 1)]
+        self.at = offset + len(head) + np.concatenate([[0], np.cumsum([a for a, _ in self.sizes])])
+        self.docs = pa.ipc.read_record_batch(pa.py_buffer(self._part(0)), _DOCUMENTS)
+        self.starts = self.docs.column(2).to_numpy(zero_copy_only=False)
+
+    def _part(self, k: int) -> bytes:
+        packed, raw = self.sizes[k]
+        return pa.decompress(self.f.read_at(packed, int(self.at[k])), decompressed_size=raw, codec="zstd", asbytes=True)
+
+    def lists(self, wanted: dict[int, tuple[int, bytes]]) -> dict[int, np.ndarray]:
+        """Positions of the wanted terms (by hash: number and term) that the segment has."""
+        out: dict[int, np.ndarray] = {}
+        want = np.array(sorted(wanted), np.uint64)
+        for bucket in np.unique(want % np.uint64(BUCKETS)).tolist():
+            hashes, counts, delta, terms = _unpack(self._part(bucket + 1))
+            hashes = np.frombuffer(hashes, "<u8")
+            at = np.flatnonzero(np.isin(hashes, want))
+            if not len(at):
+                continue
+            counts = np.frombuffer(counts, "<i4").astype(np.int64)
+            ends = np.cumsum(counts)
+            delta, terms = np.frombuffer(delta, "<i4"), terms.split(b" ")
+            for k in at.tolist():
+                number, term = wanted[int(hashes[k])]
+                if terms[k] == term:
+                    out[number] = np.cumsum(delta[ends[k] - counts[k] : ends[k]], dtype=np.int64)
+        return out
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_words: int = 1_000_000, file_bytes: int = 1 << 30) -> DataFrame:
+    """Index all words of ``docs`` in the shared folder; returns the manifest of its segments."""
     spark = docs.sparkSession
-    path = path or common.fresh_path(spark, "phrase-index")
-    rows = docs.select(F.col(text_col), F.col(id_col).cast("string"), F.xxhash64(F.col(text_col)))
-    rows.toDF("text", "id", "tag").mapInArrow(_segments(segment_words), INDEX).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(INDEX).parquet(path)
+    folder = common.fresh_path(spark, "phrase-index")
+    files, path = filesystem(folder)
+    files.create_dir(path)
+    rows = docs.select(F.col(text_col), F.col(id_col).cast("string"), F.xxhash64(F.col(text_col))).toDF("text", "id", "tag")
+    return common.materialize(rows.mapInArrow(_segments(folder, segment_words, file_bytes), INDEX), "segments")
 
 
 # ---------------------------------------------------------------- search
 
 
-def _pick(wanted: dict[int, tuple[int, bytes]]):
-    """Keep the document rows and, of the term rows, the wanted terms' lists as (term number, positions)."""
-    want = np.array(sorted(wanted), np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for r in b.to_pylist():
-                if r["bucket"] < 0:
-                    out.append((r["segment"], -1, r["starts"], r["doc_ids"], r["tags"]))
-                    continue
-                hashes = np.frombuffer(r["hashes"], "<u8")
-                at = np.searchsorted(hashes, want)
-                at = at[(at < len(hashes))]
-                at = np.unique(at[np.isin(hashes[at], want)])
-                if not len(at):
-                    continue
-                counts = np.frombuffer(r["counts"], "<i4").astype(np.int64)
-                ends = np.cumsum(counts)
-                delta = np.frombuffer(r["deltas"], "<i4")
-                terms = r["terms"].split(b" ")
-                for k in at.tolist():
-                    number, term = wanted[int(hashes[k])]
-                    if terms[k] == term:
-                        pos = np.cumsum(delta[ends[k] - counts[k] : ends[k]], dtype=np.int64)
-                        out.append((r["segment"], number, pos.astype("<i8").tobytes(), None, None))
-            kinds = [pa.string(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array([x[i] for x in out], kinds[i]) for i in range(5)], names=["segment", "term", "positions", "doc_ids", "tags"])
-
-    return run
-
-
-PICKED = "segment string, term int, positions binary, doc_ids array<string>, tags array<long>"
-
-
 def find_phrase(lists: dict[int, np.ndarray], terms: tuple[int, ...]) -> np.ndarray:
     """Start positions of a phrase, from the rarest term on."""
     if any(t not in lists for t in terms):
@@ -210,42 +240,70 @@ def _covered(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begin[at], top[np.concatenate([at[1:] - 1, [len(begin) - 1]])]
 
 
-def _search(phrases: list[tuple[str, tuple[int, ...]]], window: int | None):
-    """Per segment: a row per document, and its merged hit spans by item."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = {}
-        for term, pos in zip(pdf["term"], pdf["positions"], strict=True):
-            if term >= 0:
-                lists[term] = np.frombuffer(pos, "<i8")
-        docs = pdf[pdf["term"] < 0].iloc[0]
-        starts = np.frombuffer(docs["positions"], "<i8")
-        hits: defaultdict = defaultdict(list)
-        for item, terms in phrases:
-            found = find_phrase(lists, terms) if window is None else find_near(lists, terms, window, starts)
-            if len(found):
-                hits[item].append((found, len(terms) if window is None else window))
-        per_doc: defaultdict = defaultdict(list)
-        for item, parts in hits.items():
-            begin = np.concatenate([p for p, _ in parts])
-            end = np.concatenate([p + n for p, n in parts])
-            order = np.argsort(begin, kind="stable")
-            begin, end = _covered(begin[order], end[order])
-            doc = np.searchsorted(starts, begin, "right") - 1
-            end = np.minimum(end, starts[doc + 1] - 1)
-            for d, a, b in zip(doc.tolist(), (begin - starts[doc]).tolist(), (end - starts[doc]).tolist(), strict=True):
-                per_doc[d].append((item, a, b))
-        n = np.diff(starts) - 1
-        rows = []
-        for d, (key, tag) in enumerate(zip(docs["doc_ids"], docs["tags"], strict=True)):
-            spans = per_doc.get(d, ())
-            rows.append((pdf["segment"].iloc[0], d, key, tag, int(n[d]), [s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans]))
-        return pd.DataFrame(rows, columns=["segment", "ordinal", "doc_key", "doc_tag", "n_words", "items", "begins", "ends"])
+class _Block:
+    """A block of the test set: its windows, as numbers of terms, and its terms by hash."""
+
+    def __init__(self, rows: pa.Table):
+        number: dict[bytes, int] = {}
+        windows = dict.fromkeys(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
+        self.phrases = [(item, tuple(number.setdefault(w, len(number)) for w in ws.split(b" "))) for item, ws in windows]
+        self.wanted = {xxhash.xxh64_intdigest(w): (k, w) for w, k in number.items()}
+
+
+def _search(folder: str, blocks: str, window: int | None):
+    """A row per document of each segment, with its hit spans merged by item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = filesystem(folder)
+        names = _block_files(files, blocks)
+        held: dict[str, _Block] = {}
+
+        def block(name: str) -> _Block:
+            if name not in held:
+                held.clear()
+                with files.open_input_file(name) as f:
+                    held[name] = _Block(pa.ipc.open_file(f).read_all())
+            return held[name]
+
+        for b in batches:
+            for path, offset in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with files.open_input_file(path) as f:
+                    seg = Segment(f, offset)
+                    spans: defaultdict = defaultdict(list)  # by item
+                    for name in names:
+                        for item, begin, end in _hits(seg, block(name), window):
+                            spans[item].append((begin, end))
+                yield _documents(seg, spans)
 
     return run
 
 
-MATCHES = "segment string, ordinal int, doc_key string, doc_tag long, n_words long, items array<string>, begins array<int>, ends array<int>"
+def _hits(seg: Segment, block: _Block, window: int | None) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    lists = seg.lists(block.wanted)
+    for item, terms in block.phrases:
+        found = find_phrase(lists, terms) if window is None else find_near(lists, terms, window, seg.starts)
+        if len(found):
+            yield item, found, found + (len(terms) if window is None else window)
+
+
+def _documents(seg: Segment, spans: dict) -> pa.RecordBatch:
+    starts = seg.starts
+    per_doc: defaultdict = defaultdict(list)
+    for item, parts in spans.items():
+        begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(begin, kind="stable")
+        begin, end = _covered(begin[order], end[order])
+        doc = np.searchsorted(starts, begin, "right") - 1
+        end = np.minimum(end, starts[doc + 1] - 1)
+        for d, a, b in zip(doc.tolist(), (begin - starts[doc]).tolist(), (end - starts[doc]).tolist(), strict=True):
+            per_doc[d].append((item, a, b))
+    n = seg.docs.num_rows - 1
+    found = [per_doc.get(d, ()) for d in range(n)]
+    lists = [pa.array([[s[k] for s in x] for x in found], pa.list_(kind)) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
+    return pa.record_batch([seg.docs.column(0)[:n], seg.docs.column(1)[:n], pa.array(np.diff(starts) - 1), *lists], names=["doc_key", "doc_tag", "n_words", "items", "begins", "ends"])
+
+
+MATCHES = "doc_key string, doc_tag long, n_words long, items array<string>, begins array<int>, ends array<int>"
 
 
 def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
@@ -255,18 +313,40 @@ def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, size: int, block_words: int) -> Iterator[list[tuple[str, tuple[bytes, ...]]]]:
-    """Windows of the test set, in blocks of at most ``block_words`` words, streamed through the driver."""
-    block, held = [], 0
-    for item, text in items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).toLocalIterator():
-        for w in windows_of(words_of(text), size):
-            block.append((item, w))
-            held += len(w)
-            if held >= block_words:
-                yield block
-                block, held = [], 0
-    if block:
-        yield block
+_WINDOWS = pa.schema([("item", pa.string()), ("words", pa.binary())])
+
+
+def _block_files(files, folder: str) -> list[str]:
+    """Files of the blocks that the manifest lists."""
+    from pyarrow import parquet
+
+    _, path = filesystem(folder)
+    return sorted(parquet.read_table(f"{path}/manifest", filesystem=files, columns=["path"]).column(0).to_pylist())
+
+
+def _store_blocks(folder: str, size: int, block_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = filesystem(folder)
+        rows, held, names = [], 0, []
+
+        def put():
+            names.append(f"{path}/{uuid.uuid4().hex}.block")
+            with files.open_output_stream(names[-1]) as out, pa.ipc.new_file(out, _WINDOWS) as w:
+                w.write(pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.binary()), strict=True)], schema=_WINDOWS))
+
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for w in windows_of(words_of(text), size):
+                    rows.append((item, b" ".join(w)))
+                    held += len(w)
+                    if held >= block_words:
+                        put()
+                        rows, held = [], 0
+        if rows:
+            put()
+        yield pa.record_batch([pa.array(names, pa.string())], names=["path"])
+
+    return run
 
 
 def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = 10, window: int | None = None, block_words: int = 1_000_000) -> DataFrame:
@@ -275,19 +355,15 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
     ``window=None``: exact occurrences of every ``size``-word window of an item.
     Otherwise: places where all words of such a window stand within ``window`` words.
     """
-    out = None
-    for block in _blocks(items, id_col, text_col, size, block_words):
-        out = _one_block(index, block, window) if out is None else out.unionByName(_one_block(index, block, window))
-    return _one_block(index, [], window) if out is None else out
-
-
-def _one_block(index: DataFrame, block: list, window: int | None) -> DataFrame:
-    number: dict[bytes, int] = {}
-    phrases = [(item, tuple(number.setdefault(w, len(number)) for w in ws)) for item, ws in dict.fromkeys(block)]
-    wanted = {xxhash.xxh64_intdigest(w): (k, w) for w, k in number.items()}
-    buckets = sorted({h % BUCKETS for h in wanted})
-    picked = index.filter(F.col("bucket").isin([-1, *buckets])).mapInArrow(_pick(wanted), PICKED)
-    return picked.groupBy("segment").applyInPandas(_search(phrases, window), MATCHES)
+    spark = index.sparkSession
+    blocks = common.fresh_path(spark, "test-blocks")
+    files, path = filesystem(blocks)
+    files.create_dir(path)
+    texts = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).toDF("item", "text")
+    texts.mapInArrow(_store_blocks(blocks, size, block_words), "path string").write.parquet(f"{blocks}/manifest")
+    segments = index.select("path", "offset")
+    segments = segments.repartition(max(1, min(index.count(), 20_000)))
+    return segments.mapInArrow(_search(common.shared_dir(spark), blocks, window), MATCHES)
 
 
 def _digest(items: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
@@ -308,13 +384,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """A row per document: doc_key, doc_tag, n_words, n_hit, n_items, items_sha256, contaminated."""
     index = build_index(docs, id_col, text_col, segment_words)
     found = search(index, items, item_col, item_text, size, None, block_words)
-    merged = found.groupBy("segment", "ordinal").agg(
-        F.first("doc_key").alias("doc_key"),
-        F.first("doc_tag").alias("doc_tag"),
-        F.first("n_words").alias("n_words"),
-        *[F.flatten(F.collect_list(c)).alias(c) for c in ("items", "begins", "ends")],
-    )
-    out = merged.withColumn("_d", F.pandas_udf(_digest, "n_hit long, n_items long, items_sha256 string")("items", "begins", "ends"))
+    out = found.withColumn("_d", F.pandas_udf(_digest, "n_hit long, n_items long, items_sha256 string")("items", "begins", "ends"))
     return out.select("doc_key", "doc_tag", "n_words", "_d.*").withColumn("contaminated", F.col("n_hit") > 0)
 
 
