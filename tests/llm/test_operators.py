@@ -236,9 +236,25 @@ def test_simhash(spark, odd):
     for cap in (4096, 4):
         got = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs, bucket_cap=cap).collect()]
         assert brute.same_rows(got, want)
+    clash = docs.selectExpr("*", "1 AS _fp", "2 AS fingerprint", "3 AS component_id", "4 AS light", "5 AS _id", "6 AS _n")
+    got = simhash.near_duplicates(clash, most_heavy=10).collect()
+    assert brute.same_rows([(r.doc_id, r.fingerprint, r.component_id) for r in got], want) and {(r._fp, r._id, r._n) for r in got} == {(1, 5, 6)}
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_links_of_full_buckets():
+    """Full buckets of dense fingerprints take memory in proportion to their rows."""
+    import tracemalloc
+
+    bucket = np.repeat(np.arange(6), 4096)
+    fp = np.concatenate([np.random.default_rng(k).permutation(4096).astype(np.uint64) | np.uint64(k << 20) for k in range(6)])
+    tracemalloc.start()
+    u, v = simhash._links(bucket, fp, 3)
+    assert tracemalloc.get_traced_memory()[1] < 60 * 8 * len(fp)
+    tracemalloc.stop()
+    assert len(u) == 6 * 4095 and len(set(v.tolist())) == 6
+
+
 def test_pigeonhole_finds_every_link(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40).astype(np.uint64)

@@ -20,8 +20,8 @@ yields a spanning star per linked class, not its pairs.
 Defined results: a null or empty text, or one of white space only, has no
 words and fingerprint zero, and is linked like any other; repeated rows each
 get a row; a component whose doc_ids are all null has a null id; an empty
-table gives an empty result; other columns pass unchanged, and columns named
-fingerprint or component_id are replaced.
+table gives an empty result; other columns but the text pass unchanged, and
+columns named fingerprint or component_id are replaced.
 """
 
 from __future__ import annotations
@@ -192,28 +192,28 @@ def _filed(mask: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c.view(np.int64)) for c in cols], names=["b", "m", "fp"])
 
 
-def _stars(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star per class that the links a-b (indices into fp) join."""
-    root = np.arange(len(fp))
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        live = root[a] != root[b]
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` (the least member of each class) after the links a-b."""
+    while True:
+        x, y = root[a], root[b]
+        live = x != y
         if not live.any():
-            break
-    while (root[root] != root).any():
-        root = root[root]
-    at = np.flatnonzero(root != np.arange(len(fp)))
-    return fp[at], fp[root[at]]
+            return root
+        a, b, x, y = a[live], b[live], x[live], y[live]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
 
 
 def _links(bucket: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars over the links inside each run of equal ``bucket`` numbers."""
+    """Stars over the links inside each run of equal ``bucket`` numbers.
+
+    Links join classes as they are found, none is kept; a run that is one
+    class already is left alone.
+    """
     edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     size = np.diff(np.concatenate([edge, [len(bucket)]]))
-    us, vs = [], []
+    root = np.arange(len(fp))
     shift, reach = 1, int(size.max()) if len(size) else 0
     place = np.arange(len(bucket)) - np.repeat(edge, size)
     room = np.repeat(size, size) - place  # members from here to the end of the run
@@ -221,12 +221,14 @@ def _links(bucket: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarra
     while shift < reach and len(small):
         small = small[room[small] > shift]
         hit = small[np.bitwise_count(fp[small] ^ fp[small + shift]) <= max_bits]
-        us.append(hit)
-        vs.append(hit + shift)
+        hit = hit[root[hit] != root[hit + shift]]
+        if len(hit):
+            root = _join(root, hit, hit + shift)
+            one = np.minimum.reduceat(root, edge) == np.maximum.reduceat(root, edge)
+            small = small[~np.repeat(one, size)[small]]
         shift += 1
-    if not us:
-        return fp[:0], fp[:0]
-    return _stars(fp, np.concatenate(us), np.concatenate(vs))
+    at = np.flatnonzero(root != np.arange(len(fp)))
+    return fp[at], fp[root[at]]
 
 
 def _verify(max_bits: int, rows: int = 200_000):
@@ -281,18 +283,29 @@ def near_links(fps: DataFrame, max_bits: int = 3, bucket_cap: int = 4096, plan_s
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, bucket_cap: int = 4096
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, bucket_cap: int = 4096, most_heavy: int = 10_000
 ) -> DataFrame:
-    """One row per document: its columns, ``fingerprint`` (hex) and ``component_id``."""
-    rows = common.materialize(docs.withColumn("_fp", simhash_column(F.col(text_col), shingle)).drop(text_col), "fingerprints")
-    nodes = common.materialize(rows.groupBy("_fp").agg(F.min(id_col).alias("_id")).withColumnRenamed("_fp", "fp"), "distinct-fingerprints")
+    """One row per document: its columns but the text, ``fingerprint`` (hex) and ``component_id``.
+
+    Fingerprints of more than one in ``most_heavy`` documents - so at most that
+    many - take their component from a broadcast, all others by a join.
+    """
+    key, label, light = common.fresh_names(docs, "fp", "component", "light", also=("fingerprint", "component_id"))
+    rows = docs.withColumn(key, simhash_column(F.col(text_col), shingle)).drop(text_col, "component_id", "fingerprint")
+    rows = common.materialize(rows, "fingerprints")
+    nodes = common.materialize(rows.groupBy(F.col(key).alias("fp")).agg(F.min(id_col).alias("_id"), F.count(F.lit(1)).alias("_n")), "distinct-fingerprints")
     roots = components(near_links(nodes.select("fp"), max_bits, bucket_cap))
     joined = roots.join(nodes, roots.node == nodes.fp)
     least = joined.groupBy("root").agg(F.min("_id").alias("_least"))
     linked = joined.select("fp", "root").join(least, "root").select("fp", "_least")
-    label = nodes.join(linked, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("_least", "_id").alias("component_id"))
-    out = rows.drop("component_id", "fingerprint").join(label, "_fp", "left")
-    return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp")
+    labels = nodes.join(linked, "fp", "left").select(F.col("fp").alias(key), F.coalesce("_least", "_id").alias(label), "_n")
+    labels = common.materialize(labels, "components")
+    many = labels.agg(F.sum("_n")).first()[0] or 0
+    heavy = (F.col("_n") > 1) & (F.col("_n") * most_heavy > many)
+    first = rows.join(F.broadcast(labels.filter(heavy).select(key, label, F.lit(False).alias(light))), key, "left")
+    rest = first.filter(F.col(light).isNull()).drop(label, light).join(labels.filter(~heavy).select(key, label), key, "left")
+    out = first.filter(F.col(light).isNotNull()).drop(light).unionByName(rest)
+    return out.withColumns({"fingerprint": F.lower(F.lpad(F.hex(key), 16, "0")), "component_id": F.col(label)}).drop(key, label)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -579,9 +592,10 @@ def duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000, **how) -> DataFrame:
     """One row of each group of near copies, with all its columns."""
     drops, repeated = duplicates(docs, id_col, text_col, broadcast_rows=broadcast_rows, **how)
+    names = common.fresh_names(docs, "k", "t")
+    drops = drops.toDF(*names)
     drops = F.broadcast(drops) if drops.count() <= broadcast_rows else drops
-    key = common.row_key(id_col, text_col)
-    out = docs.withColumn("_k", key[0]).withColumn("_t", key[1]).join(drops, ["_k", "_t"], "left_anti")
+    out = docs.withColumns(dict(zip(names, common.row_key(id_col, text_col), strict=True))).join(drops, names, "left_anti")
     if repeated:
-        out = out.dropDuplicates(["_k", "_t"])
+        out = out.dropDuplicates(names)
     return out.select(*docs.columns)
