@@ -317,10 +317,9 @@ def encode_digests(docs: DataFrame, text_col: str = "text", rank_file: str | Non
             ]
             yield pd.DataFrame(rows, columns=names)
 
-    out = docs.withColumn("_bpe", digest(F.coalesce(F.col(text_col), F.lit(""))))
-    for c in names:
-        out = out.withColumn(c, F.col(f"_bpe.{c}"))
-    return out.drop("_bpe")
+    (found,) = common.fresh_names(docs, "bpe", also=tuple(names))
+    out = docs.withColumn(found, digest(F.coalesce(F.col(text_col), F.lit(""))))
+    return out.withColumns({c: F.col(f"{found}.{c}") for c in names}).drop(found)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

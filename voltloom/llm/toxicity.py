@@ -2,8 +2,9 @@
 
 Token scores are log-odds of occurring in toxic and in clean labelled texts
 under an informative Dirichlet prior (Monroe et al. 2008), lowered by their
-standard error, from the number of texts that hold the token; a word too rare to tell takes the score of its first five or four
-letters if many different words agree on them.  Every token also pays a drift,
+standard error, from the number of texts that hold the token; a word too rare to tell takes the
+score of its first five or four letters if many different words agree on them.
+Every token also pays a drift,
 so clean text runs downhill, and one linear scan (Ruzzo and Tompa 1999) finds
 all maximal segments.  By Karlin-Altschul statistics a segment of score S in a
 text of n tokens has ``E = K n exp(-lambda S)`` equals expected in clean text;
@@ -13,7 +14,7 @@ the passages; their evidence is added up and mapped to a probability by a
 logistic curve fitted on the training texts.
 
 Fitting uses at most ``train_rows`` labelled rows (a documented bound; those of
-least hash), of which near copies count once: of rows that share one of four
+least hash), of which near copies count once: of rows that share three of four
 min-hashes the first is taken.  Labels of the held-out fold, and languages,
 sources and ids, are never used for a score.
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from itertools import combinations
 from math import exp, log
 
 import numpy as np
@@ -166,7 +168,7 @@ def _log_odds(yt: Column, yn: Column, nt: float, nn: float, prior: float) -> tup
     return odds, F.sqrt(1 / a + 1 / b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 20_000, prior: float = 1000.0, least_docs: int = 4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 20_000, prior: float = 1000.0, least_docs: int = 4, prefix_sizes: tuple = (4, 5)) -> Model:
     """A model from the labelled rows outside the held-out fold."""
     spark = docs.sparkSession
     y = F.col(label_col).cast("int")
@@ -175,12 +177,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     pool = pool.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     train = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(pool), "doc_id")
-    train = common.materialize(train.select("doc_id", "text", "y"), "toxic-train")
+    # repeated rows of an id are one training row
+    train = common.materialize(train.groupBy("doc_id", "y").agg(F.max("text").alias("text")).select("doc_id", "text", "y"), "toxic-train")
     kept, seen, ys = set(), set(), {0: 0, 1: 0}
     rows = train.select("doc_id", "text").mapInArrow(_min_hashes, "doc_id long, a long, b long, c long, d long")
     known = {r[0]: r[1] for r in train.select("doc_id", "y").collect()}
     for r in sorted(map(tuple, rows.collect()), key=lambda r: (r[1], r[0])):
-        marks = {(i, h) for i, h in enumerate(r[1:])}
+        marks = set(combinations(enumerate(r[1:]), 3))
         if r[0] in kept or not marks.isdisjoint(seen):
             continue
         seen |= marks
@@ -207,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     words = telling(counts.filter(F.col("yt") >= least_docs))
     prefixes: dict[str, float] = {}
-    for size in (4, 5):
+    for size in prefix_sizes:
         many = counts.filter((F.length("word") > 5) & (F.col("yt") > 0)).groupBy(F.substring("word", 1, size).alias("word")).agg(F.count(F.lit(1)).alias("many"))
         prefixes |= telling(every.filter((F.col("kind") == size) & (F.col("yt") >= least_docs)).join(many.filter("many >= 3"), "word"))
     if prefixes:  # words that clean texts do hold keep their own odds
@@ -223,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _karlin(counts: DataFrame, model: Model, nn: float) -> float:
     """lambda with sum of p(w) exp(lambda s(w)) = 1 over clean tokens; positive words get half a count at least."""
-    held = counts.filter(F.col("word").isin(list(model.words)) if len(model.words) < 5000 else F.lit(True)).select("word", "yn").collect()
+    words = counts.sparkSession.createDataFrame([(w,) for w in model.words] or [("",)], "word string")
+    held = counts.join(F.broadcast(words), "word").select("word", "yn").collect()  # at most the model's words
     up = [(max(n, 0.5) / nn, model.words[w] - model.drift) for w, n in held if model.words.get(w, 0) > model.drift]
     rest = 1.0 - sum(p for p, _ in up)
 
@@ -294,8 +298,9 @@ def score_column(text: Column | str, model: Model) -> Column:
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score, predicted and passages."""
-    out = docs.withColumn("_tox", score_column(F.coalesce(F.col(text_col), F.lit("")), model))
-    out = out.withColumn("score", F.col("_tox.score")).withColumn("passages", F.col("_tox.passages")).drop("_tox")
+    (found,) = common.fresh_names(docs, "toxicity", also=("score", "passages", "predicted"))
+    out = docs.withColumn(found, score_column(F.coalesce(F.col(text_col), F.lit("")), model))
+    out = out.withColumns({c: F.col(f"{found}.{c}") for c in ("score", "passages")}).drop(found)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
