@@ -35,7 +35,6 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -250,8 +249,8 @@ class _Block:
         self.wanted = {xxhash.xxh64_intdigest(w): (k, w) for w, k in number.items()}
 
 
-def _search(folder: str, blocks: str, window: int | None):
-    """A row per document of each segment, with its hit spans merged by item."""
+def _search(folder: str, blocks: str, window: int | None, digest: bool):
+    """A row per document of each segment, with its hit spans merged by item, or digests of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = filesystem(folder)
@@ -273,7 +272,7 @@ def _search(folder: str, blocks: str, window: int | None):
                     for name in names:
                         for item, begin, end in _hits(seg, block(name), window):
                             spans[item].append((begin, end))
-                yield _documents(seg, spans)
+                yield _documents(seg, spans, digest)
 
     return run
 
@@ -286,7 +285,7 @@ def _hits(seg: Segment, block: _Block, window: int | None) -> Iterator[tuple[str
             yield item, found, found + (len(terms) if window is None else window)
 
 
-def _documents(seg: Segment, spans: dict) -> pa.RecordBatch:
+def _documents(seg: Segment, spans: dict, digest: bool) -> pa.RecordBatch:
     starts = seg.starts
     per_doc: defaultdict = defaultdict(list)
     for item, parts in spans.items():
@@ -299,11 +298,17 @@ def _documents(seg: Segment, spans: dict) -> pa.RecordBatch:
             per_doc[d].append((item, a, b))
     n = seg.docs.num_rows - 1
     found = [per_doc.get(d, ()) for d in range(n)]
-    lists = [pa.array([[s[k] for s in x] for x in found], pa.list_(kind)) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
-    return pa.record_batch([seg.docs.column(0)[:n], seg.docs.column(1)[:n], pa.array(np.diff(starts) - 1), *lists], names=["doc_key", "doc_tag", "n_words", "items", "begins", "ends"])
+    documents = [seg.docs.column(0)[:n], seg.docs.column(1)[:n], pa.array(np.diff(starts) - 1)]
+    if digest:
+        cols = zip(*[_digest(x) for x in found], strict=True) if found else ((), (), ())
+        lists = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)]
+    else:
+        lists = [pa.array([[s[k] for s in x] for x in found], pa.list_(kind)) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
+    return pa.record_batch([*documents, *lists], names=(DIGESTS if digest else MATCHES).replace(",", "").split()[::2])
 
 
 MATCHES = "doc_key string, doc_tag long, n_words long, items array<string>, begins array<int>, ends array<int>"
+DIGESTS = "doc_key string, doc_tag long, n_words long, n_hit long, n_items long, items_sha256 string"
 
 
 def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
@@ -355,6 +360,10 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
     ``window=None``: exact occurrences of every ``size``-word window of an item.
     Otherwise: places where all words of such a window stand within ``window`` words.
     """
+    return _run(index, items, id_col, text_col, size, window, block_words, False)
+
+
+def _run(index: DataFrame, items: DataFrame, id_col: str, text_col: str, size: int, window: int | None, block_words: int, digest: bool) -> DataFrame:
     spark = index.sparkSession
     blocks = common.fresh_path(spark, "test-blocks")
     files, path = filesystem(blocks)
@@ -363,29 +372,28 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
     texts.mapInArrow(_store_blocks(blocks, size, block_words), "path string").write.parquet(f"{blocks}/manifest")
     segments = index.select("path", "offset")
     segments = segments.repartition(max(1, min(index.count(), 20_000)))
-    return segments.mapInArrow(_search(common.shared_dir(spark), blocks, window), MATCHES)
+    return segments.mapInArrow(_search(common.shared_dir(spark), blocks, window, digest), DIGESTS if digest else MATCHES)
+
+
+_NO_ITEMS = hashlib.sha256(b"").hexdigest()
 
 
-def _digest(items: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
-    rows = []
-    for i, a, b in zip(items, begins, ends, strict=True):
-        if i is None or not len(i):
-            rows.append((0, 0, hashlib.sha256(b"").hexdigest()))
-            continue
-        a, b = np.asarray(a), np.asarray(b)
-        order = np.argsort(a, kind="stable")
-        x, y = _covered(a[order], b[order])
-        names = sorted(set(i))
-        rows.append((int((y - x).sum()), len(names), hashlib.sha256(",".join(names).encode()).hexdigest()))
-    return pd.DataFrame(rows, columns=["n_hit", "n_items", "items_sha256"])
+def _digest(spans: list[tuple[str, int, int]]) -> tuple[int, int, str]:
+    """(words hit, items, SHA-256 of the items) of the spans of a document."""
+    if not spans:
+        return 0, 0, _NO_ITEMS
+    begin, end = (np.array([s[k] for s in spans]) for k in (1, 2))
+    order = np.argsort(begin, kind="stable")
+    begin, end = _covered(begin[order], end[order])
+    names = sorted({s[0] for s in spans})
+    return int((end - begin).sum()), len(names), hashlib.sha256(",".join(names).encode()).hexdigest()
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, segment_words: int = 1_000_000, block_words: int = 1_000_000) -> DataFrame:
     """A row per document: doc_key, doc_tag, n_words, n_hit, n_items, items_sha256, contaminated."""
     index = build_index(docs, id_col, text_col, segment_words)
-    found = search(index, items, item_col, item_text, size, None, block_words)
-    out = found.withColumn("_d", F.pandas_udf(_digest, "n_hit long, n_items long, items_sha256 string")("items", "begins", "ends"))
-    return out.select("doc_key", "doc_tag", "n_words", "_d.*").withColumn("contaminated", F.col("n_hit") > 0)
+    found = _run(index, items, item_col, item_text, size, None, block_words, True)
+    return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
