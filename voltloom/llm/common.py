@@ -44,14 +44,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Remove a folder that no later step reads, through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def forget(*tables: DataFrame) -> None:
+    """Remove materialized tables that no later step reads, through Spark's own file system layer."""
+    for df in tables:
+        path = df.__dict__.get("_stored")
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fresh_names(df: DataFrame, *names: str, also: tuple = ()) -> list[str]:

@@ -23,6 +23,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .distinct()
     )
     e, mark = _round(e)
+    start = e
     for _ in range(rounds):
         if mark[0] == 0:
             break
@@ -34,8 +35,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # every smaller neighbour is tied to the least one
         joined = e.join(least, "u")
         e = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        before = mark
+        before, old = mark, start
         e, mark = _round(e)
+        common.forget(old)
+        start = e
         if mark == before:
             break
     else:

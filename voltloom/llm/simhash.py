@@ -503,7 +503,7 @@ def _classes(pairs: DataFrame, sets: DataFrame, similarity: float, few: int, rou
     tries its nearest one; at last, or once a round links none, all pairs
     still open are verified.
     """
-    roots, k, last = None, 0, False
+    roots, k, last, old = None, 0, False, []
     left = pairs.select("u", "v", "d", F.col("u").alias("cu"), F.col("v").alias("cv"))
     while True:
         tried, last = left, last or k == rounds or left.count() <= few
@@ -522,11 +522,13 @@ def _classes(pairs: DataFrame, sets: DataFrame, similarity: float, few: int, rou
         left = left.join(roots.toDF("u", "cu"), "u", "left").join(roots.toDF("v", "cv"), "v", "left")
         left = left.select("u", "v", "d", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).filter("cu <> cv")
         left, k = common.materialize(left, "open-pairs"), k + 1
+        common.forget(*old)
+        old = [left]
 
 
 def duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-    bucket_cap: int = 4096, broadcast_rows: int = 200_000, order_sample: int = 8000,
+    bucket_cap: int = 4096, broadcast_rows: int = 200_000, order_sample: int = 8000, few: int = 20_000,
 ) -> tuple[DataFrame, bool]:
     """Rows that repeat an earlier text: (_k, _t) of all rows but one of each group, and whether a row is repeated.
 
@@ -549,8 +551,8 @@ def duplicates(
     rows = common.materialize(rows, "sketches")
     least = F.min(F.struct(F.col("_d").isNull().alias("_n"), "_d", "_t", "_k"))
     nodes = rows.groupBy("node").agg(*[F.first(f).alias(f) for f in ("size", "prefix", "rare")], least.alias("_first"))
+    nodes = nodes.withColumnRenamed("node", "hash").withColumn("node", F.monotonically_increasing_id())  # narrow numbers, fixed once written
     nodes = common.materialize(nodes, "distinct-texts")
-    n = nodes.count()
     filings = nodes.select("node", "size", "prefix", "rare")
     rare = filings.mapInArrow(_file_prefix(True), FILED_TEXTS).repartition("s").sortWithinPartitions("s").mapInArrow(_met, FILED_TEXTS)
     filed = common.materialize(rare.unionByName(filings.mapInArrow(_file_prefix(False), FILED_TEXTS)), "filed-texts")
@@ -567,25 +569,33 @@ def duplicates(
         texts = docs.select(*key, F.col(text_col).alias("_text")).join(named, ["_k", "_t"]).dropDuplicates(["node"])
         return common.materialize(texts.select("node", _shingle_set(shingle)(F.col("_text")).alias("set")), "near-texts")
 
-    roots = _classes(pairs, sets_of(pairs), similarity, n)
+    sets = sets_of(pairs)
+    roots = common.materialize(_classes(pairs, sets, similarity, few), "classes")
+    common.forget(sets)
     # the rest: all pairs of buckets that still hold different components
     now = blocked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = now.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("s")
     now = common.materialize(now.join(mixed, "s", "left_semi"), "open-buckets")
-    now = now.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    common.forget(filed)
+    cells = now.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     lo, hi = F.least("blk", "other"), F.greatest("blk", "other")
-    cells = now.select(F.xxhash64("s", lo, hi).alias("b"), "s", "node", "size", "pos", "root", "blk", (lo != hi).alias("cross"))
+    cells = cells.select(F.xxhash64("s", lo, hi).alias("b"), "s", "node", "size", "pos", "root", "blk", (lo != hi).alias("cross"))
     rest = cells.repartition("b").sortWithinPartitions("b").mapInArrow(_open_pairs(similarity), "u long, v long")
     rest = rest.groupBy("u", "v").agg((-F.count(F.lit(1))).alias("d")).join(pairs.select("u", "v"), ["u", "v"], "left_anti")
     rest = common.materialize(rest, "rest-pairs")
+    common.forget(now, pairs)
     if rest.limit(1).count():
-        roots = _classes(rest, sets_of(rest), similarity, n, links=roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    joined = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "_first")
+        sets = sets_of(rest)
+        more = _classes(rest, sets, similarity, few, links=roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        roots = common.materialize(more, "classes")
+        common.forget(sets)
+    joined = nodes.join(roots, "node", "left").select("hash", F.coalesce("root", "node").alias("root"), "_first")
     best = joined.groupBy("root").agg(F.min("_first").alias("_best"))
-    keep = joined.join(best, "root").select("node", F.col("_best._k").alias("_bk"), F.col("_best._t").alias("_bt"))
-    marked = rows.select("_k", "_t", "node").join(keep, "node")
+    keep = joined.join(best, "root").select("hash", F.col("_best._k").alias("_bk"), F.col("_best._t").alias("_bt"))
+    marked = rows.select("_k", "_t", F.col("node").alias("hash")).join(keep, "hash")
     drops = common.materialize(marked.filter((F.col("_k") != F.col("_bk")) | (F.col("_t") != F.col("_bt"))).select("_k", "_t").distinct(), "drops")
     repeated = rows.groupBy("_k", "_t").count().filter("count > 1").limit(1).count() > 0
+    common.forget(rows, nodes, roots, rest)
     return drops, repeated
 
 
