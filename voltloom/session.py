@@ -23,12 +23,23 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     return b.getOrCreate()
 
 
+#: Workers live through many stages: memory that a stage gives back returns to the system.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576"}
+#: Rows of an Arrow batch: rows here are whole documents or blocks of a recording, far above a number in size.
+BATCH_ROWS = 2_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers on machines that see this folder import the package.
+    """Let Python workers on machines that see this folder import the package, and bound their memory.
 
     On clusters without a shared folder, pass the package with --py-files.
     """
     env = spark.sparkContext.environment
+    for k, v in WORKER_MEMORY.items():
+        env.setdefault(k, v)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
