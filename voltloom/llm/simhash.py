@@ -315,80 +315,81 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- similar texts
 
+#: Min-hashes of a text, those of one filing, and bits kept of each for comparison.
+HASHES, BAND, KEPT_BITS = 128, 5, 2
+_BANDS = HASHES // BAND
+_rng = np.random.default_rng(0x5EED)
+_FACTOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)[:, None] | np.uint32(1)
+_SHIFT = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)[:, None]
+_LOW_BITS = np.uint64(0x5555555555555555)
+_WORDS = HASHES * KEPT_BITS // 64
 
-def _least_shared(n: int, similarity: float) -> int:
-    """Shingles that a set of ``n`` has at least in common with any set as similar."""
-    return int(np.ceil(similarity * n - 1e-9))
 
+def min_hashes(hashes: np.ndarray, at_once: int = 4096) -> np.ndarray:
+    """The least value of every hash function over a set of 64-bit hashes."""
+    x = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(x), at_once):
+        y = x[k : k + at_once][None, :] * _FACTOR + _SHIFT
+        y ^= y >> np.uint32(15)
+        y *= np.uint32(0x2C1B3C6D)
+        y ^= y >> np.uint32(12)
+        np.minimum(least, y.min(axis=1), out=least)
+    return least
 
-def _sketch(shingle: int, similarity: float, common_ones: tuple[np.ndarray, np.ndarray]):
-    """Text hash, number of distinct shingles and the prefix: the rarest of them, one more than may differ.
 
-    The order is by how often a shingle was seen in the sample, then by hash;
-    any order that all texts share gives the same pairs.
-    """
-    known, seen = common_ones
+def most_different(similarity: float, deviations: float = 3.5) -> int:
+    """Kept min-hashes in which texts of a similarity differ at most, but for one pair in thousands."""
+    p = (1 - similarity) * (1 - 0.5**KEPT_BITS)
+    return int(HASHES * p + deviations * (HASHES * p * (1 - p)) ** 0.5)
 
-    def sketch(s: pd.Series) -> pd.DataFrame:
-        node, size, prefix, often = [], [], [], []
-        for t in s:
-            words = words_of(t)
-            h = np.unique(shingle_hashes(words, shingle))
-            c = np.zeros(len(h), np.int32)
-            if len(known) and len(h):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                c = np.where(known[at] == h, seen[at], 0).astype(np.int32)
-            first = np.argsort(c, kind="stable")[: len(h) - _least_shared(len(h), similarity) + 1]
-            node.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-            size.append(len(h))
-            prefix.append(h[first].tobytes())
-            often.append(int((c[first] == 0).sum()))
-        return pd.DataFrame({"node": np.array(node, np.uint64).view(np.int64), "size": np.array(size, np.int32), "prefix": prefix, "rare": np.array(often, np.int32)})
 
-    return F.pandas_udf(sketch, "node long, size int, prefix binary, rare int")
+def _differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many kept min-hashes two sketches (last axis: words) differ."""
+    d = x ^ y
+    return np.bitwise_count((d | (d >> np.uint64(1))) & _LOW_BITS).sum(axis=-1, dtype=np.int16)
 
 
-def _common_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int, sample: int, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample hold, sorted, and in how many; steers cost only."""
-    n = docs.count()
-    some = docs.select(text_col) if n <= sample else docs.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < int((1 << 30) * sample / n)).select(text_col)
+SKETCH = "hash long, size int, bands binary, " + ", ".join(f"s{k} long" for k in range(_WORDS))
+_SKETCH_COLUMNS = [f"s{k}" for k in range(_WORDS)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [np.unique(shingle_hashes(words_of(t), shingle)) for t in b.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64))], names=["s"])
 
-    found = some.mapInArrow(run, "s long").groupBy("s").count().filter("count > 1").orderBy(F.desc("count"), "s").limit(most).toPandas()
-    known = found["s"].to_numpy(np.int64).view(np.uint64)
-    at = np.argsort(known)
-    return known[at], found["count"].to_numpy(np.int32)[at]
+def _sketch(shingle: int):
+    """Text hash, number of distinct shingles, a bucket number per filing, and the sketch."""
 
+    def sketch(s: pd.Series) -> pd.DataFrame:
+        n = len(s)
+        name, size, least = np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros((n, HASHES), np.uint32)
+        for k, t in enumerate(s):
+            words = words_of(t)
+            h = np.unique(shingle_hashes(words, shingle))
+            name[k], size[k], least[k] = xxhash.xxh3_64_intdigest(b" ".join(words)), len(h), min_hashes(h)
+        bands = np.zeros((n, _BANDS), np.uint64)
+        for k in range(_BANDS * BAND):
+            bands[:, k // BAND] = (bands[:, k // BAND] ^ least[:, k]) * _MULT
+        bands = (bands ^ (bands >> np.uint64(29))) * _MULT + np.arange(_BANDS, dtype=np.uint64)
+        kept = (least & np.uint32(3)).astype(np.uint64).reshape(n, _WORDS, 32) << np.arange(0, 64, 2, dtype=np.uint64)
+        kept = np.bitwise_or.reduce(kept, axis=2).view(np.int64)
+        out = {"hash": name.view(np.int64), "size": size, "bands": [x.tobytes() for x in bands]}
+        return pd.DataFrame(out | {c: kept[:, k] for k, c in enumerate(_SKETCH_COLUMNS)})
 
-FILED_TEXTS = "s long, node long, size int, pos int"
+    return F.pandas_udf(sketch, SKETCH)
 
 
-def _file_prefix(rare: bool):
-    """Rows (shingle, text, its number of shingles, place in its order) of the prefixes' rare or common shingles."""
+FILED_TEXTS = "b long, node long, size int, " + ", ".join(f"{c} long" for c in _SKETCH_COLUMNS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, size, count = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
-            prefix = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
-            parts = [x[:c] if rare else x[c:] for x, c in zip(prefix, count.tolist(), strict=True)]
-            many = np.array([len(x) for x in parts], np.int64)
-            if not many.sum():
-                continue
-            start = np.repeat(np.cumsum(many) - many, many)
-            pos = np.arange(many.sum()) - start + (0 if rare else np.repeat(count, many))
-            yield pa.record_batch(
-                [pa.array(np.concatenate(parts)), pa.array(np.repeat(node, many)), pa.array(np.repeat(size, many)), pa.array(pos.astype(np.int32))],
-                names=["s", "node", "size", "pos"],
-            )
 
-    return run
+def _file_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per text and filing."""
+    for batch in batches:
+        if batch.num_rows:
+            bands = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64).reshape(-1, _BANDS)
+            for k in range(_BANDS):
+                cols = [pa.array(bands[:, k].copy()), batch.column(0), batch.column(1), *batch.columns[3:]]
+                yield pa.record_batch(cols, names=["b", "node", "size", *_SKETCH_COLUMNS])
 
 
-def _whole_buckets(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[list[np.ndarray]]:
+def _whole_buckets(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[list[np.ndarray]]:
     """Columns of sorted rows, cut only where the first column changes."""
     held: list[list[np.ndarray]] = []
     count = 0
@@ -406,63 +407,65 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> It
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Filed rows whose shingle another text has too."""
-    for cols in _whole_buckets(batches):
-        same = cols[0][1:] == cols[0][:-1]
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        yield pa.record_batch([pa.array(x[keep]) for x in cols], names=["s", "node", "size", "pos"])
-
-
-def _neighbours(similarity: float):
-    """Each member of a bucket with the next one and with the first, where sizes and places allow: few pairs that join most of a group."""
-    share = similarity / (1 + similarity)
+def _nearest(similarity: float, limit: int, few: int = 32, at_once: int = 128):
+    """For each member of a bucket its ``limit`` nearest by sketch, of other components and possible sizes; and whether it has more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, node, size, pos in _whole_buckets(batches):
-            start = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-            many = np.diff(np.concatenate([start, [len(b)]]))
-            at = np.arange(len(b))
-            i = np.concatenate([at[:-1][b[1:] == b[:-1]], np.repeat(start, many)])
-            j = np.concatenate([at[1:][b[1:] == b[:-1]], at])
-            ok = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= share * (size[i].astype(np.int64) + size[j]) - 1e-6
-            u, v = node[i[ok]], node[j[ok]]
-            yield pa.record_batch([pa.array(x[u != v]) for x in (np.minimum(u, v), np.maximum(u, v))], names=["u", "v"])
-
-    return run
-
-
-def _open_pairs(similarity: float):
-    """All pairs of a bucket that may be alike and are of different components.
-
-    The shingle is taken for the first that both have (it is for one bucket of
-    every pair alike): what may follow it in both bounds what they share.
-    Members of different blocks (``blk``) are paired in the cell of both only.
+    Members of one block (``blk``) are not paired in the cell of two blocks:
+    they meet in their own.
     """
-    share = similarity / (1 + similarity)
+    most = most_different(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, _, node, size, pos, root, blk, cross in _whole_buckets(batches):
-            edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
-            us, vs, held = [], [], 0
-            for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                rest = size[a:z] - pos[a:z]
-                for k in range(a, z, 256):
-                    i = np.arange(k, min(z, k + 256))
-                    shared = np.minimum((size[i] - pos[i])[:, None], rest[None, :])
-                    ok = shared >= share * (size[i][:, None].astype(np.int64) + size[None, a:z]) - 1e-6
-                    ok &= (root[i][:, None] != root[None, a:z]) & (node[i][:, None] < node[None, a:z])
-                    if cross[a]:
-                        ok &= blk[i][:, None] != blk[None, a:z]
-                    x, y = np.nonzero(ok)
-                    us.append(node[i[x]])
-                    vs.append(node[a + y])
-                    held += len(x)
-                    if held > 500_000:
-                        yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
-                        us, vs, held = [], [], 0
-            if held:
-                yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+        for b, node, size, root, blk, cross, *sketch in _whole_buckets(batches):
+            sk = np.stack([x.view(np.uint64) for x in sketch], axis=1)
+            size = size.astype(np.float64)
+
+            def apart(i, j):
+                """Differences of pairs, or more than allowed where they need not be compared."""
+                d = _differences(sk[i], sk[j])
+                ok = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+                ok &= ~cross[i] | (blk[i] != blk[j])
+                return np.where(ok, d, HASHES + 1)
+
+            edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            many = np.diff(np.concatenate([edge, [len(b)]]))
+            one, two, gap = [], [], []  # member, partner, differences
+            room = np.repeat(many, many) - (np.arange(len(b)) - np.repeat(edge, many))
+            small = np.flatnonzero((np.repeat(many, many) <= few) & (room > 1))
+            for shift in range(1, few):
+                small = small[room[small] > shift]
+                if not len(small):
+                    break
+                d = apart(small, small + shift)
+                near = d <= most
+                i, d = small[near], d[near]
+                one += [i, i + shift]
+                two += [i + shift, i]
+                gap += [d, d]
+            more = np.zeros(0, np.int64)
+            for a, m in zip(edge[many > few].tolist(), many[many > few].tolist(), strict=True):
+                for k in range(a, a + m, at_once):
+                    i = np.arange(k, min(a + m, k + at_once))
+                    d = apart(i[:, None], np.arange(a, a + m)[None, :])
+                    rich = (d <= most).sum(axis=1) > limit
+                    more = np.concatenate([more, node[i[rich]]])
+                    j = np.argpartition(d, limit - 1, axis=1)[:, :limit] if limit < m else np.broadcast_to(np.arange(m), d.shape)
+                    g = np.take_along_axis(d, j, axis=1)
+                    x, y = np.nonzero(g <= most)
+                    one.append(i[x])
+                    two.append(a + j[x, y])
+                    gap.append(g[x, y])
+            if not one:
+                continue
+            one, two, gap = (np.concatenate(x) for x in (one, two, gap))
+            order = np.lexsort((node[two], gap, one))
+            one, two = one[order], two[order]
+            first = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]])) if len(one) else one
+            place = np.arange(len(one)) - np.repeat(first, np.diff(np.concatenate([first, [len(one)]])))
+            more = np.unique(np.concatenate([more, node[one[place >= limit]]]))
+            u, v = node[one[place < limit]], node[two[place < limit]]
+            rich = np.isin(u, more)
+            yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(rich)], names=["u", "v", "more"])
 
     return run
 
@@ -489,113 +492,109 @@ def _jaccard():
     return F.pandas_udf(jaccard, "double")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets are alike."""
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, broadcast_rows: int) -> DataFrame:
+    """The pairs (u, v) whose shingle sets are alike; only the sets of the pairs' texts are moved."""
+    seen = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    seen = F.broadcast(seen) if pairs.count() <= broadcast_rows else seen
+    sets = sets.join(seen, "node", "left_semi")
     both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     return both.filter(_jaccard()(F.col("a"), F.col("b")) >= similarity).select("u", "v")
 
 
-def _classes(pairs: DataFrame, sets: DataFrame, similarity: float, few: int, rounds: int = 8, links: DataFrame | None = None) -> DataFrame:
-    """(node, root) of the components of verified pairs, and of ``links`` verified before.
+def _linked(met: DataFrame, sets_of, similarity: float, broadcast_rows: int) -> DataFrame | None:
+    """(node, root) of the components of verified pairs among the texts that met; None without any.
 
-    A pair inside a component changes nothing, so it need not be verified.
-    While more than ``few`` pairs join different components, every component
-    tries its nearest one; at last, or once a round links none, all pairs
-    still open are verified.
+    Every round each text proposes its nearest partners of other components
+    that its buckets hold, at first one and then four times as many each
+    round, and those not tried before are verified.  It ends when no text has
+    an untried partner left, so none is passed over; a bucket whose texts are
+    of one component is left out of the next rounds.
     """
-    roots, k, last, old = None, 0, False, []
-    left = pairs.select("u", "v", "d", F.col("u").alias("cu"), F.col("v").alias("cv"))
+    roots = links = tried = sets = None
+    limit, part = 1, "coalesce(root, node)"
     while True:
-        tried, last = left, last or k == rounds or left.count() <= few
-        if not last:
-            ends = left.select(F.col("cu").alias("c"), "d", "u", "v").unionByName(left.select(F.col("cv").alias("c"), "d", "u", "v"))
-            tried = ends.groupBy("c").agg(F.min(F.struct("d", "u", "v")).alias("_p")).select("_p.u", "_p.v").distinct()
-        good = common.materialize(_verified(tried.select("u", "v"), sets, similarity), "links")
-        new = good.limit(1).count() > 0
-        if new or roots is None:
-            links = good if links is None else links.unionByName(good)
-            roots = components(links)
-        if last:
-            return roots
-        last = not new
-        left = left.join(tried.withColumn("_tried", F.lit(True)), ["u", "v"], "left").filter("_tried IS NULL").select("u", "v", "d")
-        left = left.join(roots.toDF("u", "cu"), "u", "left").join(roots.toDF("v", "cv"), "v", "left")
-        left = left.select("u", "v", "d", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).filter("cu <> cv")
-        left, k = common.materialize(left, "open-pairs"), k + 1
-        common.forget(*old)
-        old = [left]
+        now = met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").withColumn("root", F.expr(part))
+        if roots is not None:
+            mixed = now.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("b")
+            old, met = met, common.materialize(now.join(mixed, "b", "left_semi"), "open-buckets")
+            common.forget(old)
+            now, met = met, met.drop("root")
+            met._stored = now._stored
+        # first every block by itself, then also every two blocks of a large bucket
+        other = F.array("blk") if limit == 1 else F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+        cells = now.withColumn("other", F.explode(other))
+        lo, hi = F.least("blk", "other"), F.greatest("blk", "other")
+        cells = cells.select(F.xxhash64("b", lo, hi).alias("c"), "node", "size", "root", "blk", (lo != hi).alias("cross"), *_SKETCH_COLUMNS)
+        found = cells.repartition("c").sortWithinPartitions("c").mapInArrow(_nearest(similarity, limit), "u long, v long, more boolean")
+        found = common.materialize(found.groupBy("u", "v").agg(F.max("more").alias("more")), "near-pairs")
+        rest = limit == 1 or found.filter("more").limit(1).count() > 0
+        new = found.select("u", "v")
+        if tried is not None:
+            new = common.materialize(new.join(tried, ["u", "v"], "left_anti"), "new-pairs")
+            common.forget(found)
+        if new.limit(1).count():
+            some = new.select(F.col("u").alias("node")).union(new.select(F.col("v").alias("node"))).distinct()
+            if sets is None:
+                sets = sets_of(some)
+            elif (some := some.join(sets.select("node"), "node", "left_anti")).limit(1).count():
+                sets = sets.unionByName(sets_of(some))
+            good = common.materialize(_verified(new, sets, similarity, broadcast_rows), "links")
+            if good.limit(1).count():
+                links = good if links is None else links.unionByName(good)
+                roots = components(links)
+            tried = new if tried is None else tried.unionByName(new)
+        elif not rest:
+            break
+        limit *= 4
+    return roots
 
 
 def duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-    bucket_cap: int = 4096, broadcast_rows: int = 200_000, order_sample: int = 8000, few: int = 20_000,
+    bucket_cap: int = 4096, broadcast_rows: int = 200_000,
 ) -> tuple[DataFrame, bool]:
     """Rows that repeat an earlier text: (_k, _t) of all rows but one of each group, and whether a row is repeated.
 
-    Groups are the components of all pairs of ``similarity`` or more (Jaccard,
-    sets of ``shingle``-word shingles), exactly: two such sets share one of the
-    rarest shingles of each (a prefix as long as may differ, and one more), so
-    texts are filed under those.  First each member of a bucket is tried with
-    its neighbour and the bucket's first, which joins most of large groups;
-    then all pairs of a bucket between components that are still different and
-    whose sizes and places allow the similarity are verified on the whole
-    texts.  Equal texts collapse before.  A bucket above the cap is cut into
-    blocks, and every two blocks meet in a cell of their own, so none of its
-    pairs is left out.  Of each group the row with the smallest id (nulls last,
-    then by text hash) stays.
+    Groups are the components of pairs of ``similarity`` or more (Jaccard, sets
+    of ``shingle``-word shingles).  Equal texts collapse first.  A 64-bit
+    fingerprint by majority cannot tell such pairs (at 0.8 they differ in about
+    10 bits), so a text's fingerprint here is 2 bits of each of 128 min-hashes;
+    texts are filed under 25 bands of five min-hashes, of which two texts at
+    0.8 share none with a chance below 1 in 10,000, and meet in a bucket.
+    There they are compared by fingerprint, and what may be alike is verified
+    exactly on the whole texts (``_linked``).  A bucket above the cap is cut
+    into blocks, and every two blocks meet in a cell of their own.  Of each
+    group the row with the smallest id (nulls last, then by text hash) stays.
     """
-    spark = docs.sparkSession
     key = common.row_key(id_col, text_col)
-    often = _common_shingles(docs, id_col, text_col, shingle, order_sample)
-    rows = docs.select(*key, F.col(id_col).cast("long").alias("_d"), _sketch(shingle, similarity, often)(F.col(text_col)).alias("_s")).select("_k", "_t", "_d", "_s.*")
+    rows = docs.select(*key, F.col(id_col).cast("long").alias("_d"), _sketch(shingle)(F.col(text_col)).alias("_s")).select("_k", "_t", "_d", "_s.*")
     rows = common.materialize(rows, "sketches")
     least = F.min(F.struct(F.col("_d").isNull().alias("_n"), "_d", "_t", "_k"))
-    nodes = rows.groupBy("node").agg(*[F.first(f).alias(f) for f in ("size", "prefix", "rare")], least.alias("_first"))
-    nodes = nodes.withColumnRenamed("node", "hash").withColumn("node", F.monotonically_increasing_id())  # narrow numbers, fixed once written
+    nodes = rows.groupBy("hash").agg(*[F.first(f).alias(f) for f in ("size", "bands", *_SKETCH_COLUMNS)], least.alias("_first"))
+    nodes = nodes.withColumn("node", F.monotonically_increasing_id())  # narrow numbers, fixed once written
     nodes = common.materialize(nodes, "distinct-texts")
-    filings = nodes.select("node", "size", "prefix", "rare")
-    rare = filings.mapInArrow(_file_prefix(True), FILED_TEXTS).repartition("s").sortWithinPartitions("s").mapInArrow(_met, FILED_TEXTS)
-    filed = common.materialize(rare.unionByName(filings.mapInArrow(_file_prefix(False), FILED_TEXTS)), "filed-texts")
-    big = common.materialize(filed.groupBy("s").count().filter(F.col("count") > bucket_cap).select("s", F.ceil(F.col("count") / bucket_cap).alias("parts")), "big-buckets")
-    big = F.broadcast(big) if big.count() <= broadcast_rows else big
-    blocked = filed.join(big, "s", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("blk", F.pmod(F.xxhash64("node", "s"), F.col("parts")))
-    near = blocked.select(F.xxhash64("s", "blk").alias("b"), "node", "size", "pos").repartition("b").sortWithinPartitions("b", "size", "node")
-    pairs = near.mapInArrow(_neighbours(similarity), "u long, v long").groupBy("u", "v").agg((-F.count(F.lit(1))).alias("d"))
-    pairs = common.materialize(pairs, "near-pairs")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        seen = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        named = nodes.join(seen, "node", "left_semi").select("node", F.col("_first._k").alias("_k"), F.col("_first._t").alias("_t"))
-        texts = docs.select(*key, F.col(text_col).alias("_text")).join(named, ["_k", "_t"]).dropDuplicates(["node"])
-        return common.materialize(texts.select("node", _shingle_set(shingle)(F.col("_text")).alias("set")), "near-texts")
-
-    sets = sets_of(pairs)
-    roots = common.materialize(_classes(pairs, sets, similarity, few), "classes")
-    common.forget(sets)
-    # the rest: all pairs of buckets that still hold different components
-    now = blocked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = now.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("s")
-    now = common.materialize(now.join(mixed, "s", "left_semi"), "open-buckets")
-    common.forget(filed)
-    cells = now.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    lo, hi = F.least("blk", "other"), F.greatest("blk", "other")
-    cells = cells.select(F.xxhash64("s", lo, hi).alias("b"), "s", "node", "size", "pos", "root", "blk", (lo != hi).alias("cross"))
-    rest = cells.repartition("b").sortWithinPartitions("b").mapInArrow(_open_pairs(similarity), "u long, v long")
-    rest = rest.groupBy("u", "v").agg((-F.count(F.lit(1))).alias("d")).join(pairs.select("u", "v"), ["u", "v"], "left_anti")
-    rest = common.materialize(rest, "rest-pairs")
-    common.forget(now, pairs)
-    if rest.limit(1).count():
-        sets = sets_of(rest)
-        more = _classes(rest, sets, similarity, few, links=roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = common.materialize(more, "classes")
-        common.forget(sets)
+    filed = nodes.select("node", "size", "bands", *_SKETCH_COLUMNS).mapInArrow(_file_texts, FILED_TEXTS)
+    shared = common.materialize(filed.groupBy("b").count().filter("count > 1").select("b", F.ceil(F.col("count") / bucket_cap).alias("parts")), "buckets")
+    met = filed.join(shared, "b").withColumn("blk", F.pmod(F.xxhash64("node", "b"), F.col("parts")))
+    met = common.materialize(met, "met-texts")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        named = nodes.join(some, "node", "left_semi").select("node", F.col("_first._k").alias("_k"), F.col("_first._t").alias("_t"))
+        named = common.materialize(named, "near-texts")
+        named = F.broadcast(named) if named.count() <= broadcast_rows else named
+        texts = docs.select(*key, F.col(text_col).alias("_text")).join(named, ["_k", "_t"])
+        return common.materialize(texts.select("node", _shingle_set(shingle)(F.col("_text")).alias("set")).dropDuplicates(["node"]), "near-sets")
+
+    roots = _linked(met, sets_of, similarity, broadcast_rows)
+    if roots is None:
+        roots = nodes.select("node", F.col("node").alias("root"))
     joined = nodes.join(roots, "node", "left").select("hash", F.coalesce("root", "node").alias("root"), "_first")
     best = joined.groupBy("root").agg(F.min("_first").alias("_best"))
     keep = joined.join(best, "root").select("hash", F.col("_best._k").alias("_bk"), F.col("_best._t").alias("_bt"))
-    marked = rows.select("_k", "_t", F.col("node").alias("hash")).join(keep, "hash")
+    marked = rows.select("_k", "_t", "hash").join(keep, "hash")
     drops = common.materialize(marked.filter((F.col("_k") != F.col("_bk")) | (F.col("_t") != F.col("_bt"))).select("_k", "_t").distinct(), "drops")
     repeated = rows.groupBy("_k", "_t").count().filter("count > 1").limit(1).count() > 0
-    common.forget(rows, nodes, roots, rest)
+    common.forget(rows, nodes)
     return drops, repeated
 
 
