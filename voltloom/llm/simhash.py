@@ -410,6 +410,8 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Ite
 def _nearest(similarity: float, limit: int, few: int = 32, at_once: int = 128):
     """For each member of a bucket its ``limit`` nearest by sketch, of other components and possible sizes; and whether it has more.
 
+    The first of its partners by number is proposed beside them: many members
+    of a group have it in common, so large groups join in few rounds.
     Members of one block (``blk``) are not paired in the cell of two blocks:
     they meet in their own.
     """
@@ -442,12 +444,21 @@ def _nearest(similarity: float, limit: int, few: int = 32, at_once: int = 128):
                 one += [i, i + shift]
                 two += [i + shift, i]
                 gap += [d, d]
-            more = np.zeros(0, np.int64)
+            more, star = np.zeros(0, np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            if one:
+                i, j = np.concatenate(one), np.concatenate(two)
+                order = np.lexsort((j, i))
+                i, j = i[order], j[order]
+                first = np.concatenate([[True], i[1:] != i[:-1]])[: len(i)]
+                star.append((i[first], j[first]))
             for a, m in zip(edge[many > few].tolist(), many[many > few].tolist(), strict=True):
                 for k in range(a, a + m, at_once):
                     i = np.arange(k, min(a + m, k + at_once))
                     d = apart(i[:, None], np.arange(a, a + m)[None, :])
-                    rich = (d <= most).sum(axis=1) > limit
+                    near = d <= most
+                    rich = near.sum(axis=1) > limit
+                    some = near.any(axis=1)
+                    star.append((i[some], a + near.argmax(axis=1)[some]))
                     more = np.concatenate([more, node[i[rich]]])
                     j = np.argpartition(d, limit - 1, axis=1)[:, :limit] if limit < m else np.broadcast_to(np.arange(m), d.shape)
                     g = np.take_along_axis(d, j, axis=1)
@@ -463,7 +474,8 @@ def _nearest(similarity: float, limit: int, few: int = 32, at_once: int = 128):
             first = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]])) if len(one) else one
             place = np.arange(len(one)) - np.repeat(first, np.diff(np.concatenate([first, [len(one)]])))
             more = np.unique(np.concatenate([more, node[one[place >= limit]]]))
-            u, v = node[one[place < limit]], node[two[place < limit]]
+            i, j = (np.concatenate(x) for x in zip((one[place < limit], two[place < limit]), *star, strict=True))
+            u, v = node[i], node[j]
             rich = np.isin(u, more)
             yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(rich)], names=["u", "v", "more"])
 
@@ -525,7 +537,7 @@ def _linked(met: DataFrame, sets_of, similarity: float, broadcast_rows: int) ->
         cells = now.withColumn("other", F.explode(other))
         lo, hi = F.least("blk", "other"), F.greatest("blk", "other")
         cells = cells.select(F.xxhash64("b", lo, hi).alias("c"), "node", "size", "root", "blk", (lo != hi).alias("cross"), *_SKETCH_COLUMNS)
-        found = cells.repartition("c").sortWithinPartitions("c").mapInArrow(_nearest(similarity, limit), "u long, v long, more boolean")
+        found = cells.repartition("c").sortWithinPartitions("c", "node").mapInArrow(_nearest(similarity, limit), "u long, v long, more boolean")
         found = common.materialize(found.groupBy("u", "v").agg(F.max("more").alias("more")), "near-pairs")
         rest = limit == 1 or found.filter("more").limit(1).count() > 0
         new = found.select("u", "v")
