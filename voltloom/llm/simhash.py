@@ -522,15 +522,22 @@ def _linked(met: DataFrame, sets_of, similarity: float, broadcast_rows: int) ->
     an untried partner left, so none is passed over; a bucket whose texts are
     of one component is left out of the next rounds.
     """
-    roots = links = tried = sets = None
-    limit, part = 1, "coalesce(root, node)"
+    roots = links = tried = sets = seen = None
+    limit, root = 1, F.coalesce("root", "node")
     while True:
-        now = met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").withColumn("root", F.expr(part))
-        if roots is not None:
+        now = met.withColumn("root", F.col("node"))
+        if seen is not None:
+            # a text without a partner in the round before has none in a later one
+            label = seen.withColumn("root", F.col("node")) if roots is None else seen.join(roots, "node", "left").withColumn("root", root)
+            now = met.join(label, "node")
+            if limit == 4:  # blocks of large buckets have not met each other yet
+                large = met.filter("parts > 1")
+                large = large.withColumn("root", F.col("node")) if roots is None else large.join(roots, "node", "left").withColumn("root", root)
+                now = met.filter("parts = 1").join(label, "node").unionByName(large)
             mixed = now.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("b")
-            old, met = met, common.materialize(now.join(mixed, "b", "left_semi"), "open-buckets")
-            common.forget(old)
-            now, met = met, met.drop("root")
+            now = common.materialize(now.join(mixed, "b", "left_semi"), "open-buckets")
+            common.forget(met)
+            met = now.drop("root")
             met._stored = now._stored
         # first every block by itself, then also every two blocks of a large bucket
         other = F.array("blk") if limit == 1 else F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
@@ -541,6 +548,7 @@ def _linked(met: DataFrame, sets_of, similarity: float, broadcast_rows: int) ->
         found = common.materialize(found.groupBy("u", "v").agg(F.max("more").alias("more")), "near-pairs")
         rest = limit == 1 or found.filter("more").limit(1).count() > 0
         new = found.select("u", "v")
+        seen = common.materialize(new.select(F.col("u").alias("node")).union(new.select(F.col("v").alias("node"))).distinct(), "open-texts")
         if tried is not None:
             new = common.materialize(new.join(tried, ["u", "v"], "left_anti"), "new-pairs")
             common.forget(found)
