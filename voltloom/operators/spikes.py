@@ -42,7 +42,7 @@ class Settings:
 
 def preprocess(data: np.ndarray, rate_hz: float, s: Settings) -> np.ndarray:
     """Filter, common average reference, resample: in this order."""
-    x = np.asarray(data, float)
+    x = np.nan_to_num(np.asarray(data, float))  # a missing sample is zero
     if s.filter == "wavelet":
         x = filters.wavelet_highpass(x)
     elif s.filter:
@@ -107,7 +107,8 @@ class BlockSearch:
     def _judge(self, t: int, c: int, coming: set) -> dict | None:
         s = self.s
         near = np.flatnonzero(self.dist[c] <= s.include_um)
-        found = {int(n): r for n in near if (r := self._pair(int(n), t, self.dti))}
+        # other channels are searched half as far
+        found = {int(n): r for n in near if (r := self._pair(int(n), t, self.dti if n == c else self.dti // 2))}
         if c not in found:
             return None
         if found[c][1] is None and abs(found[c][2]) < self.ppth[c] ** 2 / self.dti:
@@ -171,16 +172,25 @@ def with_ids(spikes: DataFrame) -> DataFrame:
 
 
 def frames_from_samples(samples: DataFrame, tres_us: float, block_us: int, halo_us: int) -> DataFrame:
-    """Frames from long samples ``(rec, chan, ti, v)``: every sample goes to the block that owns it and to neighbours whose halo it lies in."""
+    """Frames from long samples ``(rec, chan, ti, v)``: every sample goes to the block that owns it and to neighbours whose halo it lies in.
+
+    All channels of a frame cover the same samples, from the first to the last
+    that any of them has; a sample that a channel lacks is NaN in its place.
+    """
     t = F.rint(F.col("ti") * tres_us).cast("long")
     rows = samples.withColumn("_t", t).withColumn("block", F.explode(F.sequence(F.greatest(F.floor((t - halo_us) / block_us), F.lit(0)), F.floor((t + halo_us) / block_us))))
-    line = rows.groupBy("rec", "block", "chan").agg(F.array_sort(F.collect_list(F.struct("ti", "v"))).alias("_s"), F.min("ti").alias("_a"))
+    line = rows.groupBy("rec", "block", "chan").agg(F.array_sort(F.collect_list(F.struct(F.col("ti").cast("long").alias("ti"), F.col("v").cast("double").alias("v")))).alias("_s"), F.min(F.col("ti").cast("long")).alias("_a"))
     f = line.groupBy("rec", "block").agg(F.array_sort(F.collect_list(F.struct("chan", "_s"))).alias("_c"), F.min("_a").alias("_a"), F.max(F.expr("_s[size(_s) - 1].ti")).alias("_z"))
-    f = f.filter(F.col("_z") * tres_us >= F.col("block") * block_us)
+    f = f.filter(F.col("_z") * tres_us >= F.col("block") * block_us).withColumn("_grid", F.sequence("_a", "_z"))
+
+    def dense(s):
+        lacking = F.array_except(F.col("_grid"), F.transform(s, lambda x: x["ti"]))
+        return F.array_sort(F.concat(s, F.transform(lacking, lambda t: F.struct(t.alias("ti"), F.lit(float("nan")).alias("v")))))
+
     return f.select(
         "rec", "block", (F.col("_a") * tres_us).alias("t0_us"), F.lit(float(tres_us)).alias("tres_us"),
         (F.col("block") * block_us).cast("double").alias("cut0_us"), ((F.col("block") + 1) * block_us).cast("double").alias("cut1_us"),
-        F.transform("_c", lambda c: c["chan"].cast("int")).alias("chans"), F.transform("_c", lambda c: F.transform(c["_s"], lambda s: s["v"].cast("double"))).alias("data"),
+        F.transform("_c", lambda c: c["chan"].cast("int")).alias("chans"), F.transform("_c", lambda c: F.transform(dense(c["_s"]), lambda s: s["v"])).alias("data"),
     )
 
 
@@ -201,7 +211,7 @@ def relocate(spikes: DataFrame, probe: dict[int, tuple[float, float]], locator:
     return spikes.mapInPandas(run, spikes.schema)
 
 
-def align_spikes(waves: DataFrame, unit: str = "nid", most: int = 2, cap: int = 20_000) -> DataFrame:
+def align_spikes(waves: DataFrame, unit: str = "nid", most: int = 2) -> DataFrame:
     """Best shift of each wave towards its unit's mean.
 
     The mean is an aggregate over all members; the shifts are then found row by

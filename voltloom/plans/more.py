@@ -247,8 +247,7 @@ def _filtered(name: str, settings: K.Settings):
                 import numpy as np
 
                 pdf = pdf[["rec", "block", "chans", "data", "tres_us"]].copy()
-                least = [min(len(r) for r in d) for d in pdf["data"]]
-                pdf["rms"] = [float(np.sqrt((K.preprocess(np.stack([np.asarray(r[:n], float) for r in d]), 1e6 / t, settings) ** 2).mean())) for d, n, t in zip(pdf["data"], least, pdf["tres_us"], strict=True)]
+                pdf["rms"] = [float(np.sqrt((K.preprocess(np.stack([np.asarray(r, float) for r in d]), 1e6 / t, settings) ** 2).mean())) for d, t in zip(pdf["data"], pdf["tres_us"], strict=True)]
                 yield pdf[["rec", "block", "rms"]]
 
         return _frames(spark, sf).mapInPandas(kernel, "rec string, block long, rms double")
@@ -268,9 +267,7 @@ def detect_spikes(spark, sf):
     """Frames of 16 channels searched block by block; ids count within a recording."""
     probe = {k: (0.0, 50.0 * k) for k in range(16)}
     cfg = K.Settings(filter=None, car=None, threshold="fixed", fixed_uv=40.0, window_us=(-250.0, 500.0))
-    even = F.transform("data", lambda r: F.slice(r, F.lit(1), F.col("_n")))
-    f = _frames(spark, sf).withColumn("_n", F.array_min(F.transform("data", lambda r: F.size(r)))).withColumn("data", even).drop("_n")
-    f = f.withColumn("chans", F.transform("chans", lambda c: F.pmod(c, F.lit(16))))
+    f = _frames(spark, sf).withColumn("chans", F.transform("chans", lambda c: F.pmod(c, F.lit(16))))
     found = K.detect(f, probe, cfg).withColumn("chan", F.col("chan") + 16 * F.split("rec", "events-")[1].cast("int"))
     return K.with_ids(found).select("rec", "id", "t", "chan", "Vpp", "x0", "y0", "sx")
 

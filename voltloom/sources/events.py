@@ -103,14 +103,14 @@ def update_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 MIGRATIONS = [
     ("0.5", lambda df: df.withColumnsRenamed({"phasetis": "tis", "dphase": "dt"}).drop("cid", "s0", "s1"), "0.6"),
-    ("0.9", lambda df: df.withColumn("lockchans", F.col("chans")) if "lockchans" not in df.columns else df, "1.0"),
+    ("0.9", lambda df: df.withColumns({"lockchans": F.col("chans"), "nlockchans": F.size("chans")}) if "lockchans" not in df.columns else df, "1.0"),
     ("1.3", lambda df: df.withColumn("tres", F.lit(None).cast("double")) if "tres" not in df.columns else df, "1.4"),
     ("2.0", lambda df: df.withColumn("user", F.lit("")).withColumn("notes", F.lit("")), "2.1"),
 ]
 
 
 def migrate(df: DataFrame, version: str, to: str = "2.1") -> DataFrame:
-    """Bring a spike table of an older session format up to date (V1-V13); steps that only touch settings need no change here."""
+    """Bring a spike table of an older session format up to date (V1-V13); those of settings alone are in ``migrate_settings``."""
     number = lambda v: tuple(map(int, v.split(".")))
     if number(version) < (0, 3) or number(version) > number(to):
         raise ValueError(f"no way from version {version} to {to}")
@@ -118,3 +118,23 @@ def migrate(df: DataFrame, version: str, to: str = "2.1") -> DataFrame:
         if number(version) <= number(start) and number(end) <= number(to):
             df = step(df)
     return df
+
+
+#: Settings that a format adds, with their value in older sessions; a stored value stays.
+ADDED_SETTINGS = [("0.6", "tw", (-500, 500)), ("0.8", "filtmeth", None), ("1.0", "car", None), ("1.1", "adapter", None), ("2.0", "user", ""), ("2.0", "notes", "")]
+
+
+def migrate_settings(settings: dict, version: str, to: str = "2.1", renamed: dict[str, str] | None = None) -> dict:
+    """Bring the settings of an older session up to date (V2, V4, V6, V8-V10, V13); ``renamed`` maps old probe names."""
+    number = lambda v: tuple(map(int, v.split(".")))
+    if number(version) < (0, 3) or number(version) > number(to):
+        raise ValueError(f"no way from version {version} to {to}")
+    out = dict(settings)
+    if number(version) <= (0, 4):
+        out = {"stream" if k == "srff" else k: v for k, v in out.items()}
+    for start, name, value in ADDED_SETTINGS:
+        if number(version) <= number(start) < number(to):
+            out.setdefault(name, value)
+    if number(version) <= (1, 2) and renamed and out.get("probe") in renamed:
+        out["probe"] = renamed[out["probe"]]
+    return out
