@@ -131,7 +131,7 @@ def migrate_settings(settings: dict, version: str, to: str = "2.1", renamed: dic
         raise ValueError(f"no way from version {version} to {to}")
     out = dict(settings)
     if number(version) <= (0, 4):
-        out = {"stream" if k == "srff" else k: v for k, v in out.items()}
+        out = {"fname" if k == "sortfname" else k: v for k, v in out.items()}
     for start, name, value in ADDED_SETTINGS:
         if number(version) <= number(start) < number(to):
             out.setdefault(name, value)
