@@ -333,8 +333,8 @@ def test_near_duplicates_in_hot_buckets(spark):
     texts = template_texts(120)
     want, found = kept_texts(texts)
     assert want == list(range(120)) and sum(s < 0.8 for s in found) > 20_000
-    for cap in (16, 4096):
-        assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame(spark, texts), bucket_cap=cap).collect()) == want
+    for how in ({"bucket_cap": 16}, {"most_shingles": 9_000}, {}):
+        assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame(spark, texts), **how).collect()) == want
 
 
 def test_near_duplicates_at_the_limit(spark):

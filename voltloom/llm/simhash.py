@@ -389,95 +389,110 @@ def _file_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch(cols, names=["b", "node", "size", *_SKETCH_COLUMNS])
 
 
-def _whole_buckets(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[list[np.ndarray]]:
+def _whole_buckets(batches: Iterator[pa.RecordBatch], rows: int = 50_000, most_bytes: int = 48 << 20) -> Iterator[list[np.ndarray]]:
     """Columns of sorted rows, cut only where the first column changes."""
     held: list[list[np.ndarray]] = []
-    count = 0
+    count = size = 0
     for b in batches:
         if not b.num_rows:
             continue
         held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)])
-        count += b.num_rows
-        if count >= rows and held[-1][0][-1] != held[0][0][0]:
+        count, size = count + b.num_rows, size + b.nbytes
+        if (count >= rows or size >= most_bytes) and held[-1][0][-1] != held[0][0][0]:
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
             edge = np.flatnonzero(cols[0][1:] != cols[0][:-1])[-1] + 1
             yield [x[:edge] for x in cols]
-            held, count = [[x[edge:] for x in cols]], len(cols[0]) - edge
+            held, count, size = [[x[edge:] for x in cols]], len(cols[0]) - edge, 0
     if held:
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _nearest(similarity: float, limit: int, few: int = 32, at_once: int = 128):
-    """For each member of a bucket its ``limit`` nearest by sketch, of other components and possible sizes; and whether it has more.
+def _may_be_alike(similarity: float, few: int = 32, at_once: int = 128):
+    """Stars over the classes of a cell's members whose sketches and sizes allow ``similarity``.
 
-    The first of its partners by number is proposed beside them: many members
-    of a group have it in common, so large groups join in few rounds.
-    Members of one block (``blk``) are not paired in the cell of two blocks:
-    they meet in their own.
+    A cell of two blocks compares members of different blocks alone.
     """
     most = most_different(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, node, size, root, blk, cross, *sketch in _whole_buckets(batches):
+        for b, node, size, blk, cross, *sketch in _whole_buckets(batches):
             sk = np.stack([x.view(np.uint64) for x in sketch], axis=1)
             size = size.astype(np.float64)
 
-            def apart(i, j):
-                """Differences of pairs, or more than allowed where they need not be compared."""
-                d = _differences(sk[i], sk[j])
-                ok = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+            def near(i, j):
+                ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
                 ok &= ~cross[i] | (blk[i] != blk[j])
-                return np.where(ok, d, HASHES + 1)
+                return ok & (_differences(sk[i], sk[j]) <= most)
 
             edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
             many = np.diff(np.concatenate([edge, [len(b)]]))
-            one, two, gap = [], [], []  # member, partner, differences
-            room = np.repeat(many, many) - (np.arange(len(b)) - np.repeat(edge, many))
+            root = np.arange(len(b))
+            room = np.repeat(many, many) - (root - np.repeat(edge, many))
             small = np.flatnonzero((np.repeat(many, many) <= few) & (room > 1))
             for shift in range(1, few):
                 small = small[room[small] > shift]
                 if not len(small):
                     break
-                d = apart(small, small + shift)
-                near = d <= most
-                i, d = small[near], d[near]
-                one += [i, i + shift]
-                two += [i + shift, i]
-                gap += [d, d]
-            more, star = np.zeros(0, np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            if one:
-                i, j = np.concatenate(one), np.concatenate(two)
-                order = np.lexsort((j, i))
-                i, j = i[order], j[order]
-                first = np.concatenate([[True], i[1:] != i[:-1]])[: len(i)]
-                star.append((i[first], j[first]))
+                i = small[root[small] != root[small + shift]]
+                i = i[near(i, i + shift)]
+                root = _join(root, i, i + shift)
             for a, m in zip(edge[many > few].tolist(), many[many > few].tolist(), strict=True):
-                for k in range(a, a + m, at_once):
-                    i = np.arange(k, min(a + m, k + at_once))
-                    d = apart(i[:, None], np.arange(a, a + m)[None, :])
-                    near = d <= most
-                    rich = near.sum(axis=1) > limit
-                    some = near.any(axis=1)
-                    star.append((i[some], a + near.argmax(axis=1)[some]))
-                    more = np.concatenate([more, node[i[rich]]])
-                    j = np.argpartition(d, limit - 1, axis=1)[:, :limit] if limit < m else np.broadcast_to(np.arange(m), d.shape)
-                    g = np.take_along_axis(d, j, axis=1)
-                    x, y = np.nonzero(g <= most)
-                    one.append(i[x])
-                    two.append(a + j[x, y])
-                    gap.append(g[x, y])
-            if not one:
+                own = np.arange(m)
+                for k in range(0, m, at_once):
+                    x, y = np.nonzero(near(np.arange(a + k, a + min(m, k + at_once))[:, None], np.arange(a + k, a + m)[None, :]))
+                    own = _join(own, k + x, k + y)
+                root[a : a + m] = a + own
+            at = np.flatnonzero(root != np.arange(len(b)))
+            yield pa.record_batch([pa.array(node[root[at]]), pa.array(node[at])], names=["u", "v"])
+
+    return run
+
+
+def _alike(similarity: float):
+    """Links that span the classes of a cell's members of at least ``similarity``, verified on whole shingle sets.
+
+    Every two members of different ``root`` whose sketches and sizes allow it
+    are compared exactly, but for those that links found before have joined.
+    """
+    most = most_different(similarity)
+
+    def links(node, size, root, blk, cross, sets, sk):
+        flat = np.frombuffer(b"".join(sets), np.uint64)
+        start = np.concatenate([[0], np.cumsum(size)])
+        names, ids = np.unique(flat, return_inverse=True)
+        ids, mine = ids.astype(np.int32), np.zeros(len(names), bool)
+        _, first, at = np.unique(root, return_index=True, return_inverse=True)
+        root = first[at]
+        for i in range(len(node) - 1):
+            j = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+            j = j[(np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]) - 1e-9) & (size[j] > 0)]
+            j = j[~cross[j] | (blk[j] != blk[i])]
+            j = j[_differences(sk[j], sk[i]) <= most]
+            if not len(j):
                 continue
-            one, two, gap = (np.concatenate(x) for x in (one, two, gap))
-            order = np.lexsort((node[two], gap, one))
-            one, two = one[order], two[order]
-            first = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]])) if len(one) else one
-            place = np.arange(len(one)) - np.repeat(first, np.diff(np.concatenate([first, [len(one)]])))
-            more = np.unique(np.concatenate([more, node[one[place >= limit]]]))
-            i, j = (np.concatenate(x) for x in zip((one[place < limit], two[place < limit]), *star, strict=True))
-            u, v = node[i], node[j]
-            rich = np.isin(u, more)
-            yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(rich)], names=["u", "v", "more"])
+            many = size[j]
+            skip = np.cumsum(many) - many
+            own = ids[start[i] : start[i + 1]]
+            mine[own] = True
+            both = np.add.reduceat(mine[ids[np.repeat(start[j] - skip, many) + np.arange(many.sum())]], skip, dtype=np.int64)
+            mine[own] = False
+            j = j[both / (size[i] + many - both) >= similarity]
+            if len(j):
+                yield from ((node[i], node[j[k]]) for k in np.unique(root[j], return_index=True)[1])
+                root = _join(root, np.full(len(j), i), j)
+                if (root == root[0]).all():
+                    return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, node, size, root, blk, cross, sets, *sketch in _whole_buckets(batches):
+            sk = np.stack([x.view(np.uint64) for x in sketch], axis=1)
+            size = size.astype(np.int64)
+            edge = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])).tolist()
+            found: list = []
+            for a, z in zip(edge, [*edge[1:], len(c)], strict=True):
+                found += links(*(x[a:z] for x in (node, size, root, blk, cross, sets, sk)))
+            u, v = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.record_batch([pa.array(u.copy()), pa.array(v.copy())], names=["u", "v"])
 
     return run
 
@@ -491,87 +506,63 @@ def _shingle_set(shingle: int):
     return F.pandas_udf(hashes, "binary")
 
 
-def _jaccard():
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.zeros(len(a))
-        for k, (x, y) in enumerate(zip(a, b, strict=True)):
-            n = (len(x) + len(y)) // 8
-            both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
-            same = int((both[1:] == both[:-1]).sum())
-            out[k] = same / max(1, n - same)
-        return pd.Series(out)
+def _cells(rows: DataFrame, group: str, other, columns: list) -> DataFrame:
+    """Rows dealt to the cells of their block with the ``other`` blocks of their group, sorted by cell."""
+    rows = rows.withColumn("other", F.explode(other))
+    lo, hi = F.least("blk", "other"), F.greatest("blk", "other")
+    rows = rows.select(F.xxhash64(group, lo, hi).alias("c"), "node", "size", *columns[:-1], "blk", (lo != hi).alias("cross"), *columns[-1], *_SKETCH_COLUMNS)
+    return rows.repartition("c").sortWithinPartitions("c", "node")
 
-    return F.pandas_udf(jaccard, "double")
 
+def _all_blocks():
+    return F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, broadcast_rows: int) -> DataFrame:
-    """The pairs (u, v) whose shingle sets are alike; only the sets of the pairs' texts are moved."""
-    seen = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    seen = F.broadcast(seen) if pairs.count() <= broadcast_rows else seen
-    sets = sets.join(seen, "node", "left_semi")
-    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-    return both.filter(_jaccard()(F.col("a"), F.col("b")) >= similarity).select("u", "v")
 
+def _linked(met: DataFrame, nodes: DataFrame, sets_of, similarity: float, cap: int, most_shingles: int, broadcast_rows: int) -> DataFrame | None:
+    """(node, root) of the components of pairs of ``similarity`` or more among the texts that met; None without any.
 
-def _linked(met: DataFrame, sets_of, similarity: float, broadcast_rows: int) -> DataFrame | None:
-    """(node, root) of the components of verified pairs among the texts that met; None without any.
-
-    Every round each text proposes its nearest partners of other components
-    that its buckets hold, at first one and then four times as many each
-    round, and those not tried before are verified.  It ends when no text has
-    an untried partner left, so none is passed over; a bucket whose texts are
-    of one component is left out of the next rounds.
+    Texts whose sketches may be alike in some bucket are of one cloud; no pair
+    leaves a bucket as a row.  The shingle sets of a cloud then meet once, in
+    blocks of bounded members and shingles, where all that may be alike is
+    verified.  The first text of a cloud of several blocks is put into every
+    block, so a group of copies joins at once; clouds that are not one
+    component by then have every two of their blocks meet in a cell.
     """
-    roots = links = tried = sets = seen = None
-    limit, root = 1, F.coalesce("root", "node")
-    while True:
-        now = met.withColumn("root", F.col("node"))
-        if seen is not None:
-            # a text without a partner in the round before has none in a later one
-            label = seen.withColumn("root", F.col("node")) if roots is None else seen.join(roots, "node", "left").withColumn("root", root)
-            now = met.join(label, "node")
-            if limit == 4:  # blocks of large buckets have not met each other yet
-                large = met.filter("parts > 1")
-                large = large.withColumn("root", F.col("node")) if roots is None else large.join(roots, "node", "left").withColumn("root", root)
-                now = met.filter("parts = 1").join(label, "node").unionByName(large)
-            mixed = now.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("b")
-            now = common.materialize(now.join(mixed, "b", "left_semi"), "open-buckets")
-            common.forget(met)
-            met = now.drop("root")
-            met._stored = now._stored
-        # first every block by itself, then also every two blocks of a large bucket
-        other = F.array("blk") if limit == 1 else F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-        cells = now.withColumn("other", F.explode(other))
-        lo, hi = F.least("blk", "other"), F.greatest("blk", "other")
-        cells = cells.select(F.xxhash64("b", lo, hi).alias("c"), "node", "size", "root", "blk", (lo != hi).alias("cross"), *_SKETCH_COLUMNS)
-        found = cells.repartition("c").sortWithinPartitions("c", "node").mapInArrow(_nearest(similarity, limit), "u long, v long, more boolean")
-        found = common.materialize(found.groupBy("u", "v").agg(F.max("more").alias("more")), "near-pairs")
-        rest = limit == 1 or found.filter("more").limit(1).count() > 0
-        new = found.select("u", "v")
-        seen = common.materialize(new.select(F.col("u").alias("node")).union(new.select(F.col("v").alias("node"))).distinct(), "open-texts")
-        if tried is not None:
-            new = common.materialize(new.join(tried, ["u", "v"], "left_anti"), "new-pairs")
-            common.forget(found)
-        if new.limit(1).count():
-            some = new.select(F.col("u").alias("node")).union(new.select(F.col("v").alias("node"))).distinct()
-            if sets is None:
-                sets = sets_of(some)
-            elif (some := some.join(sets.select("node"), "node", "left_anti")).limit(1).count():
-                sets = sets.unionByName(sets_of(some))
-            good = common.materialize(_verified(new, sets, similarity, broadcast_rows), "links")
-            if good.limit(1).count():
-                links = good if links is None else links.unionByName(good)
-                roots = components(links)
-            tried = new if tried is None else tried.unionByName(new)
-        elif not rest:
-            break
-        limit *= 4
+    cells = _cells(met, "b", _all_blocks(), [[]])
+    clouds = components(cells.mapInArrow(_may_be_alike(similarity), "u long, v long"))
+    rows = nodes.join(clouds.withColumnRenamed("root", "cloud"), "node")
+    rows = common.materialize(rows.select("node", "size", "cloud", F.col("_first._k").alias("_k"), F.col("_first._t").alias("_t"), *_SKETCH_COLUMNS), "clouds")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / cap), F.ceil(F.sum("size") / most_shingles))
+    large = common.materialize(rows.groupBy("cloud").agg(parts.alias("parts")).filter("parts > 1"), "large-clouds")
+    large = F.broadcast(large) if large.count() <= broadcast_rows else large
+    rows = rows.join(large, "cloud", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    sets = sets_of(rows.withColumn("blk", F.pmod(F.xxhash64("node", "cloud"), F.col("parts"))))
+    # the first text counts as of every block
+    own = F.when(F.col("node") == F.col("cloud"), _all_blocks()).otherwise(F.array("blk"))
+    first = sets.withColumn("root", F.col("node")).withColumn("blk", F.explode(own))
+    links = _cells(first, "cloud", F.array("blk"), ["root", ["set"]]).mapInArrow(_alike(similarity), "u long, v long")
+    links = common.materialize(links, "links")
+    if not links.limit(1).count():
+        roots = None
+    else:
+        roots = components(links)
+    rest = sets.filter("parts > 1")
+    rest = rest.withColumn("root", F.col("node")) if roots is None else rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rest.groupBy("cloud").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("cloud")
+    mixed = common.materialize(mixed, "open-clouds")
+    many = mixed.count()
+    if many:
+        rest = rest.join(F.broadcast(mixed) if many <= broadcast_rows else mixed, "cloud", "left_semi")
+        more = _cells(rest, "cloud", F.array_except(_all_blocks(), F.array("blk")), ["root", ["set"]]).mapInArrow(_alike(similarity), "u long, v long")
+        links = common.materialize(links.unionByName(more), "all-links")
+        roots = components(links) if links.limit(1).count() else None
+    common.forget(rows, sets)
     return roots
 
 
 def duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-    bucket_cap: int = 4096, broadcast_rows: int = 200_000,
+    bucket_cap: int = 4096, broadcast_rows: int = 200_000, most_shingles: int = 2_000_000,
 ) -> tuple[DataFrame, bool]:
     """Rows that repeat an earlier text: (_k, _t) of all rows but one of each group, and whether a row is repeated.
 
@@ -583,8 +574,10 @@ def duplicates(
     0.8 share none with a chance below 1 in 10,000, and meet in a bucket.
     There they are compared by fingerprint, and what may be alike is verified
     exactly on the whole texts (``_linked``).  A bucket above the cap is cut
-    into blocks, and every two blocks meet in a cell of their own.  Of each
-    group the row with the smallest id (nulls last, then by text hash) stays.
+    into blocks, and every two blocks meet in a cell of their own; so are
+    clouds of texts above ``bucket_cap`` texts or ``most_shingles`` shingles.
+    Of each group the row with the smallest id (nulls last, then by text hash)
+    stays.
     """
     key = common.row_key(id_col, text_col)
     rows = docs.select(*key, F.col(id_col).cast("long").alias("_d"), _sketch(shingle)(F.col(text_col)).alias("_s")).select("_k", "_t", "_d", "_s.*")
@@ -599,13 +592,13 @@ def duplicates(
     met = common.materialize(met, "met-texts")
 
     def sets_of(some: DataFrame) -> DataFrame:
-        named = nodes.join(some, "node", "left_semi").select("node", F.col("_first._k").alias("_k"), F.col("_first._t").alias("_t"))
-        named = common.materialize(named, "near-texts")
+        named = common.materialize(some, "near-texts")
         named = F.broadcast(named) if named.count() <= broadcast_rows else named
-        texts = docs.select(*key, F.col(text_col).alias("_text")).join(named, ["_k", "_t"])
-        return common.materialize(texts.select("node", _shingle_set(shingle)(F.col("_text")).alias("set")).dropDuplicates(["node"]), "near-sets")
+        texts = docs.select(*key, F.col(text_col).alias("_text")).join(named, ["_k", "_t"]).drop("_k", "_t")
+        return common.materialize(texts.withColumn("set", _shingle_set(shingle)(F.col("_text"))).drop("_text").dropDuplicates(["node"]), "near-sets")
 
-    roots = _linked(met, sets_of, similarity, broadcast_rows)
+    roots = _linked(met, nodes, sets_of, similarity, bucket_cap, most_shingles, broadcast_rows)
+    common.forget(met)
     if roots is None:
         roots = nodes.select("node", F.col("node").alias("root"))
     joined = nodes.join(roots, "node", "left").select("hash", F.coalesce("root", "node").alias("root"), "_first")
