@@ -16,6 +16,9 @@ NAMES = {
     "op6_simhash": "simhash",
     "op7_topk": "topk",
     "op8_byte_bpe": "byte_bpe",
+    "op11_filter_audit": "filter_audit",
+    "op12_prefix_trie": "prefix_trie",
+    "op13_source_mix": "source_mix",
 }
 
 
