@@ -1,23 +1,26 @@
 """Operator 7: exact top-k inner-product search over an impact-ordered index.
 
-Vectors become integers.  Every shard of ``shard_rows`` vectors keeps, for each
-level of quantised impact, the posting segment of the (vector, dimension)
-entries that fall there.  A block of queries goes through the segments level
-by level, largest quantised impact first, adding ``query component * quantised
-impact`` to accumulators.  What is still missing of a score is at most
-``|query| * |residual|`` (Cauchy-Schwarz), and the residual norms after each
-level are part of the index.  After every level the bounds give a score that
-k vectors reach for certain; once few vectors could still reach it - or it is
-proven that no other can - processing stops.  Possible members, ties included,
-are rescored exactly in integers.
+Vectors become integers and are dealt to shards by descending norm.  In a shard
+every component is quantised against the largest of its own vector, and the
+postings (vector, dimension, quantised impact) are cut into segments by impact,
+the next from a quarter of the last or less; components that quantise to zero
+have none.  A block of queries goes through the segments from the largest impacts
+down, summing ``query component * impact`` over the postings of vectors that
+some query may still need.  What is still missing of a score is at most
+``|query| * |residual|`` (Cauchy-Schwarz); the residual norms after each
+segment are part of the index.  Before every segment the bounds give a score
+that k vectors reach for certain; once few vectors could still reach it - or it
+is proven that no other can - processing stops.  Possible members, ties
+included, are rescored exactly in integers.
 
 The index is stored once, a file per shard in the shared folder, and so are
 the queries, a file per block of ``block_rows``; a manifest that Spark commits
-lists the files of successful attempts.  A job takes some shards and one block
-of queries and reads both by itself: neither passes through the driver or a
-broadcast, and a task holds one shard and one block.  The best scores of a
-job's earlier shards bound the later ones, and a job sends at most k rows per
-query to the final ranking.
+lists the files of successful attempts with their largest norms.  A job takes
+some shards, large norms first, and one block of queries and reads both by
+itself: neither passes through the driver or a broadcast, and a task holds one
+shard and one block.  The best scores of a job's earlier shards bound the later
+ones; a shard whose norm bound no query can use is not read.  A job sends at
+most k rows per query to the final ranking.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite
 component take no part, nor do rows with a null id; vectors are compared only
@@ -43,7 +46,9 @@ from . import common
 from .warc import filesystem
 
 RESULT = "query_row long, query_id long, vec_id long, score long"
-MANIFEST = "path string, dims int, rows long"
+MANIFEST = "path string, dims int, rows long, norm double"
+#: Quantised impacts, and the least of each segment; what quantises to zero has no posting.
+LEVELS, SEGMENTS = 63, (32, 8, 1)
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -58,27 +63,29 @@ def _narrow(x: np.ndarray) -> np.ndarray:
 class ImpactIndex:
     """Posting segments of one shard of integer vectors (as float64, integers all)."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, levels: int = 8):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray):
         order = np.argsort(rows)
         self.ids, self.rows, self.vectors = ids[order], rows[order], vectors[order]
         self.top = max(1.0, float(np.abs(vectors).max(initial=0)))
         unit = self.vectors / self.top
-        level = np.minimum((np.abs(unit) * levels).astype(np.int16), levels - 1)
+        # a posting is worth its level times its vector's step
+        self.step = (np.abs(unit).max(1, initial=0) / LEVELS).astype(np.float32)
+        level = np.rint(unit / np.maximum(self.step, np.finfo(np.float32).tiny)[:, None])
         self.segments, norms = [], [np.sqrt((unit**2).sum(1))]
-        for k in range(levels - 1, 0, -1):  # level 0 is impact zero: nothing to add
-            row, dim = np.nonzero(level == k)
-            impact = np.float32((k + 0.5) / levels) * np.sign(unit[row, dim]).astype(np.float32)
-            self.segments.append((row, dim, impact))
-            unit[row, dim] -= impact
+        for least, over in zip(SEGMENTS, (LEVELS + 1, *SEGMENTS), strict=False):
+            row, dim = np.nonzero((np.abs(level) >= least) & (np.abs(level) < over))
+            impact = level[row, dim]
+            self.segments.append((row, dim, impact.astype(np.int8)))
+            unit[row, dim] -= impact * self.step[row]
             norms.append(np.sqrt((unit**2).sum(1)))
         self.norms = np.array(norms)
 
     def save(self) -> bytes:
         out, flat = io.BytesIO(), {}
         for k, (row, dim, impact) in enumerate(self.segments):
-            flat |= {f"r{k}": _narrow(row), f"d{k}": _narrow(dim), f"n{k}": impact < 0, f"i{k}": np.abs(impact[:1])}
+            flat |= {f"r{k}": _narrow(row), f"d{k}": _narrow(dim), f"i{k}": impact}
         norms = np.nextafter(self.norms.astype(np.float32), np.float32(np.inf))
-        np.savez(out, ids=self.ids, rows=self.rows, vectors=_narrow(self.vectors), top=np.array(self.top), norms=norms, **flat)
+        np.savez(out, ids=self.ids, rows=self.rows, vectors=_narrow(self.vectors), top=np.array(self.top), step=self.step, norms=norms, **flat)
         return out.getvalue()
 
     @classmethod
@@ -86,14 +93,38 @@ class ImpactIndex:
         self = cls.__new__(cls)
         z = np.load(io.BytesIO(data))
         self.ids, self.rows, self.vectors, self.top = z["ids"], z["rows"], z["vectors"].astype(np.float64), float(z["top"])
-        self.norms = z["norms"].astype(np.float64)
-        self.segments = []
-        for k in range(len(self.norms) - 1):
-            sign = np.where(z[f"n{k}"], np.float32(-1), np.float32(1))
-            self.segments.append((z[f"r{k}"].astype(np.int64), z[f"d{k}"].astype(np.int64), sign * z[f"i{k}"] if len(sign) else sign))
+        self.step, self.norms = z["step"], z["norms"].astype(np.float64)
+        self.segments = [(z[f"r{k}"].astype(np.int64), z[f"d{k}"].astype(np.int64), z[f"i{k}"]) for k in range(len(SEGMENTS))]
+        self.touched = 0
         return self
 
-    def candidates(self, queries: np.ndarray, own: np.ndarray, k: int, known: np.ndarray, few: float = 0.02) -> np.ndarray:
+    def add_segment(self, acc: np.ndarray, q: np.ndarray, k: int, needed: np.ndarray, most: int = 4_000_000) -> None:
+        """Add a segment's postings of the ``needed`` vectors to the accumulators (vector, query).
+
+        Postings that fill over an eighth of their vectors are summed as a
+        matrix product, in blocks; few ones are summed one by one.
+        """
+        row, dim, impact = self.segments[k]
+        if not needed.all():
+            some = needed[row]
+            row, dim, impact = row[some], dim[some], impact[some]
+        self.touched += len(row)
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        ends = np.append(first[1:], len(row))
+        thick = 8 * len(row) > len(first) * q.shape[0]
+        size = max(1, most // (q.shape[0] + q.shape[1]) if thick else most // q.shape[1] // q.shape[0])
+        for a in range(0, len(first), size):  # whole vectors, about ``most`` numbers at once
+            at, starts = slice(first[a], ends[min(a + size, len(ends)) - 1]), first[a : a + size]
+            of = row[starts]
+            if thick:
+                block = np.zeros((len(of), q.shape[0]), np.float32)
+                block[np.repeat(np.arange(len(of)), ends[a : a + size] - starts), dim[at]] = impact[at]
+                sums = block @ q
+            else:
+                sums = np.add.reduceat(q[dim[at]] * impact[at, None], starts - starts[0], axis=0)
+            acc[of] += sums * self.step[of, None]
+
+    def candidates(self, queries: np.ndarray, own: np.ndarray, k: int, known: np.ndarray, few: float = 0.002) -> np.ndarray:
         """(vector, query): whether the vector may be among the query's k best.
 
         ``own`` are the queries' rows, ``known`` scores that k vectors of other
@@ -110,21 +141,18 @@ class ImpactIndex:
         mine = self.rows[at] == own
         acc = np.zeros((n, len(q)), np.float32)
         acc[at[mine], np.flatnonzero(mine)] = -np.inf
-        level = np.zeros((n, dims), np.float32)
         starts = np.arange(0, n, max(1, n // 256))
+        by_dim, member = np.ascontiguousarray(q.T), np.ones((n, len(q)), bool)
         for done in range(len(self.segments) + 1):
             if done:
-                row, dim, impact = self.segments[done - 1]
-                level[row, dim] = impact
-                acc += level @ q.T
-                level[row, dim] = 0
+                self.add_segment(acc, by_dim, done - 1, member.any(1))
             bound = (np.outer(self.norms[done], length) + slack).astype(np.float32)
             low = known
             if len(starts) >= k:
-                # the best of k groups of vectors: scores that k vectors reach for certain
-                sure = np.maximum.reduceat(acc - bound, starts, axis=0)
+                # the best of k groups of vectors: scores that k vectors reach for certain; no longer needed ones never do
+                sure = np.maximum.reduceat(np.where(member, acc - bound, -np.inf), starts, axis=0)
                 low = np.maximum(low, np.partition(sure, len(starts) - k, axis=0)[len(starts) - k])
-            member = acc + bound >= low.astype(np.float32)[None, :]
+            member &= acc + bound >= low.astype(np.float32)[None, :]
             if member.sum() <= max(4 * k, few * n) * len(q):
                 break
         member[at[mine], np.flatnonzero(mine)] = False
@@ -168,7 +196,8 @@ def _store(folder: str, rows_a_file: int, index: bool):
                 data = out.getvalue()
             with files.open_output_stream(name) as f:
                 f.write(data)
-            return pa.record_batch([pa.array([name]), pa.array([n], pa.int32()), pa.array([len(ids)], pa.int64())], names=["path", "dims", "rows"])
+            norm = float(np.sqrt((vectors**2).sum(1)).max())
+            return pa.record_batch([pa.array([name]), pa.array([n], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([norm])], names=["path", "dims", "rows", "norm"])
 
         for b in batches:
             lists = b.column(2)
@@ -203,8 +232,11 @@ def _search(folder: str, k: int, at_once: int = 256):
                 ids, rows, vectors = z["ids"], z["rows"], z["vectors"]
                 found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
                 known = np.full(len(ids), -np.inf)
+                length = np.sqrt((vectors**2).sum(1))
                 for shard in shards:
-                    index = ImpactIndex.load(read(shard))
+                    if (length * shard["norm"] * (1 + 1e-9) < known).all():
+                        break  # nor does any later shard, as norms descend
+                    index = ImpactIndex.load(read(shard["path"]))
                     for a in range(0, len(ids), at_once):
                         member = index.candidates(vectors[a : a + at_once], rows[a : a + at_once], k, known[a : a + at_once])
                         for j in range(member.shape[1]):
@@ -244,7 +276,13 @@ def _stored(rows: DataFrame, rows_a_file: int, index: bool) -> tuple[DataFrame,
     folder = common.fresh_path(rows.sparkSession, "impact-index" if index else "query-blocks")
     files, path = filesystem(folder)
     files.create_dir(path)
-    return common.materialize(rows.select("id", "row", "v").mapInArrow(_store(folder, rows_a_file, index), MANIFEST), "vector-files"), folder
+    rows = rows.select("id", "row", "v")
+    if index:  # shards by descending norm, so that whole shards can be left out
+        norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+        many = rows.count()
+        parts = max(-(-many // rows_a_file), min(-(-many // 1024), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1)
+        rows = rows.withColumn("n", norm).repartitionByRange(parts, F.desc("n"), "row").sortWithinPartitions(F.desc("n"), "row").select("id", "row", "v")
+    return common.materialize(rows.mapInArrow(_store(folder, rows_a_file, index), MANIFEST), "vector-files"), folder
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, shard_rows: int = 8192, block_rows: int = 8192, shards_a_job: int = 16, broadcast_rows: int = 100_000) -> DataFrame:
@@ -258,7 +296,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     # a job: some shards and a block of queries of the same length
     shards, many = index.count(), blocks.count()
     groups = max(-(-shards // shards_a_job), min(shards, -(-4 * spark.sparkContext.defaultParallelism // max(1, many))), 1)
-    grouped = index.groupBy("dims", F.pmod(F.xxhash64("path"), F.lit(groups)).alias("g")).agg(F.collect_list("path").alias("shards"))
+    grouped = index.groupBy("dims", F.pmod(F.xxhash64("path"), F.lit(groups)).alias("g")).agg(F.sort_array(F.collect_list(F.struct("norm", "path")), asc=False).alias("shards"))
     by = blocks.select("dims", F.col("path").alias("block"))
     jobs = grouped.join(F.broadcast(by) if many <= broadcast_rows else by, "dims").select("block", "shards")
     jobs = jobs.repartition(int(max(1, min(groups * many, 20_000))))
