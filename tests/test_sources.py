@@ -85,7 +85,7 @@ def test_sessions_and_updates(spark, tmp_path):
     new = spark.createDataFrame([(2, 9, 1)], s.schema)
     assert {(r.sid, r.t) for r in events.update_rows(s, new, "sid").collect()} == {(1, 5), (2, 9)}
     old = spark.createDataFrame([(1, 2, 3, [1])], "phasetis int, dphase int, cid int, chans array<int>")
-    assert set(events.migrate(old, "0.5").columns) == {"tis", "dt", "chans", "lockchans", "tres", "user", "notes"}
+    assert set(events.migrate(old, "0.5").columns) == {"tis", "dt", "chans", "lockchans", "nlockchans", "tres", "user", "notes"}
     with pytest.raises(ValueError):
         events.migrate(old, "0.2")
 

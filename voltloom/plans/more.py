@@ -37,10 +37,10 @@ def sliding_sample(spark, sf):
     return R.top_k(spikes(spark, sf), ["nid"], ["t", "sid"], 50).filter("rank > 30").select("sid", "nid")
 
 
-@query(f"WITH {SPK} SELECT s.sid, s.chan % 25 AS chan, n.n_nationkey AS site FROM spk s JOIN nation n ON abs(n.n_nationkey - s.chan % 25) <= 1 WHERE s.t % 7 = 0")
+@query(f"WITH {SPK} SELECT s.sid, s.chan % 25 AS chan, n.n_nationkey AS site FROM spk s JOIN nation n ON abs(n.n_nationkey - s.chan % 25) <= 1")
 def rasters(spark, sf):
     """A line for each spike in view and each channel it locks out (P25)."""
-    s = spikes(spark, sf).filter("t % 7 = 0").withColumn("chan", F.col("chan") % 25)
+    s = spikes(spark, sf).withColumn("chan", F.col("chan") % 25)
     lock = F.filter(F.array(F.col("chan") - 1, F.col("chan"), F.col("chan") + 1), lambda c: (c >= 0) & (c < 25))
     return s.select("sid", "chan", F.explode(lock).alias("site"))
 
@@ -137,10 +137,10 @@ def label_numbers(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.regexp_extract("c_name", "#(0*)([0-9]+)", 2).cast("long").alias("n"))
 
 
-@query("SELECT ts_day, array_to_string(list(user_id ORDER BY user_id), ',') AS probes, count(*) AS n FROM (SELECT DISTINCT epoch_us(ts) // 86400000000 AS ts_day, user_id FROM events WHERE user_id < 40) GROUP BY ts_day")
+@query("SELECT ts_day, array_to_string(list(user_id ORDER BY user_id), ',') AS probes, count(*) AS n FROM (SELECT DISTINCT epoch_us(ts) // 86400000000 AS ts_day, user_id FROM events) GROUP BY ts_day")
 def multichannel_records(spark, sf):
     """Records of equal time stamp put together in probe order."""
-    e = table(spark, sf, "events").filter("user_id < 40").select(F.floor(us() / 86_400_000_000).alias("ts_day"), "user_id").distinct()
+    e = table(spark, sf, "events").select(F.floor(us() / 86_400_000_000).alias("ts_day"), "user_id").distinct()
     g = e.groupBy("ts_day").agg(F.sort_array(F.collect_list("user_id")).alias("p"), F.count(F.lit(1)).alias("n"))
     return g.select("ts_day", F.concat_ws(",", F.col("p").cast("array<string>")).alias("probes"), "n")
 

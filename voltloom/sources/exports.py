@@ -22,16 +22,24 @@ from ..functions import filters
 from .recordings import _open
 
 
-def without_ranges(samples: DataFrame, ranges: DataFrame, pad: int = 0) -> DataFrame:
+STRETCH = 4096
+
+
+def without_ranges(samples: DataFrame, ranges: DataFrame, pad: int = 0, broadcast_rows: int = 100_000) -> DataFrame:
     """Samples, zero inside ``ranges(ti0, ti1)`` (half open) widened by ``pad`` samples on both sides.
 
-    A range belongs to every stretch of 4,096 samples it touches, so the join is on the stretch.
+    Ranges are merged and belong to every stretch of 4,096 samples they touch:
+    one row a stretch, so samples meet them in one join on the stretch, and are compared in place.
     """
-    wide = ranges.select((F.col("ti0") - pad).alias("_a"), (F.col("ti1") + pad).alias("_b"))
-    wide = wide.withColumn("_s", F.explode(F.sequence(F.floor(F.col("_a") / 4096), F.floor((F.col("_b") - 1) / 4096))))
-    rows = samples.withColumn("_s", F.floor(F.col("ti") / 4096)).withColumn("_row", F.monotonically_increasing_id())
-    hit = rows.join(wide, "_s").filter("ti >= _a AND ti < _b").select("chan", "ti").distinct().withColumn("_hit", F.lit(True))
-    return samples.join(hit, ["chan", "ti"], "left").withColumn("v", F.when(F.col("_hit"), 0.0).otherwise(F.col("v"))).drop("_hit")
+    wide = ranges.select((F.col("ti0") - pad).alias("_a"), (F.col("ti1") + pad).alias("_b")).filter("_a < _b")
+    wide = wide.withColumn("_s", F.explode(F.sequence(F.floor(F.col("_a") / STRETCH), F.floor((F.col("_b") - 1) / STRETCH))))
+    cut = F.struct(F.greatest("_a", F.col("_s") * STRETCH).alias("a"), F.least("_b", (F.col("_s") + 1) * STRETCH).alias("b"))
+    # cut to the stretch and made distinct, at most STRETCH ** 2 / 2 ranges are left of any number
+    wide = wide.groupBy("_s").agg(F.collect_set(cut).alias("_in"))
+    few = wide.count() <= broadcast_rows
+    rows = samples.withColumn("_s", F.floor(F.col("ti") / STRETCH)).join(F.broadcast(wide) if few else wide, "_s", "left")
+    hit = F.exists("_in", lambda r: (F.col("ti") >= r["a"]) & (F.col("ti") < r["b"]))
+    return rows.withColumn("v", F.when(F.coalesce(hit, F.lit(False)), 0.0).otherwise(F.col("v"))).drop("_s", "_in")
 
 
 def write_dat(
@@ -92,7 +100,7 @@ def write_dat(
 
 
 def envelope(samples: DataFrame, rate: float, cutoff_hz: float = 500.0, to_rate: float = 2000.0, block: int = 250_000, halo: int = 5000) -> DataFrame:
-    """(chan, ti, v): rectified, lowpass filtered, every (rate / to_rate)-th sample; by block with halo.
+    """(chan, ti, v): rectified, lowpass filtered, every (rate / to_rate)-th sample; by block with halo, unbroken runs each by themselves.
 
     For a bipolar reference take the difference of channels first."""
     every = max(1, round(rate / to_rate))
@@ -101,7 +109,8 @@ def envelope(samples: DataFrame, rate: float, cutoff_hz: float = 500.0, to_rate:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ti")
-        v = filters.filtfilt(b, a, np.abs(pdf["v"].to_numpy())[None, :])[0]
+        v, cuts = np.abs(pdf["v"].to_numpy(float)), np.flatnonzero(np.diff(pdf["ti"].to_numpy()) != 1) + 1
+        v = np.concatenate([filters.filtfilt(b, a, x[None, :])[0] for x in np.split(v, cuts)])
         keep = ((pdf["ti"] // block) == pdf["_b"]).to_numpy() & (pdf["ti"] % every == 0).to_numpy()
         return pd.DataFrame({"chan": pdf["chan"].to_numpy()[keep], "ti": pdf["ti"].to_numpy()[keep], "v": v[keep]})
 
