@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import voltloom.plans.built  # noqa: F401
 import voltloom.plans.more  # noqa: F401
 from voltloom.plans.catalog import QUERIES, SQL
 

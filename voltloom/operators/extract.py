@@ -97,17 +97,21 @@ def spatial_fits(spikes: DataFrame, probe: dict[int, tuple[float, float]], kind:
 
 
 def haar(wave: Column, nt: int) -> Column:
-    """Haar coefficients of a wave of ``nt`` samples, coarsest first; an odd length repeats its last value."""
-    at = lambda a, k, n: F.element_at(a, F.least(k, F.lit(n)))
-    details, n = [], nt
-    while n >= 2:
-        half, last, a = (n + 1) // 2, n, wave
-        pair = lambda sign, a=a, last=last, half=half: F.transform(F.sequence(F.lit(1), F.lit(half)), lambda k: (at(a, k * 2 - 1, last) + sign * at(a, k * 2, last)) * (0.5**0.5))
-        details.append(pair(-1))
-        wave, n = pair(1), half if half < n else 1
-        if half == 1:
-            break
-    return F.concat(wave, *details[::-1])
+    """Haar coefficients of a wave of ``nt`` samples, coarsest first; an odd length repeats its last value.
+
+    A level is bound to a lambda's variable, so each is computed once.
+    """
+
+    def level(a: Column, details: Column, n: int) -> Column:
+        if n < 2:
+            return F.concat(a, details)
+        half = (n + 1) // 2
+        at = lambda k: F.element_at(a, F.least(k, F.lit(n)))
+        pairs = lambda sign: F.transform(F.sequence(F.lit(1), F.lit(half)), lambda k: (at(k * 2 - 1) + sign * at(k * 2)) * (0.5**0.5))
+        bound = F.array(F.struct(pairs(1).alias("a"), F.concat(pairs(-1), details).alias("d")))
+        return F.element_at(F.transform(bound, lambda x: level(x["a"], x["d"], half)), 1)
+
+    return level(wave, F.array().cast("array<double>"), nt)
 
 
 def haar_size(nt: int) -> int:
