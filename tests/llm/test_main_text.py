@@ -7,6 +7,9 @@ import pytest
 
 from voltloom.llm import main_text
 
+WORDS = "eight plain words of text stand in here"
+LONG = " ".join([WORDS] * 6)
+
 #: In the form of the samples: ``=N`` main text, ``-N`` other, ``@M`` linked words.
 HELD_OUT = """
 <header><div class="logo">-1@1</div><nav>-5@5</nav></header><main><h1>=8</h1><p>=52@1</p><p>=30</p><h2>=2</h2><p>=75@5</p></main><footer><div>-9@7</div><div>-12</div></footer>
@@ -26,6 +29,43 @@ HELD_OUT = """
 """
 
 
+WRAPPED = [
+    '<body class="modal"><article>{}</article></body>',
+    '<body class="login-page"><main>{}</main></body>',
+    '<body><div class="promo-page"><article>{}</article></div></body>',
+    '<div class="layout sidebar-right">{}</div>',
+    '<div class="banner-page">{}</div>',
+    '<div class="header-container"><div class="content">{}</div></div>',
+    '<form id="aspnetForm"><div><article>{}</article></div></form>',
+    '<form><div class="search-wrapper">{}</div></form>',
+    '<section class="newsletter-page"><div class="box">{}</div></section>',
+    '<header class="popup">{}</header>',
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPED)
+def test_wrappers_of_a_page_are_no_furniture(wrapper):
+    """What holds the title and most of the text is not dropped for its names; furniture inside it still is."""
+    tree = main_text.fit()
+    inner = f'<nav><a>Home</a> <a>News</a></nav><h1>A title of words</h1><p>{LONG}</p><p>{LONG} two</p><div class="share-links"><a>x</a> <a>y</a></div><div class="comments"><p>{WORDS} {WORDS} {WORDS}</p></div>'
+    assert main_text.main_text(wrapper.format(inner), tree) == f"A title of words {LONG} {LONG} two"
+
+
+@pytest.mark.parametrize("piece", ["<p>See <a>the long report on the state of the world in full</a>.</p>", "<ul><li><a>one link that is the whole item</a></li></ul>", "<p><a>a paragraph linked</a></p>"])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+def test_linked_paragraphs_stay(piece, around):
+    tree = main_text.fit()
+    plain = " ".join(re.sub("<[^>]*>", "", piece).split())
+    page = "<nav><a>Home</a></nav>" + around.format(f"<h1>Title here</h1><p>{LONG}</p>{piece}<p>{LONG} end</p>") + "<footer>made by us</footer>"
+    assert main_text.main_text(page, tree) == f"Title here {LONG} {plain} {LONG} end"
+
+
+def test_comments_longer_than_the_article():
+    tree = main_text.fit()
+    page = f'<article><h1>Title here</h1><p>{LONG}</p></article><section class="comments">{f"<article><p>{LONG} no</p></article>" * 9}</section>'
+    assert main_text.main_text(page, tree) == f"Title here {LONG}"
+
+
 def scores(samples):
     tree = main_text.fit()
     rows, labels = main_text.labelled(samples)
@@ -40,10 +80,6 @@ def test_held_out_blocks():
     assert scores(main_text.SAMPLES)[:2] == (1, 1)
 
 
-WORDS = "eight plain words of text stand in here"
-LONG = " ".join([WORDS] * 6)
-
-
 @pytest.mark.parametrize("tag", ["button", "select", "object", "map", "canvas", "audio", "video", "math", "svg", "template", "iframe", "noscript", "textarea"])
 def test_elements_left_open_swallow_no_page(tag):
     tree = main_text.fit()

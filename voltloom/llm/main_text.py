@@ -63,6 +63,14 @@ SAMPLES = """
 <div><a>-6@6</a></div><h1>=7</h1><p>=8</p><p>=60</p><p>=45</p><div>-6@6</div>
 <nav>-5@5</nav><article><h1>=4@4</h1><p>=38</p><p>=6</p><table><tr><td>=1</td><td>=2</td></tr><tr><td>=1</td><td>=1</td></tr></table><p>=6</p></article><div class="ad">-6@6</div>
 <nav>-4@4</nav><header><p>-5</p></header><article><p>=2</p></article><article><h2>=5</h2><p>=17</p></article><form>-5</form><div class="cookie-bar">-8@1</div>
+<article><h1>=6</h1><p>=55</p><p>=12@11</p><p>=48</p><ul><li>=9@9</li><li>=30</li></ul><p>=62</p><p>=3@3</p><p>=41</p></article>
+<main><p>=70</p><p>=10@9</p><p>=66@2</p><p>=7@7</p><p>=80</p><h2>=4</h2><p>=5@5</p><p>=52</p></main><div>-5@5</div>
+<article><p>=45</p><ul><li>=8@8</li><li>=6@6</li><li>=9@9</li></ul><p>=50</p></article><div>-9@9</div>
+<div><h1>=7</h1><p>=58</p><p>=11@10</p><p>=47</p><p>=33@2</p></div><div>-4@4</div>
+<nav><a>-2@2</a></nav><div><h1>=4</h1><p>=48</p><p>=50</p><div class="share-links">-2@2</div></div><div class="comments"><p>-24</p></div>
+<nav>-1@1</nav><div><h1>=2</h1><p>=48</p><p>=7@7</p><p>=49</p></div><footer>-3</footer>
+<div>-3@3</div><section><h1>=3</h1><p>=36</p><p>=12@10</p><p>=61</p></section><div>-2@2</div>
+<nav>-3@3</nav><div><h1>=5</h1><p>=60</p><p>=3@3</p><p>=52</p><p>=45</p></div><footer>-6@2</footer>
 <div>=40</div><div class="breadcrumb">-4@3</div><div>=8</div><div>=18</div><div>=35@1</div><div>=2</div><div>=28</div><div class="copyright">-12</div>
 """
 
@@ -76,6 +84,8 @@ BLOCK = frozenset(
 )
 LANDMARK = frozenset("article aside body details dialog div fieldset figure footer form header main menu nav ol search section span table td ul p".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that may stand around a whole page.
+WRAPPERS = frozenset("article div fieldset form header main section span table td".split())
 FURNITURE_TAGS = frozenset("nav footer aside form dialog menu search fieldset".split())
 #: Words in class, id or role that hint at page furniture, alone or beside words of structure.
 HINTS = frozenset(
@@ -106,7 +116,7 @@ class Block:
     words: int
     linked: int
     heading: bool
-    around: tuple[int, int, int]
+    around: tuple[int, int, int] | int  # while a page is read, the number of the element it stands in
 
 
 #: What the elements around a place say: article (0, 1), furniture (0, 1 unless an article stands inside, 2), hint (0, 1 weak, 2 strong).
@@ -159,6 +169,55 @@ def _around(tag: str, attrs: str, outer: tuple[int, int, int]) -> tuple[int, int
     return article, furniture, hint
 
 
+class Elements:
+    """Elements of a page that may say what stands inside them: marks, words below, and whether the page's title is below."""
+
+    def __init__(self):
+        self.tag, self.attrs, self.outer, self.words = ["html"], [""], [0], [0]
+        self.title: int | None = None
+        self.article: int | None = None
+
+    def open(self, tag: str, attrs: str, outer: int) -> int:
+        self.tag.append(tag)
+        self.attrs.append(attrs)
+        self.outer.append(outer)
+        self.words.append(0)
+        n = len(self.tag) - 1
+        if self.article is None and tag in ("article", "main"):
+            self.article = n
+        return n
+
+    def add(self, inside: int, plain: int, title: bool) -> None:
+        self.words[inside] += plain
+        if title and self.title is None:
+            self.title = inside
+
+    def around(self) -> list[tuple[int, int, int]]:
+        """What holds inside each element.
+
+        A wrapper - it holds the page's first h1 (without one, its first
+        article) and half or more of its unlinked words - is no furniture,
+        whatever its names, and neither is the body.
+        """
+        words = list(self.words)
+        for k in range(len(words) - 1, 0, -1):
+            words[self.outer[k]] += words[k]
+        wraps = set()
+        k = self.title if self.title is not None else self.article
+        while k:
+            if 2 * words[k] >= words[0]:
+                wraps.add(k)
+            k = self.outer[k]
+        out = [PLAIN]
+        for k in range(1, len(words)):
+            outer = out[self.outer[k]]
+            got = _around(self.tag[k], self.attrs[k], outer)
+            if self.tag[k] == "body" or k in wraps and self.tag[k] in WRAPPERS:
+                got = (got[0], 0 if got[0] and outer[1] < 2 else outer[1], outer[2])
+            out.append(got)
+        return out
+
+
 class _Closers:
     """Where each element of a kind ends: the end of its closing tag, found in one pass per kind of tag."""
 
@@ -185,14 +244,15 @@ class _Closers:
 def blocks(html: str | None) -> list[Block]:
     """Flat text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, int, int]]] = []  # open elements and what holds inside them
+    stack: list[tuple[str, int]] = []  # open elements and their numbers
+    marks = Elements()
     opened: Counter = Counter()
     parts: list[str] = []
     linked_parts: list[str] = []
-    in_link = heading = skipping = False
+    in_link = heading = skipping = top = False
     html = html or ""
     at, end = 0, len(html)
-    around = PLAIN
+    inside = 0
     closers = _Closers(html)
 
     def close():
@@ -200,7 +260,9 @@ def blocks(html: str | None) -> list[Block]:
             words = unescape("".join(parts)).split()
             if words:
                 linked = len(unescape(" ".join(linked_parts)).split()) if linked_parts else 0
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), heading, around))
+                linked = min(linked, len(words))
+                marks.add(inside, len(words) - linked, top)
+                out.append(Block(" ".join(words), len(words), linked, heading, inside))
             parts.clear()
             linked_parts.clear()
 
@@ -239,6 +301,7 @@ def blocks(html: str | None) -> list[Block]:
             skipping = False
             close()
             heading = len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" and not closing
+            top = heading and tag == "h1"
         if tag in LANDMARK:
             if closing:
                 if not opened[tag]:
@@ -248,19 +311,21 @@ def blocks(html: str | None) -> list[Block]:
                     opened[last] -= 1
                     if last == tag:
                         break
-                around = stack[-1][1] if stack else PLAIN
+                inside = stack[-1][1] if stack else 0
                 if tag != "span":
                     in_link = False
             else:
-                inside = _around(tag, attrs, around)
-                if tag in ("span", "p") and inside == around:
+                if tag in ("span", "p") and _around(tag, attrs, PLAIN) == PLAIN:
                     continue  # left open or not, it marks nothing
                 if tag == "span":
                     close()
+                inside = marks.open(tag, attrs, inside)
                 stack.append((tag, inside))
                 opened[tag] += 1
-                around = inside
     close()
+    around = marks.around()
+    for b in out:
+        b.around = around[b.around]
     return out
 
 
