@@ -102,11 +102,16 @@ class Stream:
             x = filters.lfilter(b, a, x)[0] if causal else filters.filtfilt(b, a, x)
         if self.car and self.kind == "highpass":
             x = x - (np.median(x, axis=0) if self.car == "median" else x.mean(axis=0))
-        up = round(self.rate / self.raw_rate) if self.kind == "highpass" else 1
+        up = self.factors[0]
         if up > 1 or self.shcorrect:
             x = filters.resample(x, up, delays=filters.sample_hold_delays(chans, self.raw_rate) if self.shcorrect else None)
         return x
 
+    @property
+    def factors(self) -> tuple[int, int]:
+        """By how much the rate goes up, and down, from the raw one."""
+        return (round(self.rate / self.raw_rate), 1) if self.kind == "highpass" else (1, round(self.raw_rate / self.rate))
+
     def _check(self) -> None:
         """Refuse settings that reading cannot apply."""
         if self.filter not in FILTERS[self.kind]:
@@ -136,7 +141,7 @@ class Stream:
         chosen = F.col("chan").isin(sorted(chans if chans is not None else self.chans))
         if self.filter is None and self.rate == self.raw_rate and not self.shcorrect:
             return self.referenced(samples.filter((F.col("ti") >= a) & (F.col("ti") < b))).filter(chosen)
-        up, down = (round(self.rate / self.raw_rate), 1) if self.kind == "highpass" else (1, round(self.raw_rate / self.rate))
+        up, down = self.factors
         first, last = a * down // up - halo, -(-b * down // up) + halo
         rows = samples.filter((F.col("ti") >= first) & (F.col("ti") < last) & F.col("chan").isin(list(self.chans)))
         named = "rec" in samples.columns

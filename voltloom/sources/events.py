@@ -2,46 +2,62 @@
 
 from __future__ import annotations
 
-import io
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .recordings import _open, read_bytes
-
-
-def events_zip(spark: SparkSession, path: str) -> DataFrame:
-    """(sid, t, chan, nid) of an .events.zip."""
-    z = np.load(io.BytesIO(read_bytes(path)))
-    t = np.asarray(z["spikets"])
-    pdf = pd.DataFrame({"sid": np.arange(len(t)), "t": np.rint(t).astype("int64"), "chan": z["maxchans"].astype("int32"), "nid": z["nids"].astype("int64")})
-    return spark.createDataFrame(pdf, "sid long, t long, chan int, nid long")
-
-
-def eventwaves_zip(spark: SparkSession, path: str) -> DataFrame:
-    """(sid, t, chan, chans, wave in uV) of an .eventwaves.zip, with defaults for optional arrays."""
-    z = np.load(io.BytesIO(read_bytes(path)))
-    w = z["wavedata"]
-    n, m, nt = w.shape
-    uv, rate = float(z["uVperAD"]), float(z["sampfreq"])
-    t = z["t"] if "t" in z else np.arange(n) * nt * 1e6 / rate
-    chans = z["chans"] if "chans" in z else np.tile(np.arange(m), (n, 1))
-    nch = z["nchans"] if "nchans" in z else np.full(n, m)
-    chan = z["chan"] if "chan" in z else np.array([chans[k][np.ptp(w[k], axis=1).argmax()] for k in range(n)])
-    rows = [(k, int(np.rint(t[k])), int(chan[k]), [int(c) for c in chans[k][: nch[k]]], [(r * uv).tolist() for r in w[k][: nch[k]].astype(float)]) for k in range(n)]
-    return spark.createDataFrame(rows, "sid long, t long, chan int, chans array<int>, wave array<array<double>>")
-
-
-def kilosort(spark: SparkSession, folder: str, raw_times: DataFrame, shift_us: float = -66.67) -> DataFrame:
-    """Spikes of a Kilosort result (S23, J12): sample index to time by an equi-join with ``raw_times(ti, t)``; unit ids from 1; max channel of the template."""
-    load = lambda f: np.load(io.BytesIO(read_bytes(f"{folder}/{f}.npy")))
-    chan_map, times, clusters, temps = (load(f) for f in ("channel_map", "spike_times", "spike_clusters", "templates"))
-    top = chan_map.ravel()[np.abs(temps).max(axis=1).argmax(axis=1)]
-    pdf = pd.DataFrame({"sid": np.arange(times.size), "ti": times.ravel().astype("int64"), "cl": clusters.ravel().astype("int64")})
-    spikes = spark.createDataFrame(pdf, "sid long, ti long, cl long")
+from . import arrays, positional
+from .recordings import _open
+
+
+def events_zip(spark: SparkSession, path: str, rows_a_task: int = 250_000) -> DataFrame:
+    """(sid, t, chan, nid) of an .events.zip (S22), read by ranges."""
+    have = arrays.catalog(path)
+    if missing := [k for k in ("spikets", "maxchans", "nids") if k not in have]:
+        raise ValueError(f"{path} lacks {missing}")
+    got = arrays.rows(spark, {k: (path, k) for k in ("spikets", "maxchans", "nids")}, rows_a_task)
+    return got.select(F.col("row").alias("sid"), F.rint("spikets").cast("long").alias("t"), F.col("maxchans").cast("int").alias("chan"), F.col("nids").cast("long").alias("nid"))
+
+
+def eventwaves_zip(spark: SparkSession, path: str, rows_a_task: int = 250_000) -> DataFrame:
+    """(sid, t, chan, chans, wave in uV) of an .eventwaves.zip, read by ranges, with defaults for optional arrays.
+
+    Without times, waves follow one another; without channels, they are the
+    first ones; without a number of them, all; without a largest channel, the
+    one of the largest peak-to-peak, the first of equals.
+    """
+    have = arrays.catalog(path)
+    if missing := [k for k in ("wavedata", "uVperAD", "sampfreq") if k not in have]:
+        raise ValueError(f"{path} lacks {missing}")
+    _, m, nt = have["wavedata"].shape
+    uv, rate = (float(arrays.values(have[k]).ravel()[0]) for k in ("uVperAD", "sampfreq"))
+    optional = [k for k in ("t", "chans", "nchans", "chan") if k in have]
+    got = arrays.rows(spark, {k: (path, k) for k in ("wavedata", *optional)}, rows_a_task)
+    n = F.col("nchans").cast("int") if "nchans" in have else F.lit(m)
+    chans = F.slice(F.transform("chans", lambda c: c.cast("int")) if "chans" in have else F.sequence(F.lit(0), F.lit(m - 1)), F.lit(1), n)
+    wave = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda k: F.transform(F.slice("wavedata", k * nt + 1, F.lit(nt)), lambda v: v.cast("double") * uv))
+    t = F.col("t") if "t" in have else F.col("row") * (nt * 1e6 / rate)
+    out = got.select(F.col("row").alias("sid"), F.rint(t).cast("long").alias("t"), F.col("chan").cast("int").alias("chan") if "chan" in have else F.lit(None).cast("int").alias("chan"), chans.alias("chans"), F.slice(wave, F.lit(1), n).alias("wave"))
+    height = F.transform("wave", lambda w: F.array_max(w) - F.array_min(w))
+    top = F.element_at("chans", F.array_position(height, F.array_max(height)).cast("int"))
+    return out.withColumn("chan", F.coalesce("chan", top))
+
+
+def kilosort(spark: SparkSession, folder: str, raw_times: DataFrame, shift_us: float = -66.67, rows_a_task: int = 250_000) -> DataFrame:
+    """Spikes of a Kilosort result (S23, J12): sample index to time by an equi-join with ``raw_times(ti, t)``; unit ids from 1; max channel of the template.
+
+    Spikes are read by ranges; the templates, which do not grow with them, by the driver.
+    """
+    small = lambda f: arrays.values(arrays.catalog(f"{folder}/{f}.npy")["data"])
+    top = small("channel_map").ravel()[np.abs(small("templates")).max(axis=1).argmax(axis=1)]
+    one = lambda c: F.element_at(c, 1) if dict(got.dtypes)[c].startswith("array") else F.col(c)
+    got = arrays.rows(spark, {"ti": (f"{folder}/spike_times.npy", "data"), "cl": (f"{folder}/spike_clusters.npy", "data")}, rows_a_task)
+    spikes = got.select(F.col("row").alias("sid"), one("ti").cast("long").alias("ti"), one("cl").cast("long").alias("cl"))
     chans = spark.createDataFrame(pd.DataFrame({"cl": np.arange(len(top)), "chan": top.astype("int32")}), "cl long, chan int")
     out = spikes.join(raw_times, "ti").join(F.broadcast(chans), "cl", "left")
     return out.select("sid", F.rint(F.col("t") + shift_us).cast("long").alias("t"), "chan", (F.col("cl") + 1).alias("nid"))
@@ -52,27 +68,55 @@ def pad8(data: bytes) -> bytes:
     return data + b"\0" * (-len(data) % 8)
 
 
+#: Bytes of a neuron record before its spike times.
+NEURON_HEAD = 8 + 8 + 32 + 40 + 16
+#: Into how many stretches of time a unit's spikes are cut for writing.
+STRETCHES = 4096
+
+
 def write_ptcs(spikes: DataFrame, units: DataFrame, path: str, t0: int, t1: int, description: str = "", rate: int = 25000) -> int:
     """Version 3 .ptcs of good units, times relative to the stream's start and cut to [t0, t1) (K1).
 
-    A record per unit, streamed unit by unit; returns the number written.
+    Units with spikes there are written by rising id; returns their number.
+    Spike counts give every record its place in the file, and counts by unit
+    and stretch of time the place of every stretch in it, so a large unit is
+    written by many tasks.
     """
-    good = units.filter("good").select("nid", "x0", "y0")
-    inside = spikes.filter((F.col("t") >= t0) & (F.col("t") < t1)).groupBy("nid").agg(F.sort_array(F.collect_list(F.col("t") - t0)).alias("ts"), F.first("chan").alias("chan"))
-    rows = inside.join(good, "nid").orderBy("nid")
-    store, p = _open(path)
-    written, spikes_n, body = 0, 0, []
-    for r in rows.toLocalIterator():
-        ts = np.array(r["ts"], "<i8")
-        body.append(struct.pack("<q", r["nid"]) + struct.pack("<Q", 0) + struct.pack("<dddd", 0.0, r["x0"], r["y0"], 0.0) + struct.pack("<QQQQQ", 1, r["chan"], 0, 8, 0) + struct.pack("<QQ", 0, len(ts)) + ts.tobytes())
-        written, spikes_n = written + 1, spikes_n + len(ts)
+    good = units.filter("good").select(F.col("nid").cast("long").alias("nid"), "x0", "y0")
+    inside = spikes.filter((F.col("t") >= t0) & (F.col("t") < t1)).select(F.col("nid").cast("long").alias("nid"), (F.col("t") - t0).cast("long").alias("t"), F.col("chan").cast("long").alias("chan"))
+    records = inside.groupBy("nid").agg(F.count(F.lit(1)).alias("n"), F.min("chan").alias("chan")).join(good, "nid")
     text = pad8(description.encode())
-    head = struct.pack("<qQ", 3, len(text)) + text + struct.pack("<QQQQ", written, spikes_n, 8, rate)
-    with store.open_output_stream(p) as f:
-        f.write(head)
-        for b in body:
-            f.write(b)
-    return written
+    start = 16 + len(text) + 32
+    # a row per unit: running sums of record sizes are the records' places
+    placed = records.withColumn("at", start + F.sum(NEURON_HEAD + 8 * F.col("n")).over(Window.orderBy("nid")) - NEURON_HEAD - 8 * F.col("n"))
+    total, n, size = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.col("at") + NEURON_HEAD + 8 * F.col("n")), F.lit(start))).first()
+    width = max(1, (t1 - t0) // STRETCHES)
+    inside = inside.withColumn("b", F.floor(F.col("t") / width))
+    runs = inside.groupBy("nid", "b").agg(F.count(F.lit(1)).alias("k"))
+    runs = runs.withColumn("before", F.sum("k").over(Window.partitionBy("nid").orderBy("b")) - F.col("k"))
+    runs = runs.join(placed.select("nid", "at"), "nid").select("nid", "b", (F.col("at") + NEURON_HEAD + 8 * F.col("before")).alias("to"))
+    rows = inside.select("nid", "b", "t").join(runs, ["nid", "b"]).repartition("to").sortWithinPartitions("to", "t").select("to", "t")
+    heads = placed.select("nid", "at", "n", "chan", "x0", "y0")
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+        now, done = None, 0
+        for b in batches:
+            to, t = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]]) if len(to) else np.zeros(0, np.int64)
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if to[a] != now:
+                    now, done = int(to[a]), 0
+                yield now + 8 * done, t[a:z].astype("<i8").tobytes()
+                done += z - a
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield r["at"], struct.pack("<qQ", r["nid"], 0) + struct.pack("<dddd", 0.0, r["x0"], r["y0"], 0.0) + struct.pack("<QQQQQ", 1, r["chan"], 0, 8, 0) + struct.pack("<QQ", 0, r["n"])
+
+    first = struct.pack("<qQ", 3, len(text)) + text + struct.pack("<QQQQ", total, n, 8, rate)
+    positional.write_all([(rows, times), (heads, head)], path, size, [(0, first)], whole=size)
+    return total
 
 
 def csv_rows(spikes: DataFrame, units: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """Exports of recordings, stimulus records and spikes.
 
-Recordings leave as flat sample files: every task writes the blocks it owns
-under names no other attempt uses, and one task joins the blocks of successful
-attempts in order, copying bytes only.
+Recordings leave as flat sample files: every task writes the blocks it owns at
+their places in one file (``positional``).
 """
 
 from __future__ import annotations
@@ -19,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filters
+from ..operators.streams import Stream, runs
+from . import positional
 from .recordings import _open
 
 
@@ -42,60 +43,104 @@ def without_ranges(samples: DataFrame, ranges: DataFrame, pad: int = 0, broadcas
     return rows.withColumn("v", F.when(F.coalesce(hit, F.lit(False)), 0.0).otherwise(F.col("v"))).drop("_s", "_in")
 
 
+def _to_int16(x: np.ndarray, uv_per_ad: float) -> bytes:
+    """Samples in uV (moments x channels) as converter values."""
+    x = np.rint(x / uv_per_ad)
+    if np.abs(x).max(initial=0) > 32767:
+        raise ValueError("samples do not fit int16")
+    return x.astype("<i2").tobytes()
+
+
+def _sidecar(path: str, chans: list[int], rate: float, uv_per_ad: float, probe: str, first: int, meta: dict) -> None:
+    """The .dat.json, written last: a .dat without it is not finished."""
+    store, p = _open(path)
+    side = {"nchans": len(chans), "sample_rate": rate, "dtype": "int16", "uV_per_AD": uv_per_ad, "probe_name": probe, "chans": chans, "aux_chans": [], "nsamples_offset": first, **meta}
+    with store.open_output_stream(p + ".json") as f:
+        f.write(json.dumps(side, indent=1).encode())
+
+
 def write_dat(
-    samples: DataFrame, path: str, rate: float, uv_per_ad: float, probe: str, chans: list[int] | None = None, block: int = 250_000,
+    samples: DataFrame, path: str, rate: float, uv_per_ad: float, probe: str, chans: list[int] | None = None, block: int = 65_536,
     saturated: DataFrame | None = None, pad: int = 0, **meta,
 ) -> int:
     """Long samples (chan, ti, v in uV) as a .dat file with sidecar; missing samples are zero.
 
-    ``saturated`` ranges (ti0, ti1), widened by ``pad``, are zeroed first.
-    Returns the number of samples per channel.
+    Blocks of ``block`` moments are dealt to tasks, which put each at its place
+    in the file; a task holds one block.  ``saturated`` ranges (ti0, ti1),
+    widened by ``pad``, are zeroed first.  Recordings that are frames already
+    go by ``write_frames``, without a shuffle.  Returns the number of samples
+    per channel.
     """
-    spark = samples.sparkSession
     if saturated is not None:
         samples = without_ranges(samples, saturated, pad)
     chans = chans or sorted(r[0] for r in samples.select("chan").distinct().collect())
     first, last = samples.agg(F.min("ti"), F.max("ti")).first()
     n = 0 if first is None else last - first + 1
-    store, p = _open(path)
-    parts = f"{p}.parts-{uuid.uuid4().hex}"
-    store.create_dir(parts)
-    order = {c: k for k, c in enumerate(chans)}
-
-    def put(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = int(pdf["_b"].iloc[0])
-        x = np.zeros((min(block, n - at * block), len(chans)))
-        x[pdf["ti"].to_numpy() - first - at * block, pdf["chan"].map(order).to_numpy()] = np.rint(pdf["v"].to_numpy() / uv_per_ad)
-        if np.abs(x).max(initial=0) > 32767:
-            raise ValueError("samples do not fit int16")
-        name = f"{parts}/{uuid.uuid4().hex}"
-        with _open(path)[0].open_output_stream(name) as f:
-            f.write(x.astype("<i2").tobytes())
-        return pd.DataFrame({"b": [at], "name": [name]})
-
-    rows = samples.filter(F.col("chan").isin(chans)).select("chan", "ti", "v", F.floor((F.col("ti") - F.lit(first)) / block).alias("_b"))
-    done = {r.b: r.name for r in rows.groupBy("_b").applyInPandas(put, "b long, name string").collect()} if n else {}  # a row per block
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, _ = _open(path)
-        for _ in batches:
-            target = f"{parts}/whole"
-            with out.open_output_stream(target) as f:
-                for k in range(-(-n // block)):
-                    if k in done:
-                        with out.open_input_stream(done[k]) as g:
-                            while data := g.read(1 << 24):
-                                f.write(data)
-                    else:
-                        f.write(bytes(2 * len(chans) * min(block, n - k * block)))
-            out.move(target, p)
-            yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
-
-    spark.range(1).coalesce(1).mapInArrow(join, "n long").collect()
-    store.delete_dir(parts)
-    side = {"nchans": len(chans), "sample_rate": rate, "dtype": "int16", "uV_per_AD": uv_per_ad, "probe_name": probe, "chans": chans, "aux_chans": [], "nsamples_offset": int(first or 0), **meta}
-    with store.open_output_stream(p + ".json") as f:
-        f.write(json.dumps(side, indent=1).encode())
+    order = np.argsort(chans)
+    names = np.array(chans)[order]
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+        now, x = None, None
+        for b in batches:
+            blk, ti, chan, v = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(blk)) + 1, [len(blk)]]) if len(blk) else np.zeros(0, np.int64)
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if blk[a] != now:
+                    if x is not None:
+                        yield 2 * len(chans) * block * now, _to_int16(x, uv_per_ad)
+                    now = int(blk[a])
+                    x = np.zeros((min(block, n - now * block), len(chans)))
+                x[ti[a:z] - first - now * block, order[np.searchsorted(names, chan[a:z])]] = v[a:z]
+        if x is not None:
+            yield 2 * len(chans) * block * now, _to_int16(x, uv_per_ad)
+
+    rows = samples.filter(F.col("chan").isin(chans)).select(F.floor((F.col("ti") - F.lit(first)) / block).alias("b"), "ti", "chan", F.col("v").cast("double"))
+    positional.write(rows.repartition("b").sortWithinPartitions("b"), pieces, path, 2 * len(chans) * n)
+    _sidecar(path, chans, rate, uv_per_ad, probe, int(first or 0), meta)
+    return n
+
+
+def write_frames(frames: DataFrame, path: str, rate: float, uv_per_ad: float, probe: str, chans: list[int], stream: Stream | None = None, **meta) -> int:
+    """Frames of one recording as a .dat file with sidecar, by their tasks and without a shuffle.
+
+    With a ``stream`` the samples are filtered, referenced and resampled as it
+    says, frame by frame with their halo, and the sidecar describes it.  A
+    channel that a frame lacks is zero, and so are moments of no frame; frames
+    do not own the same moment twice.  Returns the number of samples per channel.
+    """
+    raw = stream.raw_rate if stream else rate
+    up, down = stream.factors if stream else (1, 1)
+    if stream and stream.rate != rate:
+        raise ValueError(f"the stream has {stream.rate} Hz, not {rate}")
+    ends = frames.agg(F.min("cut0_us"), F.max("cut1_us")).first()
+    place = lambda us: -(-round(us * raw / 1e6) * up // down)
+    # the last frame may own less than its cut says: count what there is
+    spans = frames.select(F.least("cut1_us", F.col("t0_us") + F.size(F.col("data")[0]) * F.col("tres_us")).alias("z")).agg(F.max("z")).first()[0]
+    first, n = (place(ends[0]), place(spans) - place(ends[0])) if ends[0] is not None else (0, 0)
+    if stream:
+        meta = {**stream.describe(), **meta}
+        meta.pop("sample_rate", None)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+        for b in batches:
+            for f in b.to_pylist():
+                x, names, at = np.array(f["data"], float), list(f["chans"]), round(f["t0_us"] * raw / 1e6)
+                lo, hi = place(f["cut0_us"]), min(place(f["cut1_us"]), first + n)
+                out = np.zeros((hi - lo, len(chans)))
+                found = [(k, names.index(c)) for k, c in enumerate(chans) if c in names]
+                for a, z in runs(~np.isnan(x).all(0)):
+                    y = np.nan_to_num(x[:, a:z])
+                    if stream:
+                        y = stream.process(y, np.array(names))
+                    ti = (at + a) * up + np.arange(y.shape[1])
+                    keep = (ti % down == 0) & (ti // down >= lo) & (ti // down < hi)
+                    for k, c in found:
+                        out[ti[keep] // down - lo, k] = y[c, keep]
+                yield 2 * len(chans) * (lo - first), _to_int16(out, uv_per_ad)
+
+    cols = ["t0_us", "cut0_us", "cut1_us", "chans", "data"]
+    positional.write(frames.select(*cols), pieces, path, 2 * len(chans) * n)
+    _sidecar(path, chans, rate, uv_per_ad, probe, first, meta)
     return n
 
 
