@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import islands
+from .scans import lagged
 
 
 def noise_median(v: str = "v") -> Column:
@@ -25,20 +26,27 @@ def thresholds(df: DataFrame, by: list[str], v: str = "v", mult: float = 4.5, fi
     return out.withColumn("ppthresh", F.rint(F.col("thresh") * pp_mult))
 
 
-def sharpness(df: DataFrame, by: list[str], ti: str = "ti", v: str = "v") -> DataFrame:
+def sharpness(df: DataFrame, by: list[str], ti: str = "ti", v: str = "v", block: int | None = None) -> DataFrame:
     """Peaks and their sharpness.
 
     A segment lies between sign changes of ``v > 0``; only segments closed on
     both sides count. Its peak is the first largest |v|, worth v * |v| / samples.
+    With ``block``, channels are scanned by blocks of samples, so one channel is many tasks.
     """
-    w = Window.partitionBy(*by).orderBy(ti)
     up = F.col(v) > 0
-    out = df.withColumn("_up", up).withColumn("_was", F.lag(up).over(w))
-    out = islands(out, F.col("_was").isNull() | (F.col("_was") != F.col("_up")), by, [ti], "_seg")
+    out = df.withColumn("_up", up)
+    if block:
+        out = lagged(out, by, [ti], ["_up"], block, "_b").withColumn("_was", F.col("_b._up")).drop("_b")
+    else:
+        out = out.withColumn("_was", F.lag(up).over(Window.partitionBy(*by).orderBy(ti)))
+    out = islands(out, F.col("_was").isNull() | (F.col("_was") != F.col("_up")), by, [ti], "_seg", block)
     peak = F.min_by(F.struct(F.col(ti).alias("ti"), F.col(v).alias("v")), F.struct(-F.abs(v), F.col(ti)))
     seg = out.groupBy(*by, "_seg").agg(peak.alias("_p"), F.count(F.lit(1)).alias("npoints"))
-    last = F.max("_seg").over(Window.partitionBy(*by))
-    seg = seg.withColumn("_last", last).filter((F.col("_seg") > 1) & (F.col("_seg") < F.col("_last")))
+    if block:
+        seg = seg.join(out.groupBy(*by).agg(F.max("_seg").alias("_last")), by)
+    else:
+        seg = seg.withColumn("_last", F.max("_seg").over(Window.partitionBy(*by)))
+    seg = seg.filter((F.col("_seg") > 1) & (F.col("_seg") < F.col("_last")))
     return seg.select(*by, F.col("_p.ti").alias("ti"), F.col("_p.v").alias("v"), (F.col("_p.v") * F.abs("_p.v") / F.col("npoints")).alias("sharp"))
 
 

@@ -9,13 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import lagged, last_known, running_sum
+
 
 def _w(by, order):
     return Window.partitionBy(*by).orderBy(*order)
 
 
-def islands(df: DataFrame, starts: Column, by: list[str], order: list[str], name: str = "island") -> DataFrame:
-    """Number runs: a row where ``starts`` holds begins a new one."""
+def islands(df: DataFrame, starts: Column, by: list[str], order: list[str], name: str = "island", block: int | None = None) -> DataFrame:
+    """Number runs: a row where ``starts`` holds begins a new one; with ``block``, long keys are scanned by blocks of the order column."""
+    if block:
+        return running_sum(df, by, order, F.when(starts, 1).otherwise(0), block, name)
     w = _w(by, order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(w))
 
@@ -28,11 +32,17 @@ def merge_intervals(df: DataFrame, by: list[str], lo: str = "lo", hi: str = "hi"
     return runs.groupBy(*by, "island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("island")
 
 
-def sessions(df: DataFrame, by: list[str], t: str, gap: int, most: int | None = None, order: list[str] | None = None) -> DataFrame:
-    """Session number per key: a new one where the gap reaches ``gap``; then pieces of ``most`` from the session's start."""
+def sessions(df: DataFrame, by: list[str], t: str, gap: int, most: int | None = None, order: list[str] | None = None, block: int | None = None) -> DataFrame:
+    """Session number per key: a new one where the gap reaches ``gap``; then pieces of ``most`` from the session's start.
+
+    With ``block``, keys are scanned by blocks of time, so a long one is many tasks.
+    """
     order = order or [t]
-    out = df.withColumn("_prev", F.lag(t).over(_w(by, order)))
-    out = islands(out, F.col("_prev").isNull() | (F.col(t) - F.col("_prev") >= gap), by, order, "session").drop("_prev")
+    if block:
+        out = lagged(df, by, order, [t], block, "_b").withColumn("_prev", F.col(f"_b.{t}")).drop("_b")
+    else:
+        out = df.withColumn("_prev", F.lag(t).over(_w(by, order)))
+    out = islands(out, F.col("_prev").isNull() | (F.col(t) - F.col("_prev") >= gap), by, order, "session", block).drop("_prev")
     if most:
         start = F.min(t).over(Window.partitionBy(*by, "session"))
         out = out.withColumn("piece", F.floor((F.col(t) - start) / most))
@@ -72,12 +82,18 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int, l0: str, l1: str
     return out.filter(F.col("_b") == F.greatest("_lb", "_rb")).drop("_b", "_lb", "_rb")
 
 
-def asof(left: DataFrame, right: DataFrame, lt: str, rt: str, values: list[str], by: list[str]) -> DataFrame:
-    """For every left row the values of the last right row not after it, per key (J13): one union and one window, no pair is made."""
+def asof(left: DataFrame, right: DataFrame, lt: str, rt: str, values: list[str], by: list[str], block: int | None = None) -> DataFrame:
+    """For every left row the values of the last right row not after it, per key (J13): one union and one window, no pair is made.
+
+    With ``block``, keys are scanned by blocks of time, so a hot one is many tasks.
+    """
     l_cols = left.columns
     a = left.withColumn("_t", F.col(lt)).withColumn("_side", F.lit(1))
     b = right.select(*by, F.col(rt).alias("_t"), F.struct(rt, *values).alias("_v")).withColumn("_side", F.lit(0))
     both = a.withColumn("_v", F.lit(None).cast(b.schema["_v"].dataType)).unionByName(b, allowMissingColumns=True)
+    if block:
+        out = last_known(both.withColumnRenamed("_v", "_r"), by, ["_t", "_side"], "_r", block, "_k").filter("_side = 1").withColumnRenamed("_k", "_v")
+        return out.select(*l_cols, *[F.col(f"_v.{c}").alias(c) for c in [rt, *values]])
     w = _w(by, ["_t", "_side"]).rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
     return out.select(*l_cols, *[F.col(f"_v.{c}").alias(c) for c in [rt, *values]])

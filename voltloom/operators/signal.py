@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import islands, merge_intervals
+from .scans import lagged, running_sum
+
+#: Samples of a stretch of a dense grid.
+GRID = 65_536
 
 
 def time_slice(df: DataFrame, a_us: float, b_us: float, tres_us: float, ti: str = "ti") -> DataFrame:
@@ -59,12 +63,14 @@ def saturation(df: DataFrame, v: str = "v", low: float = -32768, high: float = 3
     return df.withColumn("sat", (F.col(v) <= low) | (F.col(v) >= high))
 
 
-def saturated_ranges(df: DataFrame, by: list[str], widen: int, ti: str = "ti", flag: str = "sat") -> DataFrame:
-    """Runs of flagged time points, widened on both sides and merged: [lo, hi)."""
-    w = Window.partitionBy(*by).orderBy(ti)
+def saturated_ranges(df: DataFrame, by: list[str], widen: int, ti: str = "ti", flag: str = "sat", block: int | None = None) -> DataFrame:
+    """Runs of flagged time points, widened on both sides and merged: [lo, hi) (T12); with ``block``, scanned by blocks of samples."""
     hit = df.filter(flag).select(*by, ti).distinct()
-    hit = hit.withColumn("_p", F.lag(ti).over(w))
-    runs = islands(hit, F.col("_p").isNull() | (F.col(ti) != F.col("_p") + 1), by, [ti])
+    if block:
+        hit = lagged(hit, by, [ti], [ti], block, "_b").withColumn("_p", F.col(f"_b.{ti}")).drop("_b")
+    else:
+        hit = hit.withColumn("_p", F.lag(ti).over(Window.partitionBy(*by).orderBy(ti)))
+    runs = islands(hit, F.col("_p").isNull() | (F.col(ti) != F.col("_p") + 1), by, [ti], block=block)
     runs = runs.groupBy(*by, "island").agg((F.min(ti) - widen).alias("lo"), (F.max(ti) + 1 + widen).alias("hi")).drop("island")
     return merge_intervals(runs, by)
 
@@ -81,14 +87,21 @@ def ramp(df: DataFrame, by: list[str], ti: str = "ti", v: str = "v", flag: str =
 
 
 def gap_fill(df: DataFrame, by: list[str], ti: str = "ti", v: str = "v") -> DataFrame:
-    """A dense grid from each group's first to last sample, zeros where there is no data."""
+    """A dense grid from each group's first to last sample, zeros where there is no data.
+
+    The grid is made by stretches of ``GRID`` samples, dealt to all tasks, so no row holds a whole channel.
+    """
     span = df.groupBy(*by).agg(F.min(ti).alias("_a"), F.max(ti).alias("_b"))
-    grid = span.select(*by, F.explode(F.sequence("_a", "_b")).alias(ti))
+    stretch = F.explode(F.sequence(F.floor(F.col("_a") / GRID), F.floor(F.col("_b") / GRID)))
+    span = span.select("*", stretch.alias("_s")).repartition(*by, "_s")
+    grid = span.select(*by, F.explode(F.sequence(F.greatest("_a", F.col("_s") * GRID), F.least("_b", F.col("_s") * GRID + GRID - 1))).alias(ti))
     return grid.join(df.select(*by, ti, v), [*by, ti], "left").withColumn(v, F.coalesce(v, F.lit(0.0)))
 
 
-def squeeze_gaps(df: DataFrame, by: list[str], ti: str = "ti") -> DataFrame:
-    """Dense sample numbers over gaps, true times kept."""
+def squeeze_gaps(df: DataFrame, by: list[str], ti: str = "ti", block: int | None = None) -> DataFrame:
+    """Dense sample numbers over gaps, true times kept (U3); with ``block``, counted by blocks of samples."""
+    if block:
+        return running_sum(df, by, [ti], F.lit(1), block, "_n").withColumn("dense", F.col("_n") - 1).drop("_n")
     return df.withColumn("dense", F.row_number().over(Window.partitionBy(*by).orderBy(ti)) - 1)
 
 
