@@ -117,7 +117,9 @@ def dedup_lines(
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumn(d, F.coalesce(F.col(id_col).cast("long"), F.lit(SMALLEST))).withColumn(t, F.xxhash64(F.col(text_col)))
-    out = keyed.join(drops, [d, t], "left")
+    # Documents that lose lines are few: sent to every task if counted so, texts stay where they are.
+    drops = common.materialize(drops, "dropped-lines")
+    out = keyed.join(F.broadcast(drops) if drops.count() <= broadcast_rows else drops.hint("merge"), [d, t], "left")
     return (
         out.withColumn("n_lines", (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"))
         .withColumn("n_dropped", F.greatest(F.coalesce(F.size(drop), F.lit(0)), F.lit(0)).cast("long"))
