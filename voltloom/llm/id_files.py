@@ -2,15 +2,17 @@
 
 Documents are range-partitioned by id, so files follow ascending doc_id; a
 file holds a run of documents and its ids are cut into blocks of BLOCK ids.
-Every block is coded with fresh state and carries a CRC-32 of its ids.  An id
-is predicted by the last id that followed the two ids before it (order 2),
-the last that followed the one before it (order 1), and the ids met so far
-(order 0: their empirical distribution, renewed whenever the count of coded
-ids doubles).  The confidences of the order-2 and order-1 predictions and
-whether they agree select a mixing context, whose adaptive counts give the
-probabilities of "order 2 is right", "order 1 is right", "an id met before"
-and "a new id"; these and the order-0 interval drive a range coder with 64-bit
-low, 32-bit output words and carries.  Blocks are coded side by side, one
+Every block is coded with fresh state and carries a CRC-32 of its ids.  Four
+predictions of an id are mixed: all mass on the id that last followed the two
+ids before it (order 2), all mass on the one that last followed the one before
+it (order 1), the empirical distribution of the ids met so far (order 0,
+renewed whenever the count of coded ids doubles), and the uniform distribution
+for ids that none of the others holds.  Their weights depend on how often the order-2 and order-1
+predictions have been right and on whether they agree; after every id the
+weights of that context move by the shares that the predictions had in its
+probability.  The sum of the weighted distributions has cumulative values in
+closed form and drives a range coder with 64-bit low, 32-bit output words and
+carries.  Blocks are coded side by side, one
 numpy lane each, in step.
 
 Layout of a file, little-endian: MAGIC; then groups: ``<IIII`` lanes, ids per
@@ -45,7 +47,7 @@ from . import common
 from .byte_bpe import LOOSE_SPACE
 from .warc import filesystem
 
-MAGIC = b"VLIDS001"
+MAGIC = b"VLIDS002"
 BLOCK = 4096
 LANES = 2048
 NULL_ID = -(1 << 63)
@@ -56,32 +58,39 @@ _tokenizers: dict = {}
 # ---------------------------------------------------------------- coder
 
 
+#: Bits of the mixing weights, and of the shares of an id that move them.
+_WEIGHT_BITS, _STEP = 12, 48
+_ONE = 1 << _WEIGHT_BITS
+
+
 class _Model:
     """State of all lanes: predictions with confidences, mixing counts, order-0 slots.
 
     A prediction and its confidence (0 to 3) share one number, as do an order-0
     slot's id, the place of the id's first slot and the number of its slots, so
-    that each costs one access to memory.
+    that each costs one access to memory.  Masses add up to ``1 << bits`` more
+    than the weights' bits; a slot's mass and that of every id are whole numbers.
     """
 
-    def __init__(self, lanes: int, n: int):
+    def __init__(self, lanes: int, n: int, id_bits: int):
         self.lanes, self.n = lanes, n
+        self.bits = max(16, id_bits)
+        self.scale = np.uint64(_WEIGHT_BITS + self.bits)
+        self.id_bits = id_bits
         self.row = np.arange(lanes)
         self.base = self.row * _HASH
+        self.lane_key = self.row << 24
         self.order2 = np.zeros(lanes * _HASH, np.int32)
         self.order1 = np.zeros(lanes * _HASH, np.int32)
         self.mix = np.tile(np.array([4, 4, 16, 40], np.int32), (lanes * 32, 1))
         self.states = self.row * 32
-        self.edges = np.zeros((lanes, 5), np.int64)
-        self.edges[:, 4] = 4096
-        self.flat_edges, self.row5 = self.edges.ravel(), self.row * 5
         self.p1 = np.zeros(lanes, np.int64)
         self.p2 = np.zeros(lanes, np.int64)
         self.slots = np.zeros(lanes, np.int64)
-        self.shift, self.many = 0, 1
+        self.many = 0
 
-    def renew(self, ids: np.ndarray) -> np.ndarray:
-        """Order 0 from the ids so far, a power of two of them; returns them sorted."""
+    def renew(self, ids: np.ndarray) -> None:
+        """Order 0 from the ids so far, a power of two of them."""
         s = np.sort(ids, axis=1)
         many = s.shape[1]
         new = np.ones(s.shape, bool)
@@ -89,60 +98,103 @@ class _Model:
         start = np.flatnonzero(new)
         count = np.diff(np.concatenate([start, [s.size]]))
         self.slots = np.repeat((start % many << 16) + count, count) + (s.ravel().astype(np.int64) << 32)
-        self.many, self.shift = many, many.bit_length() - 1
-        return s
+        self.keys, self.many = (s + self.lane_key[:, None]).ravel(), many
 
     def predict(self):
+        """Weigh the predictions: masses of the order-2 and order-1 ids, of a slot of order 0, and of every id."""
         p1 = self.p1
         self.h2 = ((self.p2 * 40503 + p1 * 2654435) >> 3 & (_HASH - 1)) + self.base
         self.h1 = ((p1 * 40503) >> 4 & (_HASH - 1)) + self.base
         self.v2, self.v1 = self.order2[self.h2], self.order1[self.h1]
         self.c2, self.c1 = self.v2 >> 2, self.v1 >> 2
         self.state = self.states + ((self.v2 & 3) << 2 | (self.v1 & 3)) + ((self.c2 == self.c1).view(np.int8) << 4)
-        self.counts = self.mix[self.state]
-        run = self.counts.cumsum(axis=1, dtype=np.int64)
-        self.total = run[:, 3]
-        self.edges[:, 1:4] = run[:, :3] * 4092 // self.total[:, None] + _ONE_TO_THREE
-
-    def between(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Low end and width of each lane's outcome, of 4096."""
-        at = self.row5 + outcome
-        low = self.flat_edges[at]
-        return low.astype(np.uint64), (self.flat_edges[at + 1] - low).astype(np.uint64)
-
-    def learn(self, x: np.ndarray, outcome: np.ndarray) -> None:
+        counts = self.mix[self.state].T.astype(np.int64)
+        self.total = counts[0] + counts[1] + counts[2] + counts[3]
+        w = counts[:3] * (_ONE - 1) // self.total
+        self.m2, self.m1 = w[0] << self.bits, w[1] << self.bits
+        # every id has at least one part of the last weight
+        rest = _ONE - w[0] - w[1]
+        slot = w[2] if self.many else np.zeros_like(w[2])
+        self.each = (rest - slot) << (self.bits - self.id_bits)
+        self.slot = (slot << self.bits) // max(1, self.many)
+        self.uniform = (1 << int(self.scale)) - (self.each << self.id_bits)
+
+    def place(self, x: np.ndarray, below: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Low end and width of each lane's id; ``below`` and ``count`` are its slots of order 0.
+
+        The uniform part lies above the others and codes the ids that none of them holds.
+        """
+        self.part2, self.part1, self.part0 = (x == self.c2) * self.m2, (x == self.c1) * self.m1, count * self.slot
+        width = self.part0 + self.part2 + self.part1
+        new = width == 0
+        low = self.slot * below + (self.c2 < x) * self.m2 + (self.c1 < x) * self.m1
+        return np.where(new, self.uniform + self.each * x, low).astype(np.uint64), np.where(new, self.each, width).astype(np.uint64)
+
+    def slots_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order-0 slots below each lane's id, and its own."""
+        if not self.many:
+            return np.zeros(self.lanes, np.int64), np.zeros(self.lanes, np.int64)
+        at = np.searchsorted(self.keys, x + self.lane_key)
+        s = self.slots[np.minimum(at, len(self.slots) - 1)]
+        return at - self.row * self.many, np.where(s >> 32 == x, s & 0xFFFF, 0) * (at < self.row * self.many + self.many)
+
+    def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id whose interval holds ``v``, the slots below it and its own."""
+        a, b = np.minimum(self.c2, self.c1).astype(np.int64), np.maximum(self.c2, self.c1).astype(np.int64)
+        same = a == b
+        ma = np.where(same, self.m2 + self.m1, np.where(self.c2 < self.c1, self.m2, self.m1))
+        mb = np.where(same, 0, self.m2 + self.m1 - ma)
+        (below_a, count_a), (below_b, count_b) = self.slots_of(a), self.slots_of(b)
+        start_a, start_b = self.slot * below_a, self.slot * below_b + ma
+        past_a, past_b = v >= start_a + self.slot * count_a + ma, v >= start_b + self.slot * count_b + mb
+        is_a, is_b = (v >= start_a) & ~past_a, (v >= start_b) & past_a & ~past_b
+        x, below, count = np.where(is_a, a, b), np.where(is_a, below_a, below_b), np.where(is_a, count_a, count_b)
+        new = v >= self.uniform
+        lanes = np.flatnonzero(~(is_a | is_b | new))
+        if len(lanes) and self.many:
+            at = (v[lanes] - past_a[lanes] * ma[lanes] - past_b[lanes] * mb[lanes]) // np.maximum(self.slot[lanes], 1)
+            s = self.slots[lanes * self.many + np.clip(at, 0, self.many - 1)]
+            x[lanes], below[lanes], count[lanes] = s >> 32, s >> 16 & 0xFFFF, s & 0xFFFF
+        lanes = np.flatnonzero(new)
+        x[lanes], below[lanes], count[lanes] = (v[lanes] - self.uniform[lanes]) // self.each[lanes], 0, 0
+        return x, below, count
+
+    def learn(self, x: np.ndarray, width: np.ndarray) -> None:
+        share = [part * _STEP // width for part in (self.part2, self.part1, self.part0)]
         x = x.astype(np.int32)
         x4 = x << 2
         self.order2[self.h2] = np.where(x == self.c2, np.minimum(self.v2 + 1, x4 | 3), x4)
         self.order1[self.h1] = np.where(x == self.c1, np.minimum(self.v1 + 1, x4 | 3), x4)
-        self.mix.ravel()[self.state * 4 + outcome] += 24
-        full = np.flatnonzero(self.total > 4000)
+        flat, at = self.mix.ravel(), self.state * 4
+        for k in range(3):
+            flat[at + k] += share[k].astype(np.int32)
+        flat[at + 3] += (_STEP - share[0] - share[1] - share[2]).astype(np.int32)
+        full = np.flatnonzero(self.total > 8000)
         if len(full):
             at = self.state[full]
             self.mix[at] = (self.mix[at] + 1) >> 1
         self.p2, self.p1 = self.p1, x.astype(np.int64)
 
 
-_ONE_TO_THREE = np.arange(1, 4)
-
-
 def _renewal(i: int) -> bool:
     return i >= 16 and i & (i - 1) == 0
 
 
-_LOW32, _32, _12, _4095 = (np.uint64(x) for x in (0xFFFFFFFF, 32, 12, 4095))
+_LOW32, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
 def encode_blocks(ids: np.ndarray, id_bits: int) -> list[np.ndarray]:
     """Code each row of ``ids`` (lanes x n, int32) into 32-bit words."""
     lanes, n = ids.shape
-    m = _Model(lanes, n)
+    if ids.size and (ids.min() < 0 or int(ids.max()) >> id_bits):
+        raise ValueError(f"an id has more than {id_bits} bits")
+    m = _Model(lanes, n, id_bits)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     out, used = np.zeros((lanes, n + 4), np.uint32), np.zeros(lanes, np.int64)
-    places, since = None, 0
-    columns = np.ascontiguousarray(ids.T)
+    below = count = np.zeros((max(1, min(16, n)), lanes), np.int64)
+    since = 0
+    columns = np.ascontiguousarray(ids.T).astype(np.int64)
     every = np.arange(lanes)
-    lane_key = every << 20
 
     def carry(over):
         """A sum ran over: add one to the words already written."""
@@ -154,40 +206,29 @@ def encode_blocks(ids: np.ndarray, id_bits: int) -> list[np.ndarray]:
 
     for i in range(n):
         if _renewal(i):
-            s = m.renew(ids[:, :i])
-            # where each id until the next renewal lies in order 0: a row with no slot if it is new
-            key = (s + lane_key[:, None]).ravel()
-            q = columns[i : min(n, 2 * i)] + lane_key[None, :]
-            at = np.minimum(np.searchsorted(key, q.ravel()), len(key) - 1).reshape(q.shape)
-            places, since = np.where(key[at] == q, m.slots[at] & 0xFFFFFFFF, 0), i
+            m.renew(ids[:, :i])
+            # the slots of each id until the next renewal
+            q = columns[i : min(n, 2 * i)] + m.lane_key[None, :]
+            left = np.searchsorted(m.keys, q.ravel()).reshape(q.shape)
+            slots = np.minimum(left, len(m.keys) - 1)
+            below, count, since = left - every * i, np.where(m.keys[slots] == q, m.slots[slots] & 0xFFFF, 0), i
         m.predict()
         x = columns[i]
-        place = places[i - since] if places is not None else np.zeros(lanes, np.int64)
-        o = np.where(x == m.c2, 0, np.where(x == m.c1, 1, np.where(place > 0, 2, 3)))
-        a, width = m.between(o)
-        r = rng >> _12
+        a, width = m.place(x, below[i - since], count[i - since])
+        r = rng >> m.scale
         step = r * a
         low += step
-        if (low < step).any():
-            carry(np.flatnonzero(low < step))
+        over = np.flatnonzero(low < step)
+        if len(over):
+            carry(over)
         rng = r * width
-        lit = np.flatnonzero(o >= 2)
-        if len(lit):
-            old, p, y = o[lit] == 2, place[lit], x[lit]
-            r = rng[lit] >> np.where(old, m.shift, id_bits).astype(np.uint64)
-            step = r * np.where(old, p >> 16, y).astype(np.uint64)
-            now = low[lit] + step
-            low[lit] = now
-            if (now < step).any():
-                carry(lit[now < step])
-            rng[lit] = r * np.where(old, p & 0xFFFF, 1).astype(np.uint64)
         k = np.flatnonzero(rng <= _LOW32)
         if len(k):
             out[k, used[k]] = low[k] >> _32
             used[k] += 1
             low[k] <<= _32
             rng[k] <<= _32
-        m.learn(x, o)
+        m.learn(x, width.astype(np.int64))
     for _ in range(2):
         out[every, used] = low >> _32
         used += 1
@@ -201,41 +242,30 @@ def decode_blocks(words: list[np.ndarray], n: int, id_bits: int) -> np.ndarray:
     size = np.array([len(w) for w in words])
     flat = np.concatenate([*[np.concatenate([w, np.zeros(2, np.uint32)]) for w in words]]).astype(np.uint64)
     at = np.concatenate([[0], np.cumsum(size + 2)[:-1]])
-    m = _Model(lanes, n)
+    m = _Model(lanes, n, id_bits)
     rng = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     gap = flat[at] << _32 | flat[at + 1]
     at = at + 2
-    every = np.arange(lanes)
+    most, top = (1 << int(m.scale)) - 1, (1 << id_bits) - 1
     ids = np.zeros((n, lanes), np.int32)
     for i in range(n):
         if _renewal(i):
             m.renew(np.ascontiguousarray(ids[:i].T))
         m.predict()
-        r = rng >> _12
-        v = np.minimum(gap // r, _4095).astype(np.int64)
-        e = m.edges
-        o = (v >= e[:, 1]).view(np.int8) + (v >= e[:, 2]).view(np.int8) + (v >= e[:, 3]).view(np.int8)
-        a, width = m.between(o)
+        r = rng >> m.scale
+        v = np.minimum(gap // r, np.uint64(most)).astype(np.int64)
+        x, below, count = m.find(v)
+        x = np.minimum(x, top)  # a damaged block may run on
+        a, width = m.place(x, below, count)
         gap -= r * a
         rng = r * width
-        x = np.where(o == 0, m.c2, m.c1)
-        lit = np.flatnonzero(o >= 2)
-        if len(lit):
-            old = o[lit] == 2
-            bits = np.where(old, m.shift, id_bits)
-            r = rng[lit] >> bits.astype(np.uint64)
-            v = np.minimum((gap[lit] // r).astype(np.int64), (1 << bits) - 1)
-            p = m.slots[lit * m.many + np.where(old, v, 0)]
-            x[lit] = np.where(old, p >> 32, v)
-            gap[lit] -= r * np.where(old, p >> 16 & 0xFFFF, v).astype(np.uint64)
-            rng[lit] = r * np.where(old, p & 0xFFFF, 1).astype(np.uint64)
         k = np.flatnonzero(rng <= _LOW32)
         if len(k):
-            gap[k] = gap[k] << _32 | flat[np.minimum(at[k], len(flat) - 1)]  # a damaged block may run on
+            gap[k] = gap[k] << _32 | flat[np.minimum(at[k], len(flat) - 1)]
             at[k] += 1
             rng[k] <<= _32
         ids[i] = x
-        m.learn(x, o)
+        m.learn(x, width.astype(np.int64))
     return np.ascontiguousarray(ids.T)
 
 
@@ -378,6 +408,13 @@ def encoder(file: str) -> Encoder:
     return _tokenizers[file]
 
 
+def vocabulary(file: str) -> int:
+    """One more than the largest id of a tokenizer."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(file).get_vocab().values(), default=0) + 1
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -418,9 +455,16 @@ def _write(folder: str, file: str, end_id: int, id_bits: int, file_ids: int):
 MANIFEST = "part int, number int, path string, docs long, ids long"
 
 
-def write_ids(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer_file: str | None = None, end_id: int = 2, id_bits: int = 16, file_ids: int = 64_000_000) -> DataFrame:
-    """Write token-id files in ascending doc_id order; returns the manifest with each file's first position."""
+def write_ids(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer_file: str | None = None, end_id: int = 2, id_bits: int | None = None, file_ids: int = 64_000_000) -> DataFrame:
+    """Write token-id files in ascending doc_id order; returns the manifest with each file's first position.
+
+    ``id_bits`` are those that the vocabulary and the end id need, or more.
+    """
     spark = docs.sparkSession
+    need = max(vocabulary(tokenizer_file or default_tokenizer()) - 1, end_id).bit_length()
+    if id_bits is not None and id_bits < need:
+        raise ValueError(f"ids need {need} bits, not {id_bits}")
+    id_bits = id_bits or max(1, need)
     folder = folder or common.fresh_path(spark, "ids")
     files, path = filesystem(folder)
     files.create_dir(path)
