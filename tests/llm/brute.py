@@ -92,3 +92,9 @@ def contamination(docs, items, size=10):
 
 def same_rows(a, b):
     return Counter(a) == Counter(b)
+
+
+def auc(score, label):
+    """Chance that a row of label 1 scores above one of label 0, ties by half."""
+    a, b = ([s for s, y in zip(score, label) if y == k] for k in (1, 0))
+    return sum((x > y) + 0.5 * (x == y) for x in a for y in b) / (len(a) * len(b))

@@ -460,6 +460,46 @@ def test_coder(lanes, n, most, seed):
     assert (id_files.decode_blocks(id_files.encode_blocks(ids, 16), n, 16) == ids).all()
 
 
+@pytest.mark.parametrize("bits,n,low,high", [(20, 900, 0, 1 << 20), (16, 700, 65_000, 1 << 16), (1, 300, 0, 2), (18, 2100, 200_000, 200_040)])
+def test_coder_widths(bits, n, low, high):
+    """Ids of other widths; runs of one id; lanes that differ; lengths about the renewals of order 0."""
+    rng = np.random.default_rng(bits)
+    ids = rng.integers(low, high, (6, n)).astype(np.int32)
+    ids[0] = ids[0, 0]
+    ids[1] = np.resize(ids[1, :7], n)
+    for k in (1, 15, 16, 17, n):
+        assert (id_files.decode_blocks(id_files.encode_blocks(ids[:, :k], bits), k, bits) == ids[:, :k]).all()
+    with pytest.raises(ValueError, match="bits"):
+        id_files.encode_blocks(ids + (1 << bits), bits)
+
+
+def test_coder_mixes(spark):
+    """On blocks of real ids the mixture needs less than zlib on the same blocks; weights follow what predicts."""
+    texts = [r.text for r in common.table(spark, "/root/testdata/sf0.01", "documents").orderBy("doc_id").collect()]
+    enc = id_files.encoder(id_files.default_tokenizer())
+    ids = np.concatenate([np.append(x, 2) for x in enc.texts(texts)]).astype(np.int32)
+    n = id_files.BLOCK
+    blocks = ids[: len(ids) // n * n].reshape(-1, n)
+    size = 4 * sum(map(len, id_files.encode_blocks(blocks, 16)))
+    assert len(blocks) > 50 and size < 0.95 * sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks)
+    m = id_files._Model(1, 64, 16)
+    below = count = np.zeros(1, np.int64)
+    for x in [3, 9] * 40:  # what order 1 and 2 predict without fail
+        m.predict()
+        _, width = m.place(np.array([x]), below, count)
+        m.learn(np.array([x]), width.astype(np.int64))
+    m.predict()
+    assert int(m.m2[0] + m.m1[0]) > 0.8 * 2.0 ** int(m.scale)
+
+
+def test_id_bits_follow_the_vocabulary(spark):
+    assert id_files.vocabulary(id_files.default_tokenizer()) == 50_257
+    with pytest.raises(ValueError, match="16 bits"):
+        id_files.write_ids(frame(spark, ["a"]), id_bits=15)
+    wide = id_files.read_ids(id_files.write_ids(frame(spark, ["a b", None]), end_id=70_000)).collect()
+    assert sorted(r.ids[-1] for r in wide) == [70_000, 70_000]
+
+
 def test_id_files(spark, odd, monkeypatch):
     from tokenizers import Tokenizer
 
@@ -499,6 +539,17 @@ def test_id_file_damage(tmp_path):
 # ---------------------------------------------------------------- 10
 
 
+def test_toxicity_held_out(spark):
+    """Floors on the labelled rows of a given table that the fit does not see; repeated rows and clashing columns."""
+    d = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in common.table(spark, d, "labels").filter("toxic IS NOT NULL").collect()}
+    got = [r for r in toxicity.op10_toxicity(spark, d).filter("held_out").collect() if r.doc_id in labels]
+    y = np.array([labels[r.doc_id] for r in got])
+    p, said = np.array([r.score for r in got]), np.array([r.predicted for r in got])
+    assert len(got) > 500 and brute.auc(p, y) >= 0.95 and (said == y).mean() >= 0.97
+    assert said[y == 1].mean() >= 0.9 and y[said == 1].mean() >= 0.9
+
+
 def best_segments(s):
     """All maximal scoring segments by their definition: take the best, then left and right of it."""
     out = []
