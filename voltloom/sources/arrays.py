@@ -69,6 +69,10 @@ def _local_start(f, info: zipfile.ZipInfo) -> int:
 
 def catalog(path: str) -> dict[str, Array]:
     """Arrays of an .npy file (by the name ``data``) or of an archive, by name; no values are read."""
+    if path.endswith(".mat"):
+        from . import matfiles
+
+        return matfiles.catalog(path)
     store, p = _open(path)
     with store.open_input_file(p) as f:
         if path.endswith(".npy"):
@@ -121,7 +125,11 @@ class ArrayReader(DataSourceReader):
                 store, p = _open(a.path)
                 f = store.open_input_file(p)
                 files.append(f)
-                if a.offset is None:
+                if a.offset is None and a.member.startswith("@zlib:"):
+                    from .matfiles import unpacked
+
+                    streams[name] = unpacked(f, a.member).read
+                elif a.offset is None:
                     m = zipfile.ZipFile(f).open(a.member)
                     _header(m)
                     streams[name] = m.read
@@ -154,7 +162,12 @@ class ArraySource(DataSource):
         for line in options["paths"].splitlines():
             name, _, at = line.partition("=")
             path, _, member = at.rpartition("|")
-            known.setdefault(path, catalog(path))
+            if member.startswith("@raw:"):  # values of a length and type at an offset of any file
+                offset, n, dtype = member.split(":")[1:]
+                self.arrays[name] = Array(path, None, int(offset), (int(n),), dtype)
+                continue
+            if path not in known:
+                known[path] = catalog(path)
             if member not in known[path]:
                 raise ValueError(f"{path} lacks {member}")
             self.arrays[name] = known[path][member]

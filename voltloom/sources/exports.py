@@ -231,7 +231,12 @@ def channel_map(sites: list[tuple[int, float, float]]) -> list[tuple]:
     return [(k + 1, k, c, x, y, 1) for k, (c, x, y) in enumerate(sites)]
 
 
+def channel_map_file(dat: str) -> str:
+    """Where the channel map of a .dat file lies; ``matfiles.write_channel_map`` writes it."""
+    return f"{dat}.chanmap.mat"
+
+
 def kilosort_config(dat: str, nchans: int, rate: float, **options) -> str:
     """A configuration script of a spike sorter for a .dat file."""
-    settings = {"NchanTOT": nchans, "fs": rate, "fbinary": f"'{dat}'", "chanMap": f"'{dat}.chanmap.mat'", **options}
+    settings = {"NchanTOT": nchans, "fs": rate, "fbinary": f"'{dat}'", "chanMap": f"'{channel_map_file(dat)}'", **options}
     return "".join(f"ops.{k} = {v};\n" for k, v in settings.items())

@@ -94,7 +94,7 @@ def nsx_layout(path: str) -> Layout:
     if kind != b"NEURALCD":
         raise ValueError(f"{path}: {kind!r}")
     n = struct.unpack("<I", head[310:314])[0]
-    chans, aux, gains = [], [], []
+    chans, aux, gains, labels = [], [], [], []
     raw = read_bytes(path, 314, 66 * n)
     for k in range(n):
         tag, cid, name, _, _, dmin, dmax, amin, amax, unit = struct.unpack("<2sH16sBBhhhh16s", raw[66 * k : 66 * k + 46])
@@ -102,6 +102,7 @@ def nsx_layout(path: str) -> Layout:
             raise ValueError(f"{path}: channel header {tag!r}")
         name, unit = (s.split(b"\0")[0].decode() for s in (name, unit))
         (chans if re.fullmatch(r"chan%d" % cid, name) else aux).append(cid)
+        labels.append(name)
         if name == f"chan{cid}":
             gains.append((amax - amin) / (dmax - dmin) * (1 if unit == "uV" else 1000))
     if gains and max(gains) != min(gains):
@@ -111,17 +112,89 @@ def nsx_layout(path: str) -> Layout:
     store, p = _open(path)
     if flag != 1 or size + 9 + 2 * n * count != store.get_file_info(p).size:
         raise ValueError(f"{path}: pauses or a cut file")
-    return Layout(path, n, clock / period, gains[0] if gains else 1.0, size + 9, count, chans, aux, None, t0)
+    return Layout(path, n, clock / period, gains[0] if gains else 1.0, size + 9, count, chans, aux, None, t0, {"labels": labels})
+
+
+#: Channels that files of version 1000 always have.
+TSF_1000_CHANNELS = 54
 
 
 def tsf_layout(path: str) -> Layout:
-    """A .tsf file of version 1002 (S19): channel-major is not assumed; samples follow the site table."""
-    magic, version, rate, n, count, vscale = struct.unpack("<16siiiif", read_bytes(path, 0, 36))
-    if version not in (1000, 1002):
+    """A .tsf file of version 1000 or 1002 (S18, S19): sites, gains, samples channel after channel, and ground truth behind them.
+
+    ``extra["truth"]`` holds where the truth's three columns begin, how many
+    spikes it has and the type of its numbers; None where there is none.
+    """
+    magic, version = struct.unpack("<16si", read_bytes(path, 0, 20))
+    if magic != b"Test spike file ":
+        raise ValueError(f"{path}: {magic!r}")
+    store, p = _open(path)
+    size = store.get_file_info(p).size
+    if version == 1002:
+        rate, n, count, gain = struct.unpack("<iiif", read_bytes(path, 20, 16))
+        table = np.frombuffer(read_bytes(path, 36, 8 * n), np.dtype([("site", "<i2", 2), ("place", "<i4")]))
+        sites, extra, at = table["site"].tolist(), {"places": table["place"].tolist(), "int_gain": 1, "ext_gain": gain}, 36 + 8 * n
+    elif version == 1000:
+        n = TSF_1000_CHANNELS
+        sites = np.frombuffer(read_bytes(path, 20, 4 * n), "<i2").reshape(n, 2).tolist()
+        rate, clock, *gains, gain, n2, count = struct.unpack("<ii64HHii", read_bytes(path, 20 + 4 * n, 146))
+        if n2 != n:
+            raise ValueError(f"{path}: {n2} channels, not {n}")
+        extra, at = {"clock": clock, "int_gain": gain, "ext_gain": gains[0]}, 20 + 4 * n + 146
+    else:
         raise ValueError(f"{path}: version {version}")
-    raw = read_bytes(path, 36, 8 * n if version == 1002 else 4 * n)
-    sites = np.frombuffer(raw, "<i2").reshape(n, -1)[:, :2]
-    return Layout(path, n, float(rate), float(vscale), 36 + len(raw), count, list(range(n)), [], None, 0, {"sites": sites.tolist(), "version": version, "channel_major": True})
+    end = at + 2 * n * count
+    if end > size:
+        raise ValueError(f"{path}: the file ends inside its samples")
+    head = 4 if version == 1002 else 8
+    truth = None
+    if size >= end + head and (spikes := struct.unpack("<i", read_bytes(path, end + head - 4, 4))[0]):
+        truth = (end + head, spikes, "<i4" if version == 1002 else "<u4")
+    bits = 15 if version == 1002 else 11  # version 1000 has twelve-bit samples
+    return Layout(path, n, float(rate), 1e7 / (2**bits * extra["int_gain"] * extra["ext_gain"]), at, count, list(range(n)), [], None, 0, {"sites": sites, "version": version, "channel_major": True, "truth": truth, **extra})
+
+
+def tsf_truth(spark: SparkSession, path: str) -> DataFrame:
+    """(sid, ti, nid, chan) of the simulated spikes behind a .tsf file's samples, in time order, channels from zero; read by ranges."""
+    from . import arrays
+
+    truth = tsf_layout(path).extra["truth"]
+    if truth is None:
+        return spark.createDataFrame([], "sid long, ti long, nid long, chan int")
+    at, n, dtype = truth
+    got = arrays.rows(spark, {c: (path, f"@raw:{at + 4 * n * k}:{n}:{dtype}") for k, c in enumerate(("ti", "nid", "chan"))})
+    zero = F.when(F.assert_true(F.col("chan") >= 1, F.lit("channels of the truth start at one")).isNull(), F.col("chan") - 1).cast("int")
+    return got.select(F.col("row").alias("sid"), "ti", "nid", zero.alias("chan")).orderBy("ti", "sid")
+
+
+def nsx_sidecar(path: str, templates: list[str] = ()) -> dict:
+    """Probe and adapter of an .nsx file (S5): from its .ns6.json, else the first of ``templates`` that lies beside it."""
+    store, p = _open(path)
+    folder, _, name = p.rpartition("/")
+    own = f"{re.sub(r'[.]ns[0-9]$', '', name)}.ns6.json"
+    for side in (own, *templates):
+        at = f"{folder}/{side}" if folder else side
+        if store.get_file_info(at).is_file:
+            with store.open_input_file(at) as f:
+                meta = json.loads(f.read())
+            if odd := sorted(set(meta) - {"probe_name", "chan_layout_name", "adapter_name"}):
+                raise ValueError(f"{side} has the fields {odd}")
+            probe = meta.get("probe_name") or meta.get("chan_layout_name")
+            if not probe:
+                raise ValueError(f"{side} names no probe")
+            return {"probe": probe, "adapter": meta.get("adapter_name")}
+    raise ValueError(f"{path} has neither {own} nor one of {list(templates)} beside it")
+
+
+def channel(lay: Layout, key: int | str) -> int:
+    """Place of a channel in the file's frames, by its id or its label."""
+    if isinstance(key, int):
+        every = [*lay.chans, *lay.aux]
+        if key in every:
+            return every.index(key)
+    elif key in lay.extra.get("labels", []):
+        return lay.extra["labels"].index(key)
+    raise KeyError(f"{lay.path} has no channel {key!r}")
 
 
 LAYOUTS = {".dat": dat_layout, ".ns6": nsx_layout, ".tsf": tsf_layout}
@@ -144,6 +217,7 @@ class SampleReader(DataSourceReader):
     def __init__(self, options):
         self.layout = layout(options["path"])
         self.halo = int(options.get("halo", 200))
+        self.aux = str(options.get("aux", "false")).lower() == "true"
         self.per_block = max(1, int(float(options.get("block_s", 10)) * self.layout.rate))
 
     def partitions(self):
@@ -160,11 +234,11 @@ class SampleReader(DataSourceReader):
         else:
             x = np.frombuffer(read_bytes(lay.path, lay.offset + 2 * lay.nchans * a, 2 * lay.nchans * (b - a)), "<i2").reshape(-1, lay.nchans).T
         tres = 1e6 / lay.rate
-        keep = [k for k in range(lay.nchans) if k < len(lay.chans)]  # recorded channels come first, then the others
+        keep = range(len(lay.chans) + (len(lay.aux) if self.aux else 0))  # recorded channels come first, then the others
         row = {
             "rec": [lay.path], "block": [part.first // self.per_block], "t0_us": [(lay.t0_samples + a) * tres], "tres_us": [tres],
             "cut0_us": [(lay.t0_samples + part.first) * tres], "cut1_us": [(lay.t0_samples + part.last) * tres],
-            "chans": [lay.chans], "data": [[(x[k] * lay.uv_per_ad).tolist() for k in keep]],
+            "chans": [[*lay.chans, *(lay.aux if self.aux else [])]], "data": [[(x[k] * lay.uv_per_ad).tolist() for k in keep]],
         }
         kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.float64()))]
         yield pa.record_batch([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
@@ -184,9 +258,10 @@ class SampleSource(DataSource):
         return SampleReader(self.options)
 
 
-def frames(spark: SparkSession, path: str, block_s: float = 10, halo: int = 200) -> DataFrame:
+def frames(spark: SparkSession, path: str, block_s: float = 10, halo: int = 200, aux: bool = False) -> DataFrame:
+    """Frames of a recording; with ``aux`` the auxiliary channels come after the recorded ones."""
     spark.dataSource.register(SampleSource)
-    return spark.read.format("samples").option("path", path).option("block_s", block_s).option("halo", halo).load()
+    return spark.read.format("samples").option("path", path).option("block_s", block_s).option("halo", halo).option("aux", str(aux).lower()).load()
 
 
 def samples(frames_: DataFrame) -> DataFrame:
