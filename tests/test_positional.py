@@ -145,3 +145,56 @@ def test_imports_by_ranges(spark, tmp_path):
     times = spark.createDataFrame([(k, k * 40.0) for k in range(0, 90, 5)], "ti long, t double")
     got = sorted(tuple(r) for r in events.kilosort(spark, str(tmp_path), times, 0.0, 6).collect())
     assert got == [(k, k * 200, int(top[k % 3]), k % 3 + 1) for k in range(18)]
+
+
+def test_export_gate(spark, tmp_path):
+    """Each fault of a unit stops the export, with its name; good units leave a file per recording."""
+    s = [(k, 1000 * k + n, 0, n) for k in range(40) for n in (1, 2, 3)]
+    u = spark.createDataFrame([(1, True, 0.0, 0.0), (2, True, 0.0, 0.0), (3, False, 0.0, 0.0)], "nid long, good boolean, x0 double, y0 double")
+    shape = [0.0, 1.0, 4.0, -9.0, 5.0, 2.0, 1.0, 0.5]
+    w = [(n, c, t, v * (2 - c)) for n in (1, 2) for c in (0, 1) for t, v in enumerate(shape)]
+    g = [(1, 0, 3), (2, 0, 3)]
+    frame = lambda s, w, g: (spark.createDataFrame(s, "sid long, t long, chan int, nid long"), u, spark.createDataFrame(w, "nid long, chan int, ti int, v double"), spark.createDataFrame(g, "nid long, chan int, at int"))
+    exports.check_units(*frame(s, w, g))
+    bad = [
+        ("too short: units \\[2\\]", (s + [(900, 5 * 1000 + 2 + 10, 0, 2)], w, g)),
+        ("off their trigger: units \\[1\\]", (s, w, [(1, 0, 7), (2, 0, 3)])),
+        ("padded templates: units \\[1\\]", (s, [(n, c, t, 7.0 if n == 1 and c == 0 and t > 1 else v) for n, c, t, v in w], [(1, 0, 1), (2, 0, 3)])),
+    ]
+    for what, (a, b, c) in bad:
+        with pytest.raises(ValueError, match=what):
+            exports.check_units(*frame(a, b, c))
+    lack = spark.createDataFrame([(1, True, 0.0, 0.0), (5, True, 0.0, 0.0)], u.schema)
+    sp, _, wv, tr = frame(s, w, g)
+    with pytest.raises(ValueError, match="left out after: units \\[1\\]"):
+        exports.check_units(sp, lack, wv, tr)
+    out = str(tmp_path / "out")
+    assert exports.export_units(sp, u, [("a", 0, 20_000), ("b", 20_000, 60_000)], out, checked=(wv, tr)) == {"a": 2, "b": 2}
+    rows = [tuple(r) for r in sp.collect()]
+    assert open(out + "/b.ptcs", "rb").read() == plain_ptcs(rows, [tuple(r) for r in u.collect()], 20_000, 60_000, "b", 25000)
+
+
+def test_channel_thresholds(spark, tmp_path):
+    from voltloom.functions import filters
+    from voltloom.operators import spikes
+
+    rng = np.random.default_rng(7)
+    x = np.rint(rng.normal(size=(3, 20_000)) * np.array([[10], [40], [90]])).astype(np.int16)
+    x[1, 500::1000] -= 600
+    x[1, 505::1000] += 600
+    p = str(tmp_path / "n.dat")
+    recordings.write_dat(p, x, 25000.0, 1.0, "p")
+    frames = recordings.frames(spark, p, block_s=0.1, halo=100)
+    plain = spikes.Settings(filter=None, car=None)
+    every = spikes.with_channel_thresholds(frames, plain, noise_s=10)
+    want = {c: max(np.rint(filters.lower_median(np.abs(x[c].astype(float))) / 0.6745 * 4.5), 40.0) for c in range(3)}
+    assert every.threshold == "channel" and dict(every.chan_uv) == want
+    some = spikes.with_channel_thresholds(frames, plain, noise_s=0.3)
+    assert all(abs(v / want[c] - 1) < 0.15 for c, v in some.chan_uv) and some == spikes.with_channel_thresholds(frames, plain, noise_s=0.3)
+    th, _ = spikes.block_thresholds(x[[2, 0]].astype(float), every, [2, 0])
+    assert th.tolist() == [want[2], want[0]]
+    with pytest.raises(ValueError, match="no threshold"):
+        spikes.block_thresholds(x.astype(float), every, [0, 1, 9])
+    probe = {0: (0.0, 0.0), 1: (0.0, 50.0), 2: (0.0, 100.0)}
+    got = spikes.detect(frames, probe, every).toPandas()
+    assert len(got) and all(max(abs(r.V0), abs(r.V1)) >= want[r.chan] for r in got.itertuples())

@@ -56,3 +56,16 @@ def test_grids_are_made_by_stretches(spark, monkeypatch):
     d = spark.createDataFrame([(1, -25, 1.0), (1, 33, 2.0), (2, 7, 5.0)], "k int, ti long, v double")
     got = {(r.k, r.ti): r.v for r in signal.gap_fill(d, ["k"]).collect()}
     assert got == {(1, t): {-25: 1.0, 33: 2.0}.get(t, 0.0) for t in range(-25, 34)} | {(2, 7): 5.0}
+
+
+@pytest.mark.parametrize("auto", [False, True])
+@pytest.mark.parametrize("bins", [7, 20])
+def test_correlogram_without_pairs(spark, auto, bins):
+    """Against the histogram of all pairs: ties, negative times, a hot moment."""
+    rng = np.random.default_rng(bins)
+    rows = [(int(t), k) for k, t in enumerate(np.concatenate([rng.integers(-5000, 5000, 400), np.full(60, 77), rng.integers(70, 90, 100)]))]
+    s = spark.createDataFrame(rows, "t long, sid long").repartition(4)
+    a, b = (s, s) if auto else (s.filter("sid % 3 > 0"), s.filter("sid % 3 < 2"))
+    got = {r.bin: r.n for r in metrics.spike_correlogram(a, b, 300, bins, auto=auto).collect()}
+    pairs = metrics.xcorr_pairs(a.withColumnRenamed("sid", "sid"), b, 300, auto=auto)
+    assert got == {r.bin: r.n for r in metrics.correlogram(pairs, 300, bins).collect()}

@@ -9,7 +9,7 @@ the owned range are a halo, so filters settle and spikes at edges are whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,8 @@ class Settings:
     car: str | None = "median"
     resample: int = 1
     cutoff_hz: float = 300.0
-    threshold: str = "dynamic"  # dynamic, fixed
+    threshold: str = "dynamic"  # dynamic (by block), fixed (one for all), channel (chan_uv, see with_channel_thresholds)
+    chan_uv: tuple[tuple[int, float], ...] = ()
     noise: str = "median"
     noise_mult: float = 4.5
     fixed_uv: float = 40.0
@@ -53,10 +54,15 @@ def preprocess(data: np.ndarray, rate_hz: float, s: Settings) -> np.ndarray:
     return filters.resample(x, s.resample) if s.resample > 1 else x
 
 
-def block_thresholds(x: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+def block_thresholds(x: np.ndarray, s: Settings, chans=None) -> tuple[np.ndarray, np.ndarray]:
     """Peak and peak-to-peak thresholds per channel."""
     if s.threshold == "fixed":
         th = np.full(len(x), s.fixed_uv)
+    elif s.threshold == "channel":
+        known = dict(s.chan_uv)
+        if missing := sorted({int(c) for c in chans} - set(known)):
+            raise ValueError(f"channels {missing} have no threshold")
+        th = np.array([known[int(c)] for c in chans])
     else:
         level = filters.lower_median(np.abs(x)) / 0.6745 if s.noise == "median" else x.std(axis=1)
         th = np.maximum(np.rint(level * s.noise_mult), s.fixed_uv)
@@ -66,7 +72,7 @@ def block_thresholds(x: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray
 class BlockSearch:
     """Greedy scan over the threshold peaks of one block, with lockouts per channel (D3)."""
 
-    def __init__(self, x: np.ndarray, tres_us: float, xs: np.ndarray, ys: np.ndarray, s: Settings, cut: tuple[int, int]):
+    def __init__(self, x: np.ndarray, tres_us: float, xs: np.ndarray, ys: np.ndarray, s: Settings, cut: tuple[int, int], chans=None):
         self.x, self.s, self.cut = x, s, cut
         self.xs, self.ys = np.asarray(xs, float), np.asarray(ys, float)
         self.dist = np.hypot(self.xs[:, None] - self.xs, self.ys[:, None] - self.ys)
@@ -74,7 +80,7 @@ class BlockSearch:
         self.peaks = [np.flatnonzero(r) for r in self.sharp]
         self.dti = max(1, int(s.dt_us / tres_us))
         self.twi = (int(np.rint(s.window_us[0] / tres_us)), int(np.rint(s.window_us[1] / tres_us)))
-        self.th, self.ppth = block_thresholds(x, s)
+        self.th, self.ppth = block_thresholds(x, s, chans)
         self.lock = np.full(len(x), -1)
 
     def run(self) -> Iterator[dict]:
@@ -157,7 +163,7 @@ def detect(frames: DataFrame, probe: dict[int, tuple[float, float]], settings: S
                 xs, ys = np.array([probe[int(c)] for c in chans], float).T
                 cut = tuple(int(np.ceil((c - f.t0_us) / tres)) for c in (f.cut0_us, f.cut1_us))
                 at = lambda k: int(np.rint(f.t0_us + k * tres))  # noqa: B023, E731
-                for p in BlockSearch(x, tres, xs, ys, s, cut).run():
+                for p in BlockSearch(x, tres, xs, ys, s, cut, chans).run():
                     rows.append((f.rec, f.block, at(p["ti"]), at(p["ti0"]), at(p["ti1"]), int(np.rint(p["dt"] * tres)), int(chans[p["chan"]]),
                                  chans[p["chans"]].tolist(), chans[p["lockchans"]].tolist(), *[p[k] for k in ("V0", "V1", "Vpp", "x0", "y0", "sx", "sy", "wave")]))
             yield pd.DataFrame(rows, columns=names)
@@ -165,6 +171,39 @@ def detect(frames: DataFrame, probe: dict[int, tuple[float, float]], settings: S
     return frames.mapInPandas(run, SPIKES)
 
 
+def with_channel_thresholds(frames: DataFrame, settings: Settings, noise_s: float = 10.0, seed: int = 0) -> Settings:
+    """Settings with a fixed threshold per channel, from the noise of random blocks (A5).
+
+    Blocks are drawn without replacement, in the order of a hash of their
+    number and ``seed``, until they own ``noise_s`` seconds; all blocks if there
+    are no more.  Their samples are preprocessed as for detection, and the
+    noise is the median of |v| / 0.6745 or the standard deviation over all of
+    them, an aggregate per channel.
+    """
+    length = F.col("cut1_us") - F.col("cut0_us")
+    drawn = frames.select("rec", "block", length.alias("us"), F.xxhash64("rec", "block", F.lit(seed)).alias("h"))
+    widest = drawn.agg(F.max("us")).first()[0]
+    if widest is None:
+        raise ValueError("there are no blocks to take the noise from")
+    some = drawn.orderBy("h", "rec", "block").limit(max(1, round(noise_s * 1e6 / widest))).select("rec", "block")
+    mine = frames.join(F.broadcast(some), ["rec", "block"])  # noise_s seconds of blocks
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for f in pdf.itertuples(index=False):
+                x = preprocess(np.stack([np.asarray(r, float) for r in f.data]), 1e6 / f.tres_us, settings)
+                tres = f.tres_us / settings.resample
+                lo, hi = (int(np.ceil((c - f.t0_us) / tres)) for c in (f.cut0_us, f.cut1_us))
+                x = x[:, max(0, lo) : hi]
+                yield pd.DataFrame({"chan": np.repeat(np.asarray(f.chans, np.int32), x.shape[1]), "v": x.ravel()})
+
+    rows = mine.mapInPandas(run, "chan int, v double")
+    level = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY abs(v))") / 0.6745 if settings.noise == "median" else F.stddev_pop("v")
+    noise = rows.groupBy("chan").agg(level.alias("noise")).collect()  # a row per channel
+    limits = tuple(sorted((r.chan, float(max(np.rint(r.noise * settings.noise_mult), settings.fixed_uv))) for r in noise))
+    return replace(settings, threshold="channel", chan_uv=limits)
+
+
 def with_ids(spikes: DataFrame) -> DataFrame:
     """Ids in (t, chan) order within each recording."""
     w = Window.partitionBy("rec").orderBy("t", "chan")

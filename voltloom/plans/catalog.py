@@ -379,12 +379,14 @@ def xcorr_pairs(spark, sf):
 
 @query(f"WITH {_PAIRS} SELECT floor((dt + 600000000) / 60000000.0)::INTEGER AS bin, count(*) AS n FROM pairs GROUP BY 1")
 def xcorr_hist(spark, sf):
-    return M.correlogram(_pairs(spark, sf), 600_000_000, 20)
+    s = spikes(spark, sf)
+    return M.spike_correlogram(s.filter("nid = 'click'"), s.filter("nid = 'view'"), 600_000_000, 20)
 
 
 @query(f"WITH {_PAIRS.replace(chr(39) + 'view' + chr(39), chr(39) + 'click' + chr(39))} SELECT floor((dt + 600000000) / 60000000.0)::INTEGER AS bin, count(*) AS n FROM pairs WHERE dt <> 0 GROUP BY 1")
 def autocorr_hist(spark, sf):
-    return M.correlogram(_pairs(spark, sf, "click", "click", True), 600_000_000, 20)
+    s = spikes(spark, sf).filter("nid = 'click'")
+    return M.spike_correlogram(s, s, 600_000_000, 20, auto=True)
 
 
 @query("SELECT user_id, floor(least((value - 0) / 25.0, 11))::INTEGER AS bin, count(*) AS n FROM events WHERE value >= 0 AND value <= 300 GROUP BY 1, 2")

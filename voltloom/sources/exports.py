@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filters
+from ..operators import checks, metrics, signal
+from ..operators import units as units_
 from ..operators.streams import Stream, runs
-from . import positional
+from . import events, positional
 from .recordings import _open
 
 
@@ -211,6 +213,44 @@ def write_all(index: DataFrame, folder: str) -> None:
     write_text_headers(index, folder)
 
 
+def check_units(spikes: DataFrame, units: DataFrame, waves: DataFrame, trigger: DataFrame, least_us: int = 50, most_shift: int = 1, most_padded: int = 5) -> None:
+    """Raise with all that an export must not hold (K2, M1-M4).
+
+    Intervals of a good unit below ``least_us``; templates ``waves(nid, chan,
+    ti, v)`` whose main channel, in ``trigger(nid, chan, at)``, has no extreme
+    near its trigger; templates with more than ``most_padded`` equal samples at
+    an end of the main channel; and ids of units with numbers left out.
+    """
+    good = units.filter("good").select("nid")
+    mine = lambda df: df.join(good, "nid", "left_semi")
+    found = []
+    short = metrics.isi_violations(mine(spikes).select("nid", "t", "sid"), least_us)
+    main = mine(waves).join(trigger.select("nid", "chan"), ["nid", "chan"])
+    edges = signal.constant_edges(main, ["nid"], ["ti"])
+    for what, bad in (
+        ("intervals too short", short),
+        ("templates off their trigger", checks.misaligned_templates(mine(waves), mine(trigger), most_shift)),
+        ("padded templates", edges.filter((F.col("lead_n") > most_padded) | (F.col("trail_n") > most_padded))),
+        ("ids left out after", units_.id_gaps(units.filter("nid > 0"))),
+    ):
+        if some := sorted({r.nid for r in bad.select("nid").limit(20).collect()}):
+            found.append(f"{what}: units {some}")
+    if found:
+        raise ValueError("; ".join(found))
+
+
+def export_units(spikes: DataFrame, units: DataFrame, recordings: list[tuple[str, int, int]], folder: str, rate: int = 25000, checked: tuple[DataFrame, DataFrame] | None = None) -> dict[str, int]:
+    """A .ptcs file per recording (name, t0, t1 on the track's clock), with times from the recording's start; units written of each (K1, K7).
+
+    ``checked`` are templates and triggers for ``check_units``, which must pass first.
+    """
+    if checked:
+        check_units(spikes, units, *checked)
+    store, p = _open(folder)
+    store.create_dir(p)
+    return {name: events.write_ptcs(spikes, units, f"{folder}/{name}.ptcs", t0, t1, name, rate) for name, t0, t1 in recordings}
+
+
 def tschid(spikes: DataFrame) -> DataFrame:
     """(t, chan, nid) in time order (K4)."""
     return spikes.select("t", "chan", "nid").orderBy("t", "chan")
