@@ -3,6 +3,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voltloom.operators import clustering, detection, relational, signal, spikes, units
 from voltloom.sources import events, probes, recordings
@@ -82,6 +83,13 @@ def test_sessions_and_updates(spark, tmp_path):
     events.save_session({"spikes": s, "assignments": a}, str(tmp_path / "p"))
     got = events.load_session(spark, str(tmp_path / "p"), ["spikes", "assignments"])["spikes"]
     assert {(r.sid, r.nid) for r in got.collect()} == {(1, 3), (2, 0)}
+    again = events.load_session(spark, str(tmp_path / "p"), ["spikes"])["spikes"]
+    events.save_session({"spikes": again.withColumn("t", again.t + 1)}, str(tmp_path / "p"))  # from what is being replaced
+    with pytest.raises(Exception, match="no session"):
+        events.save_session({"assignments": a.select(F.raise_error(F.lit("no session")).alias("sid"))}, str(tmp_path / "p"))
+    got = events.load_session(spark, str(tmp_path / "p"), ["spikes", "assignments"])
+    assert {(r.sid, r.t) for r in got["spikes"].collect()} == {(1, 6), (2, 7)} and got["assignments"].count() == 1
+    assert sum(x.name.startswith("spikes-") for x in (tmp_path / "p").iterdir()) == 1
     new = spark.createDataFrame([(2, 9, 1)], s.schema)
     assert {(r.sid, r.t) for r in events.update_rows(s, new, "sid").collect()} == {(1, 5), (2, 9)}
     old = spark.createDataFrame([(1, 2, 3, [1])], "phasetis int, dphase int, cid int, chans array<int>")

@@ -99,6 +99,29 @@ def test_damaged_files(spark, srf, tmp_path):
         surf.lowpass_records(surf.record_index(spark, [str(tmp_path / "c.srf")])).collect()
 
 
+def test_records_by_stretches_and_kept_index(spark, srf, tmp_path):
+    """Small batches, several files; only files that changed are parsed again."""
+    import os
+    import shutil
+
+    two, folder = str(tmp_path / "b.srf"), str(tmp_path / "kept")
+    shutil.copy(srf, two)
+    index = surf.stored_index(spark, [srf, two], folder)
+    plain = surf.record_index(spark, [srf, two])
+    assert sorted(map(repr, index.select(plain.columns).collect())) == sorted(map(repr, plain.collect()))
+    got = {(r.file, r.seq): r.data for r in surf.read_records(index, batch_bytes=1).collect()}
+    assert got == {(r.file, r.seq): r.data for r in surf.read_records(plain).collect()} and {f for f, _ in got} == {srf, two} and len(got) == 4
+    rows = spark.read.parquet(folder).count()
+    surf.stored_index(spark, [srf, two], folder)
+    assert spark.read.parquet(folder).count() == rows
+    with open(two, "ab") as f:
+        f.write(digital(99, 1))
+    os.utime(two, (1, 1))
+    again = surf.stored_index(spark, [two], folder)
+    assert again.filter("kind = 'VD'").count() == plain.filter("kind = 'VD'").count() // 2 + 1
+    assert surf.stored_index(spark, [srf], folder).count() == plain.count() // 2
+
+
 def test_label_repair(spark):
     rows = [("f", k, "L", 0, k, None, None, [k], f"ch{c}", "uMap54_2b") for k, c in enumerate([20, 17, 14, 11, 81, 51, 22, 22, 24, 25])]
     rows += [("f", 100 + k, "PC", 5, k, 3, 10 * k, None, None, None) for k in range(10)]

@@ -112,8 +112,14 @@ def rolling(df: DataFrame, by: list[str], order: list[str], width: int, v: str =
 
 
 def find_subarray(df: DataFrame, by: list[str], order: list[str], pattern: list, v: str = "v") -> DataFrame:
-    """Rows where a run equal to ``pattern`` starts."""
-    return rolling(df, by, order, len(pattern), v).filter(F.col("win") == F.array(*[F.lit(x) for x in pattern])).drop("win")
+    """Rows where a run equal to ``pattern`` starts (P31): the following values are compared in place, none are collected."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    names = [f"_at{k}" for k in range(len(pattern))]
+    ahead = df.withColumns({n: F.lead(v, k).over(w) if k else F.col(v) for k, n in enumerate(names)})
+    same = F.lit(True)
+    for n, x in zip(names, pattern, strict=True):
+        same &= F.coalesce(F.col(n) == F.lit(x), F.lit(False))
+    return ahead.filter(same).drop(*names)
 
 
 def constant_edges(df: DataFrame, by: list[str], order: list[str], v: str = "v") -> DataFrame:

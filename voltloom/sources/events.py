@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,14 +128,42 @@ def csv_rows(spikes: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def save_session(tables: dict[str, DataFrame], folder: str) -> None:
-    """A project folder of Parquet tables."""
+    """A project folder of Parquet tables (K16), which may be read from it too.
+
+    Tables are written under new names; the list of the session's tables is
+    replaced last, so a session that fails to be saved is the one before.  What
+    the list no longer names is removed then; tables that are not given stay.
+    """
+    store, p = _open(folder)
+    store.create_dir(p)
+    listed = _session(folder)
+    new = dict(listed)
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        new[name] = f"{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{folder}/{new[name]}")
+    part = f"{p}/.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as f:
+        f.write(json.dumps(new, indent=1).encode())
+    store.move(part, f"{p}/session.json")
+    for name, at in listed.items():
+        if new[name] != at:
+            store.delete_dir(f"{p}/{at}")
+
+
+def _session(folder: str) -> dict[str, str]:
+    """Where each table of a session lies; nothing for a folder that lists none."""
+    store, p = _open(folder)
+    at = f"{p}/session.json"
+    if not store.get_file_info(at).is_file:
+        return {}
+    with store.open_input_file(at) as f:
+        return json.loads(f.read())
 
 
 def load_session(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     """Unit ids come from the assignments, which win over those in the spike table."""
-    out = {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+    listed = _session(folder)
+    out = {n: spark.read.parquet(f"{folder}/{listed.get(n, n)}") for n in names}
     if {"spikes", "assignments"} <= set(out):
         s = out["spikes"].drop("nid").join(out["assignments"].select("sid", "nid"), "sid", "left")
         out["spikes"] = s.withColumn("nid", F.coalesce("nid", F.lit(0)))

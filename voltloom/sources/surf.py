@@ -12,7 +12,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -176,30 +178,82 @@ def digital(index: DataFrame) -> DataFrame:
     return index.filter("kind = 'VD'").select("file", "t", "value")
 
 
-def read_records(index: DataFrame, kind: str = "PS", broadcast_rows: int = 100_000) -> DataFrame:
-    """(file, seq, t, probe, data): samples of continuous records less the zero level, a list per channel."""
+def read_records(index: DataFrame, kind: str = "PS", broadcast_rows: int = 100_000, batch_bytes: int = 1 << 22) -> DataFrame:
+    """(file, seq, t, probe, data): samples of continuous records less the zero level, a list per channel.
+
+    Records are dealt by file and offset, so a task reads a stretch of a file
+    through one open handle and passes on many records at once.
+    """
     shapes = layouts(index).select("file", "probe", "nchans")
     shapes = F.broadcast(shapes) if shapes.count() <= broadcast_rows else shapes
     rows = index.filter(F.col("kind") == kind).join(shapes.withColumnRenamed("nchans", "_n"), ["file", "probe"])
     rows = rows.select("file", "seq", "t", "probe", "nsamples", "offset", F.col("_n").alias("nchans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for b in batches:
-            for r in b.to_pylist():
-                if r["nsamples"] % r["nchans"]:
-                    raise ValueError(f"{r['file']}: record {r['seq']} has no whole samples of {r['nchans']} channels")
-                store, p = _open(r["file"])
-                with store.open_input_file(p) as f:
+        held, size, path, f = [], 0, None, None
+
+        def out():
+            heads = [pa.array([h[k] for h, _ in held], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int32()))]
+            flat = np.concatenate([x.ravel() for _, x in held]).astype(np.int32)
+            chans = np.concatenate([[0], np.cumsum([x.shape[0] for _, x in held])]).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(np.concatenate([np.full(x.shape[0], x.shape[1]) for _, x in held]))]).astype(np.int32)
+            data = pa.ListArray.from_arrays(pa.array(chans), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            held.clear()
+            return pa.record_batch([*heads, data], names=["file", "seq", "t", "probe", "data"])
+
+        try:
+            for b in batches:
+                for r in b.to_pylist():
+                    if r["nsamples"] % r["nchans"]:
+                        raise ValueError(f"{r['file']}: record {r['seq']} has no whole samples of {r['nchans']} channels")
+                    if r["file"] != path:
+                        if f is not None:
+                            f.close()
+                        path = r["file"]
+                        store, p = _open(path)
+                        f = store.open_input_file(p)
                     x = np.frombuffer(f.read_at(2 * r["nsamples"], r["offset"]), "<i2") - np.int16(ZERO_LEVEL)
-                data = x.reshape(r["nchans"], -1).tolist()
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.list_(pa.int32())))
-                yield pa.record_batch([pa.array([v], k) for v, k in zip((r["file"], r["seq"], r["t"], r["probe"], data), kinds, strict=True)], names=["file", "seq", "t", "probe", "data"])
-
+                    held.append(((r["file"], r["seq"], r["t"], r["probe"]), x.reshape(r["nchans"], -1)))
+                    size += x.nbytes
+                    if size >= batch_bytes:
+                        yield out()
+                        size = 0
+            if held:
+                yield out()
+        finally:
+            if f is not None:
+                f.close()
+
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return rows.mapInArrow(run, "file string, seq long, t long, probe int, data array<array<int>>")
 
 
+def stored_index(spark: SparkSession, paths: list[str], folder: str) -> DataFrame:
+    """The record index of files, parsed once (S16): kept under each file's path, size and time of change.
+
+    Only files that are new or have changed since are parsed; what was kept of
+    a changed file no longer counts.  One writer at a time.
+    """
+    rows = []
+    for p in paths:
+        store, at = _open(p)
+        info = store.get_file_info(at)
+        rows.append((p, info.size, info.mtime_ns or 0))
+    now = spark.createDataFrame(rows, "file string, _size long, _changed long")
+    try:
+        have = spark.read.parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        have = None
+    keys = ["file", "_size", "_changed"]
+    todo = now if have is None else now.join(have.select(*keys).distinct(), keys, "left_anti")
+    if new := [r.file for r in todo.collect()]:  # a row per file asked for
+        record_index(spark, new).join(F.broadcast(now), "file").write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).join(F.broadcast(now), keys, "left_semi").drop("_size", "_changed")
+
+
 def label_number(text) -> F.Column:
     """The channel in a probe description: the number after the first ``ch``."""
     return F.regexp_extract(text, r"ch([0-9]+)", 1).try_cast("int")
