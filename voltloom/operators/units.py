@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,54 @@ def best_match(errors: DataFrame, spike: str = "sid", unit: str = "nid", limit:
     return out.groupBy(spike).agg(F.min(F.struct("rms", unit)).alias("_b")).select(spike, f"_b.{unit}", "_b.rms")
 
 
+def match_units(waves: DataFrame, temps: DataFrame, unit: str = "nid", spike: str = "sid", on: tuple[str, ...] = ("chan", "ti"), v: str = "v", limit: float | None = None, most_cells: int = 5_000_000) -> DataFrame:
+    """(spike, unit, rms): ``best_match`` of ``rms_to_templates`` without a row for every spike, unit and sample (M7).
+
+    Each spike's samples meet once, as one row.  Templates are sent to all
+    tasks after their cells have been counted; there, sums of squares over the
+    common samples of a batch of spikes and all units are three matrix
+    products, and the least of a spike is all that leaves.  Where templates
+    have more cells than ``most_cells``, waves and templates are joined instead.
+    """
+    import numpy as np
+    import pandas as pd
+
+    held = temps.select(unit, *on, F.col("mean").cast("double").alias("mean")).dropna()
+    if held.count() > most_cells:
+        return best_match(rms_to_templates(waves, temps, unit, spike, on, v), spike, unit, limit)
+    table = held.toPandas()
+    names = np.array(sorted(set(table[unit].tolist())), object)
+    places = {k: i for i, k in enumerate(dict.fromkeys(zip(*[table[c].tolist() for c in on], strict=True)))}
+    row, col = np.searchsorted(names, np.array(table[unit].tolist(), object)) if len(names) else np.zeros(0, int), np.array([places[k] for k in zip(*[table[c].tolist() for c in on], strict=True)], int)
+    mean, there = np.zeros((2, len(names), max(1, len(places))))
+    mean[row, col], there[row, col] = table["mean"], 1.0
+    parts = [there.T, (mean * there).T, (mean**2 * there).T]
+    grouped = waves.filter(F.col(v).isNotNull()).groupBy(spike).agg(F.collect_list(F.struct(*on, F.col(v).cast("double").alias("_v"))).alias("_w"))
+    kinds = dict(waves.dtypes) | dict(temps.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), 256):
+                some = pdf.iloc[a : a + 256]
+                x, mask = np.zeros((2, len(some), max(1, len(places))))
+                for i, w in enumerate(some["_w"]):
+                    for s in w:
+                        k = places.get(tuple(s[c] for c in on))
+                        if k is not None:
+                            x[i, k], mask[i, k] = s["_v"], 1.0
+                n = mask @ parts[0]
+                square = np.maximum((x**2) @ parts[0] - 2 * (x @ parts[1]) + mask @ parts[2], 0)
+                rms = np.where(n > 0, np.sqrt(square / np.maximum(n, 1)), np.inf)
+                best = rms.argmin(1) if len(names) else np.zeros(0, int)
+                keep = np.isfinite(rms[np.arange(len(best)), best]) if len(best) else np.zeros(0, bool)
+                chosen = names[best][keep].tolist() if len(best) else []
+                values = rms[np.arange(len(best)), best][keep] if len(best) else []
+                yield pd.DataFrame({spike: pd.Series(np.array(some[spike].tolist(), object)[: len(best)][keep], dtype=object), unit: pd.Series(chosen, dtype=object), "rms": values})
+
+    out = grouped.mapInPandas(run, f"{spike} {kinds[spike]}, {unit} {kinds[unit]}, rms double")
+    return out if limit is None else out.filter(F.col("rms") <= limit)
+
+
 def similar_units(temps: DataFrame, unit: str = "nid", on: tuple[str, ...] = ("chan", "ti")) -> DataFrame:
     """Units ranked by rms difference of templates to each unit."""
     a = temps.select(F.col(unit).alias("a"), *on, F.col("mean").alias("_x"))

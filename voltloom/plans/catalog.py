@@ -493,7 +493,7 @@ def rms_to_template(spark, sf):
 @query(f"WITH {_TMP}, e AS (SELECT sid, t.nid, sqrt(avg(power(v - mean, 2))) AS rms FROM lng l JOIN tmp t ON l.chan = t.chan AND l.ti = t.ti GROUP BY sid, t.nid), r AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY rms, nid) AS k FROM e) SELECT sid, nid, {q6('rms')} AS rms FROM r WHERE k = 1")
 def match_best_unit(spark, sf):
     w = long_waves(spark, sf)
-    return U.best_match(U.rms_to_templates(w.drop("nid"), U.templates(w))).select("sid", "nid", r6(F.col("rms")).alias("rms"))
+    return U.match_units(w.drop("nid"), U.templates(w)).select("sid", "nid", r6(F.col("rms")).alias("rms"))
 
 
 @query(f"WITH {_TMP}, d AS (SELECT a.nid AS a, b.nid AS b, sqrt(avg(power(a.mean - b.mean, 2))) AS rms FROM tmp a JOIN tmp b ON a.chan = b.chan AND a.ti = b.ti AND a.nid <> b.nid GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY rms, b) AS rank FROM d) SELECT a, b, {q6('rms')} AS rms, rank FROM r")
