@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, decompose, extract, streams
+from ..operators import checks, decompose, detection, extract, metrics, neighbours, relational, streams
+from ..operators import signal as sig
 from ..sources import exports, reload, surf
 from ..streaming import windows
 from ..session import materialized_stream, table
-from .catalog import LNG, PTS, SIG, SPK, long_waves, points, q6, query, r6, signal, spikes, us
+from .catalog import LNG, PTS, SIG, SPK, SQL, long_waves, points, q6, query, r6, signal, spikes, us
 
 # ---------------------------------------------------------------- checks of units
 
@@ -274,3 +275,56 @@ def sparse_components(spark, sf):
     """Scores on five sparse components."""
     out = decompose.sparse_pca(table(spark, sf, "embeddings"), "embedding", 5)
     return out.select("vec_id", *[F.round(f"sc{k}", 4).alias(f"sc{k}") for k in range(5)])
+
+
+# ---------------------------------------------------------------- long sequences by blocks
+
+
+@query(SQL["isi"])
+def isi_by_blocks(spark, sf):
+    """W3 with a channel cut into days, so a long one is many tasks."""
+    return metrics.isi(spikes(spark, sf), "chan", block=86_400_000_000).select("sid", "isi")
+
+
+@query(SQL["sharpness"])
+def sharpness_by_blocks(spark, sf):
+    """W1 with channels cut into blocks of 64 samples."""
+    x = detection.sharpness(signal(spark, sf), ["chan"], block=64)
+    return x.select("chan", "ti", r6("v").alias("v"), r6("sharp").alias("sharp"))
+
+
+@query(SQL["saturation_null_ranges"])
+def saturated_by_blocks(spark, sf):
+    """T12 with channels cut into blocks of 64 samples."""
+    return sig.saturated_ranges(sig.saturation(signal(spark, sf), low=-19, high=80), ["chan"], 2, block=64)
+
+
+@query(SQL["reload_sessions"])
+def sessions_by_blocks(spark, sf):
+    """W5 with units cut into days; a unit may hold a third of all spikes."""
+    return relational.sessions(spikes(spark, sf), ["nid"], "t", 900_000_000, 3_600_000_000, ["t", "sid"], block=86_400_000_000).select("sid", "session", "piece")
+
+
+@query(SQL["din_asof"])
+def asof_by_blocks(spark, sf):
+    """J13 with keys cut into days."""
+    e = table(spark, sf, "events").select("event_id", "user_id", us().alias("t"))
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("user_id"), us("o_orderdate").alias("rt")).agg(F.max("o_orderkey").alias("last_order"))
+    return relational.asof(e, o, "t", "rt", ["last_order"], ["user_id"], block=86_400_000_000).filter("last_order IS NOT NULL").select("event_id", "last_order")
+
+
+@query(f"WITH {SIG} SELECT chan, ti, row_number() OVER (PARTITION BY chan ORDER BY ti) - 1 AS dense FROM sig WHERE v > -15")
+def squeezed_by_blocks(spark, sf):
+    """Dense sample numbers over what is left of each channel (U3), counted by blocks."""
+    x = signal(spark, sf).filter("v > -15")
+    return sig.squeeze_gaps(x, ["chan"], block=64).select("chan", "ti", "dense")
+
+
+@query("""WITH p AS (SELECT vec_id AS id, label, embedding AS e FROM embeddings WHERE label IN (2, 3)), d AS (
+SELECT a.id, b.label = 3 AS other, list_sum(list_transform(list_zip(a.e, b.e), lambda x: power(x[1]::DOUBLE - x[2]::DOUBLE, 2))) AS d FROM p a JOIN p b ON a.id <> b.id WHERE a.label = 2)
+SELECT id, round(min(d) FILTER (NOT other), 5) AS own, round(min(d) FILTER (other), 5) AS foreign_ FROM d GROUP BY id""")
+def nearest_distances(spark, sf):
+    """Squared distances to the nearest point of the own and of another unit, over k-d cells."""
+    e = table(spark, sf, "embeddings").filter("label IN (2, 3)")
+    p = e.select(F.col("vec_id").alias("id"), (F.col("label") == 3).alias("other"), F.col("embedding").cast("array<double>").alias("v"))
+    return neighbours.nearest(p, 32).select("id", F.round("own", 5).alias("own"), F.round("foreign", 5).alias("foreign_"))
