@@ -119,7 +119,7 @@ def clamped_ranges(spark, sf):
 def streamed_rates(spark, sf):
     """Windowed rates from a stream read to its end (2.15)."""
     e = table(spark, sf, "events").select("ts", "event_type")
-    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = spark.readStream.schema(e.schema).parquet(f"{sf}/events.parquet*")  # a file or a folder of files
     counts = windows.rates(stream.withColumn("ts", F.col("ts").cast("timestamp")), size="1 hour", slide="1 hour")
     out = materialized_stream(counts.select(F.col("window.start").alias("hour"), "event_type", "n"), "complete")
     return out.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")
