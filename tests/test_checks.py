@@ -108,3 +108,30 @@ def test_settings_migration():
     assert kept["tw"] == (-100, 100) and kept["car"] == "Median" and kept["probe"] == "new_name"
     with pytest.raises(ValueError):
         events.migrate_settings({}, "9.9")
+
+
+@pytest.mark.parametrize("name", ["stream_mean_reference"])
+def test_streams_take_every_channel(spark, tmp_path, name):
+    """Against the SQL: channel numbers of any size, as larger tables have them."""
+    import duckdb
+
+    from voltloom.plans import built
+
+    rows = [(k, k % 7 * 1500, float(k * k % 11)) for k in range(70)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, value double").withColumn("ts", F.timestamp_seconds(F.col("event_id")).cast("timestamp_ntz"))
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = getattr(built, name)(spark, str(tmp_path)).collect()
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert len(got) == (70 if name == "stream_mean_reference" else 49)
+    assert sorted((r.chan, r.ti, r.v) for r in got) == sorted(duck.execute(built.SQL[name]).fetchall())
+
+
+def test_stream_of_all_channels(spark):
+    """Without channels named, what a stream of all of them gives; some may be chosen later."""
+    v = np.random.default_rng(1).integers(-50, 50, (3, 400))
+    samples = spark.createDataFrame([(c * 9000, t, float(v[c, t])) for c in range(3) for t in range(400)], "chan int, ti long, v double")
+    whole, named = streams.Stream.highpass(25000.0), streams.Stream.highpass(25000.0, [0, 9000, 18000])
+    got, want = ({(r.chan, r.ti): r.v for r in s.read(samples, 0.0, 16_000.0, [9000]).collect()} for s in (whole, named))
+    assert got == want and len(got) > 700
+    assert whole.enable([9000, 0]).chans == (0, 9000)

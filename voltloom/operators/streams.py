@@ -29,7 +29,7 @@ FILTERS = {"highpass": (None, "butter", "butter-zero-phase", "wavelet"), "lowpas
 
 @dataclass(frozen=True)
 class Stream:
-    """Settings of a stream over samples (chan, ti, v) of ``rate``."""
+    """Settings of a stream over samples (chan, ti, v) of ``rate`` (N1); ``chans`` None stands for every channel that the samples have."""
 
     kind: str  # highpass, lowpass
     raw_rate: float
@@ -38,17 +38,17 @@ class Stream:
     car: str | None
     cutoff_hz: float
     shcorrect: bool
-    chans: tuple[int, ...]
+    chans: tuple[int, ...] | None
 
     @classmethod
-    def highpass(cls, raw_rate: float, chans, **how) -> Stream:
+    def highpass(cls, raw_rate: float, chans=None, **how) -> Stream:
         """Twice the raw rate, Butterworth highpass, common median reference."""
-        return cls("highpass", raw_rate, HIGHPASS_RATE_FACTOR * raw_rate, "butter", "median", HIGHPASS_CUTOFF, False, tuple(sorted(chans))).with_settings(**how)
+        return cls("highpass", raw_rate, HIGHPASS_RATE_FACTOR * raw_rate, "butter", "median", HIGHPASS_CUTOFF, False, _ordered(chans)).with_settings(**how)
 
     @classmethod
-    def lowpass(cls, raw_rate: float, chans, **how) -> Stream:
+    def lowpass(cls, raw_rate: float, chans=None, **how) -> Stream:
         """1 kHz, which must divide the raw rate; no reference."""
-        out = cls("lowpass", raw_rate, LOWPASS_RATE, "butter", None, LOWPASS_CUTOFF, False, tuple(sorted(chans))).with_settings(**how)
+        out = cls("lowpass", raw_rate, LOWPASS_RATE, "butter", None, LOWPASS_CUTOFF, False, _ordered(chans)).with_settings(**how)
         if out.raw_rate % out.rate:
             raise ValueError(f"{out.rate} Hz does not divide {out.raw_rate} Hz")
         return out
@@ -69,9 +69,12 @@ class Stream:
 
     def enable(self, chans) -> Stream:
         """Only these channels are read and referenced from now on."""
-        if missing := sorted(set(chans) - set(self.chans)):
+        self._known(chans)
+        return replace(self, chans=_ordered(chans))
+
+    def _known(self, chans) -> None:
+        if self.chans is not None and (missing := sorted(set(chans) - set(self.chans))):
             raise ValueError(f"no channels {missing}")
-        return replace(self, chans=tuple(sorted(chans)))
 
     @property
     def tres_us(self) -> float:
@@ -86,7 +89,7 @@ class Stream:
 
     def referenced(self, samples: DataFrame) -> DataFrame:
         """Enabled channels less their mean or median at each moment of a recording (T4)."""
-        rows = samples.filter(F.col("chan").isin(list(self.chans)))
+        rows = samples.filter(_among(self.chans))
         if self.car is None:
             return rows
         by = [c for c in ("rec", "ti") if c in samples.columns]
@@ -135,15 +138,14 @@ class Stream:
         in built-in expressions.
         """
         self._check()
-        if missing := sorted(set(chans or ()) - set(self.chans)):
-            raise ValueError(f"no channels {missing}")
+        self._known(chans or ())
         a, b = self.on_grid(start_us), self.on_grid(stop_us)
-        chosen = F.col("chan").isin(sorted(chans if chans is not None else self.chans))
+        chosen = _among(chans if chans is not None else self.chans)
         if self.filter is None and self.rate == self.raw_rate and not self.shcorrect:
             return self.referenced(samples.filter((F.col("ti") >= a) & (F.col("ti") < b))).filter(chosen)
         up, down = self.factors
         first, last = a * down // up - halo, -(-b * down // up) + halo
-        rows = samples.filter((F.col("ti") >= first) & (F.col("ti") < last) & F.col("chan").isin(list(self.chans)))
+        rows = samples.filter((F.col("ti") >= first) & (F.col("ti") < last) & _among(self.chans))
         named = "rec" in samples.columns
         rows = rows.select(F.col("rec").cast("string").alias("rec") if named else F.lit("").alias("rec"), "chan", "ti", "v")
         tres = 1e6 / self.raw_rate
@@ -167,6 +169,15 @@ class Stream:
         return out if named else out.drop("rec")
 
 
+def _ordered(chans) -> tuple[int, ...] | None:
+    return None if chans is None else tuple(sorted(chans))
+
+
+def _among(chans) -> Column:
+    """Whether a sample is of one of these channels."""
+    return F.lit(True) if chans is None else F.col("chan").isin(sorted(chans))
+
+
 def runs(present: np.ndarray) -> list[tuple[int, int]]:
     """Half-open runs of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], present.astype(np.int8), [0]])))

@@ -87,7 +87,7 @@ def rotated_points(spark, sf):
 
 
 def _stream(car):
-    return streams.Stream.highpass(1e6, range(1 << 12), filter=None, rate=1e6, car=car)
+    return streams.Stream.highpass(1e6, filter=None, rate=1e6, car=car)
 
 
 @query(f"WITH {SIG} SELECT chan, ti, {q6('v - avg(v) OVER (PARTITION BY ti)')} AS v FROM sig")
