@@ -110,7 +110,7 @@ def test_settings_migration():
         events.migrate_settings({}, "9.9")
 
 
-@pytest.mark.parametrize("name", ["stream_mean_reference"])
+@pytest.mark.parametrize("name", ["stream_mean_reference", "stream_time_range"])
 def test_streams_take_every_channel(spark, tmp_path, name):
     """Against the SQL: channel numbers of any size, as larger tables have them."""
     import duckdb
