@@ -1,8 +1,8 @@
 """Corpus cleaning in five stages, each one of the training-data operators.
 
-The near-copy stage is the operator for fingerprints in its form for Jaccard
-similarity (``simhash.duplicates``): min-hashes instead of majority bits, as
-the README says.
+The near-copy stage takes the operator's 64-bit fingerprints within three bits
+and verifies their classes exactly by Jaccard similarity; min-hashes add the
+similar texts that such fingerprints cannot link (``simhash.duplicates``).
 
 Every stage reads what the one before wrote.  All but the last return the
 columns of ``documents``; ``n_chars`` follows the text where a stage changes it.

@@ -353,6 +353,20 @@ def test_near_duplicates_beside_nearer_texts(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame(spark, texts)).collect()) == list(range(300))
 
 
+def test_near_duplicates_by_fingerprints(spark, monkeypatch):
+    """Texts within three bits are found by their fingerprints alone."""
+    monkeypatch.setattr(simhash, "_file_texts", lambda batches: iter(()))  # no bucket of min-hashes
+    rng = np.random.default_rng(10)
+    base = [[f"w{x}" for x in rng.integers(0, 10**6, 3000)] for _ in range(20)]
+    copies = [[*b[:-1], "changed"] for b in base]
+    fp = lambda w: simhash.fingerprint(simhash.shingle_hashes([x.encode() for x in w], 3))
+    near = [(fp(a) ^ fp(b)).bit_count() <= 3 for a, b in zip(base, copies, strict=True)]
+    assert sum(near) >= 10
+    texts = [" ".join(t) for t in base + copies]
+    got = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, texts)).collect()}
+    assert got == {*range(20), *(20 + k for k, n in enumerate(near) if not n)}
+
+
 # ---------------------------------------------------------------- 7
 
 

@@ -282,6 +282,11 @@ def near_links(fps: DataFrame, max_bits: int = 3, bucket_cap: int = 4096, plan_s
     return links
 
 
+def classes(fps: DataFrame, max_bits: int = 3, bucket_cap: int = 4096) -> DataFrame:
+    """(node, root) of the distinct fingerprints ``fps(fp)`` that another one lies within ``max_bits`` of."""
+    return components(near_links(fps, max_bits, bucket_cap))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, bucket_cap: int = 4096, most_heavy: int = 10_000
 ) -> DataFrame:
@@ -294,7 +299,7 @@ def near_duplicates(
     rows = docs.withColumn(key, simhash_column(F.col(text_col), shingle)).drop(text_col, "component_id", "fingerprint")
     rows = common.materialize(rows, "fingerprints")
     nodes = common.materialize(rows.groupBy(F.col(key).alias("fp")).agg(F.min(id_col).alias("_id"), F.count(F.lit(1)).alias("_n")), "distinct-fingerprints")
-    roots = components(near_links(nodes.select("fp"), max_bits, bucket_cap))
+    roots = classes(nodes.select("fp"), max_bits, bucket_cap)
     joined = roots.join(nodes, roots.node == nodes.fp)
     least = joined.groupBy("root").agg(F.min("_id").alias("_least"))
     linked = joined.select("fp", "root").join(least, "root").select("fp", "_least")
@@ -350,27 +355,28 @@ def _differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((d | (d >> np.uint64(1))) & _LOW_BITS).sum(axis=-1, dtype=np.int16)
 
 
-SKETCH = "hash long, size int, bands binary, " + ", ".join(f"s{k} long" for k in range(_WORDS))
+SKETCH = "hash long, fp long, size int, bands binary, " + ", ".join(f"s{k} long" for k in range(_WORDS))
 _SKETCH_COLUMNS = [f"s{k}" for k in range(_WORDS)]
 
 
-def _sketch(shingle: int):
-    """Text hash, number of distinct shingles, a bucket number per filing, and the sketch."""
+def _sketch(shingle: int, fp_shingle: int = 3):
+    """Text hash, fingerprint, number of distinct shingles, a bucket number per filing, and the sketch."""
 
     def sketch(s: pd.Series) -> pd.DataFrame:
         n = len(s)
-        name, size, least = np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros((n, HASHES), np.uint32)
+        name, fp, size, least = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros((n, HASHES), np.uint32)
         for k, t in enumerate(s):
             words = words_of(t)
             h = np.unique(shingle_hashes(words, shingle))
             name[k], size[k], least[k] = xxhash.xxh3_64_intdigest(b" ".join(words)), len(h), min_hashes(h)
+            fp[k] = fingerprint(shingle_hashes(words, fp_shingle))
         bands = np.zeros((n, _BANDS), np.uint64)
         for k in range(_BANDS * BAND):
             bands[:, k // BAND] = (bands[:, k // BAND] ^ least[:, k]) * _MULT
         bands = (bands ^ (bands >> np.uint64(29))) * _MULT + np.arange(_BANDS, dtype=np.uint64)
         kept = (least & np.uint32(3)).astype(np.uint64).reshape(n, _WORDS, 32) << np.arange(0, 64, 2, dtype=np.uint64)
         kept = np.bitwise_or.reduce(kept, axis=2).view(np.int64)
-        out = {"hash": name.view(np.int64), "size": size, "bands": [x.tobytes() for x in bands]}
+        out = {"hash": name.view(np.int64), "fp": fp.view(np.int64), "size": size, "bands": [x.tobytes() for x in bands]}
         return pd.DataFrame(out | {c: kept[:, k] for k, c in enumerate(_SKETCH_COLUMNS)})
 
     return F.pandas_udf(sketch, SKETCH)
@@ -518,18 +524,29 @@ def _all_blocks():
     return F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
 
 
-def _linked(met: DataFrame, nodes: DataFrame, sets_of, similarity: float, cap: int, most_shingles: int, broadcast_rows: int) -> DataFrame | None:
+def _fingerprint_stars(nodes: DataFrame, max_bits: int, bucket_cap: int) -> DataFrame:
+    """(u, v): stars over texts ``nodes(node, fp)`` whose fingerprints are of one class, by the operator's own steps."""
+    fps = common.materialize(nodes.select("fp").distinct(), "distinct-fingerprints")
+    roots = common.materialize(classes(fps, max_bits, bucket_cap), "fingerprint-classes")
+    named = nodes.select("node", "fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "u")
+    stars = common.materialize(named.join(least, "root").filter("node <> u").select("u", F.col("node").alias("v")), "fingerprint-stars")
+    common.forget(fps, roots)
+    return stars
+
+
+def _linked(met: DataFrame, stars: DataFrame, nodes: DataFrame, sets_of, similarity: float, cap: int, most_shingles: int, broadcast_rows: int) -> DataFrame | None:
     """(node, root) of the components of pairs of ``similarity`` or more among the texts that met; None without any.
 
-    Texts whose sketches may be alike in some bucket are of one cloud; no pair
-    leaves a bucket as a row.  The shingle sets of a cloud then meet once, in
+    Texts of one fingerprint class (``stars``), and texts whose sketches may be
+    alike in some bucket, are of one cloud; no pair leaves a bucket as a row.  The shingle sets of a cloud then meet once, in
     blocks of bounded members and shingles, where all that may be alike is
     verified.  The first text of a cloud of several blocks is put into every
     block, so a group of copies joins at once; clouds that are not one
     component by then have every two of their blocks meet in a cell.
     """
     cells = _cells(met, "b", _all_blocks(), [[]])
-    clouds = components(cells.mapInArrow(_may_be_alike(similarity), "u long, v long"))
+    clouds = components(stars.unionByName(cells.mapInArrow(_may_be_alike(similarity), "u long, v long")))
     rows = nodes.join(clouds.withColumnRenamed("root", "cloud"), "node")
     rows = common.materialize(rows.select("node", "size", "cloud", F.col("_first._k").alias("_k"), F.col("_first._t").alias("_t"), *_SKETCH_COLUMNS), "clouds")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / cap), F.ceil(F.sum("size") / most_shingles))
@@ -562,14 +579,16 @@ def _linked(met: DataFrame, nodes: DataFrame, sets_of, similarity: float, cap: i
 
 def duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-    bucket_cap: int = 4096, broadcast_rows: int = 200_000, most_shingles: int = 2_000_000,
+    bucket_cap: int = 4096, broadcast_rows: int = 200_000, most_shingles: int = 2_000_000, max_bits: int = 3,
 ) -> tuple[DataFrame, bool]:
     """Rows that repeat an earlier text: (_k, _t) of all rows but one of each group, and whether a row is repeated.
 
     Groups are the components of pairs of ``similarity`` or more (Jaccard, sets
-    of ``shingle``-word shingles).  Equal texts collapse first.  A 64-bit
-    fingerprint by majority cannot tell such pairs (at 0.8 they differ in about
-    10 bits), so a text's fingerprint here is 2 bits of each of 128 min-hashes;
+    of ``shingle``-word shingles).  Equal texts collapse first.  The texts left
+    get the operator's 64-bit fingerprints, which are filed and compared as
+    above; texts of one class at ``max_bits`` are verified exactly.  Such a
+    fingerprint cannot tell all pairs (at 0.8 they differ in about 10 bits), so
+    for the rest each text has another of 2 bits of each of 128 min-hashes;
     texts are filed under 25 bands of five min-hashes, of which two texts at
     0.8 share none with a chance below 1 in 10,000, and meet in a bucket.
     There they are compared by fingerprint, and what may be alike is verified
@@ -583,7 +602,7 @@ def duplicates(
     rows = docs.select(*key, F.col(id_col).cast("long").alias("_d"), _sketch(shingle)(F.col(text_col)).alias("_s")).select("_k", "_t", "_d", "_s.*")
     rows = common.materialize(rows, "sketches")
     least = F.min(F.struct(F.col("_d").isNull().alias("_n"), "_d", "_t", "_k"))
-    nodes = rows.groupBy("hash").agg(*[F.first(f).alias(f) for f in ("size", "bands", *_SKETCH_COLUMNS)], least.alias("_first"))
+    nodes = rows.groupBy("hash").agg(*[F.first(f).alias(f) for f in ("fp", "size", "bands", *_SKETCH_COLUMNS)], least.alias("_first"))
     nodes = nodes.withColumn("node", F.monotonically_increasing_id())  # narrow numbers, fixed once written
     nodes = common.materialize(nodes, "distinct-texts")
     filed = nodes.select("node", "size", "bands", *_SKETCH_COLUMNS).mapInArrow(_file_texts, FILED_TEXTS)
@@ -597,8 +616,9 @@ def duplicates(
         texts = docs.select(*key, F.col(text_col).alias("_text")).join(named, ["_k", "_t"]).drop("_k", "_t")
         return common.materialize(texts.withColumn("set", _shingle_set(shingle)(F.col("_text"))).drop("_text").dropDuplicates(["node"]), "near-sets")
 
-    roots = _linked(met, nodes, sets_of, similarity, bucket_cap, most_shingles, broadcast_rows)
-    common.forget(met)
+    stars = _fingerprint_stars(nodes, max_bits, bucket_cap)
+    roots = _linked(met, stars, nodes, sets_of, similarity, bucket_cap, most_shingles, broadcast_rows)
+    common.forget(met, stars)
     if roots is None:
         roots = nodes.select("node", F.col("node").alias("root"))
     joined = nodes.join(roots, "node", "left").select("hash", F.coalesce("root", "node").alias("root"), "_first")
