@@ -69,3 +69,14 @@ def test_correlogram_without_pairs(spark, auto, bins):
     got = {r.bin: r.n for r in metrics.spike_correlogram(a, b, 300, bins, auto=auto).collect()}
     pairs = metrics.xcorr_pairs(a.withColumnRenamed("sid", "sid"), b, 300, auto=auto)
     assert got == {r.bin: r.n for r in metrics.correlogram(pairs, 300, bins).collect()}
+
+
+def test_pairs_come_in_order(spark):
+    """Inside a task: buckets, then left rows, then right rows, so that files of pairs stay small."""
+    rng = np.random.default_rng(3)
+    s = spark.createDataFrame([(int(t), k) for k, t in enumerate(rng.integers(-5000, 5000, 300))], "t long, sid long").repartition(4)
+    rows = metrics.xcorr_pairs(s.filter("sid % 2 = 0"), s.filter("sid % 2 = 1"), 300).withColumn("part", F.spark_partition_id()).collect()
+    keys = [(r.part, r.tb // 600, r.ta, r.ka, r.tb, r.kb) for r in rows]
+    t = {r.sid: r.t for r in s.collect()}
+    assert keys == sorted(keys) and {(r.ka, r.kb) for r in rows} == {(i, j) for i in range(0, 300, 2) for j in range(1, 300, 2) if -300 <= t[j] - t[i] < 300}
+    assert len(rows) == len({(r.ka, r.kb) for r in rows})
