@@ -135,3 +135,20 @@ def test_stream_of_all_channels(spark):
     got, want = ({(r.chan, r.ti): r.v for r in s.read(samples, 0.0, 16_000.0, [9000]).collect()} for s in (whole, named))
     assert got == want and len(got) > 700
     assert whole.enable([9000, 0]).chans == (0, 9000)
+
+
+def test_rounding_agrees_with_the_sql(spark, tmp_path):
+    """Medians of two samples of six decimals end in a half of the last one: it rounds as in the SQL."""
+    import duckdb
+
+    from voltloom.plans import built
+
+    v = np.random.default_rng(3).uniform(0, 100, 4000).round(6)
+    rows = [(k, k % 400, float(x)) for k, x in enumerate(v)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, value double").withColumn("ts", F.timestamp_seconds(F.col("event_id")).cast("timestamp_ntz"))
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = built.stream_time_range(spark, str(tmp_path)).collect()
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert len(got) == 2800
+    assert sorted((r.chan, r.ti, r.v) for r in got) == sorted(duck.execute(built.SQL["stream_time_range"]).fetchall())

@@ -68,9 +68,15 @@ def sites(spark, sf):
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("chan"), (F.col("n_regionkey") * 56.0).alias("x"), (F.col("n_nationkey") * 65.0).alias("y"))
 
 
+def rounded(c, digits: int):
+    """Rounded half away from zero as the SQL twins do it: the product with the power of ten, not the shortest decimal."""
+    scale = 10.0**digits
+    return F.round((F.col(c) if isinstance(c, str) else c) * scale) / scale
+
+
 def r6(c):
     """Rounded for comparison; -0.0 becomes 0.0."""
-    return F.round(c, 6) + 0.0
+    return rounded(c, 6) + 0.0
 
 
 def q6(c: str) -> str:
@@ -93,7 +99,7 @@ def threshold_peak_counts(spark: SparkSession, sf: str) -> DataFrame:
     sig = signal(spark, sf)
     limits = D.thresholds(sig, ["chan"], mult=1.5, fixed=10.0)
     peaks = D.threshold_peaks(D.sharpness(sig, ["chan"]), limits, ["chan"])
-    return peaks.groupBy("chan").agg(F.count(F.lit(1)).alias("n_peaks"), F.round(F.sum("sharp"), 4).alias("total_sharp"))
+    return peaks.groupBy("chan").agg(F.count(F.lit(1)).alias("n_peaks"), rounded(F.sum("sharp"), 4).alias("total_sharp"))
 
 
 @query(f"""
@@ -113,7 +119,7 @@ def sharpness(spark, sf):
 @query("SELECT event_id, round_even(value / 0.195, 0)::INTEGER AS ad, round(round_even(value / 0.195, 0) * 0.195, 6) AS uv, round(round_even(value, 0) * (1e7 / (32768.0 * 10 * 100)), 6) AS gained FROM events")
 def unit_convert(spark, sf):
     ad = X.uv_to_ad(F.col("value"), 0.195)
-    return table(spark, sf, "events").select("event_id", ad.alias("ad"), F.round(X.ad_to_uv(F.rint(F.col("value") / 0.195), 0.195), 6).alias("uv"), F.round(X.gain_converter(F.rint("value"), 10, 100), 6).alias("gained"))
+    return table(spark, sf, "events").select("event_id", ad.alias("ad"), rounded(X.ad_to_uv(F.rint(F.col("value") / 0.195), 0.195), 6).alias("uv"), rounded(X.gain_converter(F.rint("value"), 10, 100), 6).alias("gained"))
 
 
 @query("SELECT event_id, round_even(value, 0)::BIGINT AS r, floor(value)::BIGINT AS f, ceil(value)::BIGINT AS c FROM events")
@@ -133,7 +139,7 @@ def string_helpers(spark, sf):
 @query("SELECT event_id, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') AS us, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 86400000000.0, 6) AS days FROM events")
 def durations(spark, sf):
     zero = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    return table(spark, sf, "events").select("event_id", X.duration_us(F.col("ts"), zero).alias("us"), F.round(X.duration_days(F.col("ts"), zero), 6).alias("days"))
+    return table(spark, sf, "events").select("event_id", X.duration_us(F.col("ts"), zero).alias("us"), rounded(X.duration_days(F.col("ts"), zero), 6).alias("days"))
 
 
 @query("SELECT n_nationkey, printf('#%02X%02X%02X', n_nationkey, n_regionkey * 50, 255 - n_nationkey) AS hex, n_nationkey AS red, (255 - n_nationkey)::INTEGER AS blue FROM nation")
@@ -146,7 +152,7 @@ def colours(spark, sf):
 @query("SELECT vec_id, round(exp(-power(embedding[1]::DOUBLE - 0.5, 2) / (2 * 0.25)), 6) AS g, round(1 / (1 + power((embedding[1]::DOUBLE - 0.5) / 0.5, 2)), 6) AS c FROM embeddings")
 def peak_models(spark, sf):
     x = F.col("embedding")[0].cast("double")
-    return table(spark, sf, "embeddings").select("vec_id", F.round(X.gaussian(x, 0.5, 0.5), 6).alias("g"), F.round(X.cauchy(x, 0.5, 0.5), 6).alias("c"))
+    return table(spark, sf, "embeddings").select("vec_id", rounded(X.gaussian(x, 0.5, 0.5), 6).alias("g"), rounded(X.cauchy(x, 0.5, 0.5), 6).alias("c"))
 
 
 @query(f"WITH {SIG} SELECT chan, ti, {q6('v')} AS v FROM sig WHERE ti >= 10 AND ti < 25")
@@ -268,7 +274,7 @@ def constant_edges(spark, sf):
 @query("SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda k: k * embedding[greatest(k - 3, 1)]::DOUBLE)), 4) + 0.0 AS right3, round(list_sum(list_transform(range(1, 65), lambda k: k * embedding[least(k + 2, 64)]::DOUBLE)), 4) + 0.0 AS left2 FROM embeddings")
 def shift_padded(spark, sf):
     w = F.col("embedding").cast("array<double>")
-    total = lambda a: F.round(F.aggregate(F.transform(a, lambda x, k: x * (k + 1)), F.lit(0.0), lambda s, x: s + x), 4) + 0.0
+    total = lambda a: rounded(F.aggregate(F.transform(a, lambda x, k: x * (k + 1)), F.lit(0.0), lambda s, x: s + x), 4) + 0.0
     return table(spark, sf, "embeddings").select("vec_id", total(S.shift_padded(w, 3)).alias("right3"), total(S.shift_padded(w, -2)).alias("left2"))
 
 
@@ -315,7 +321,7 @@ def threshold_dynamic(spark, sf):
 
 @query(f"WITH {SITES} SELECT a.chan AS a, b.chan AS b, round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), 6) AS d FROM sites a, sites b")
 def distance_matrix(spark, sf):
-    return D.distances(sites(spark, sf)).select("a", "b", F.round("d", 6).alias("d"))
+    return D.distances(sites(spark, sf)).select("a", "b", rounded("d", 6).alias("d"))
 
 
 @query(f"WITH {SITES} SELECT a.chan, array_to_string(list(b.chan ORDER BY b.chan), ',') AS nbhd FROM sites a, sites b WHERE sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 200 GROUP BY a.chan")
@@ -611,22 +617,22 @@ def cluster_hist(spark, sf):
 p AS (SELECT (na / sa + CASE WHEN ma = 0 THEN 1e-10 ELSE 0 END) / (1 + CASE WHEN ma = 0 THEN 1e-9 ELSE 0 END) AS p, (nb / sb + CASE WHEN mb = 0 THEN 1e-10 ELSE 0 END) / (1 + CASE WHEN mb = 0 THEN 1e-9 ELSE 0 END) AS q FROM hist, t)
 SELECT round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) / 2 + sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 6) AS js FROM p""")
 def js_divergence(spark, sf):
-    return M.jensen_shannon(M.two_histograms(_proj(spark, sf), "label", 0, 1, -4.0, 5.0, 10)).select(F.round("js", 6).alias("js"))
+    return M.jensen_shannon(M.two_histograms(_proj(spark, sf), "label", 0, 1, -4.0, 5.0, 10)).select(rounded("js", 6).alias("js"))
 
 
 @query(f"WITH {_PROJ} SELECT round(sum(least(na, nb)) / least(sum(na), sum(nb)), 6) AS oar FROM hist")
 def overlap_area(spark, sf):
-    return M.overlap_area(M.two_histograms(_proj(spark, sf), "label", 0, 1, -4.0, 5.0, 10)).select(F.round("oar", 6).alias("oar"))
+    return M.overlap_area(M.two_histograms(_proj(spark, sf), "label", 0, 1, -4.0, 5.0, 10)).select(rounded("oar", 6).alias("oar"))
 
 
 @query(f"WITH {_PROJ} SELECT round(abs(avg(pos) FILTER (label = 0) - avg(pos) FILTER (label = 1)) / (3 * greatest(stddev_pop(pos) FILTER (label = 0), stddev_pop(pos) FILTER (label = 1))), 6) AS sep FROM proj")
 def separation_1d(spark, sf):
-    return M.separation_1d(_proj(spark, sf), "label", 0, 1).select(F.round("sep", 6).alias("sep"))
+    return M.separation_1d(_proj(spark, sf), "label", 0, 1).select(rounded("sep", 6).alias("sep"))
 
 
 @query(f"WITH {PTS} SELECT round((36 / (8 * sqrt(3) - 9)) * power(avg(x * exp(-x * x / 2)), 2) + (24 / (16 * sqrt(3) - 27)) * power(avg(exp(-x * x / 2)) - sqrt(0.5), 2), 6) AS negentropy FROM pts")
 def negentropy(spark, sf):
-    return M.negentropy(points(spark, sf), "x").select(F.round("negentropy", 6).alias("negentropy"))
+    return M.negentropy(points(spark, sf), "x").select(rounded("negentropy", 6).alias("negentropy"))
 
 
 _NN = """p AS (SELECT vec_id, embedding FROM embeddings WHERE label = 0), o AS (SELECT vec_id, label, embedding FROM embeddings WHERE label IN (0, 1)),
@@ -643,4 +649,4 @@ def nn_membership(spark, sf):
 def nd_separation(spark, sf):
     e = table(spark, sf, "embeddings")
     n = M.nearest_membership(e, "label", "vec_id", "embedding", 0, 1)
-    return M.nd_separation(n, e.filter("label = 1").count()).select(F.round("separation", 6).alias("separation"))
+    return M.nd_separation(n, e.filter("label = 1").count()).select(rounded("separation", 6).alias("separation"))
