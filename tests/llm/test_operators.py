@@ -7,6 +7,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -533,6 +534,31 @@ def test_id_files(spark, odd, monkeypatch):
     assert id_files.read_ids(id_files.write_ids(docs.limit(0))).count() == 0
 
 
+def test_encoder_by_words():
+    """Words encoded many at a time give the library's ids, wherever white space stands; a small memo loses none."""
+    enc = id_files.Encoder(id_files.default_tokenizer(), memo=20)
+    odd = ["", None, " ", " a", "a ", "a  b", "a\n b", "a\nb c\n", "x\n\n", "<|endoftext|> a b", "a\u3000 b", "b c\u3000", "a\tb c\t", "it's don't", "\u00e9 \u6f22\u5b57", "a\x1c b", "c d\x0b", " \n"]
+    texts = [*odd, *[" ".join(f"w{k * j}" for j in range(k)) for k in range(60)]]
+    want = [e.ids for e in enc.lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for _ in range(2):
+        assert [x.tolist() for x in enc.texts(texts)] == want
+    assert [x.tolist() for x in enc.texts(pa.array(texts[::-1]))] == want[::-1]
+
+
+def test_blocks_learn_together():
+    """What one block shows, the others predict: blocks of the same random ids cost little beside one of them."""
+    ids = np.random.default_rng(5).integers(0, 50_000, (1, 1200)).astype(np.int32)
+    turned = np.concatenate([np.roll(ids, 40 * k, axis=1) for k in range(30)])
+    one, all_ = (sum(map(len, id_files.encode_blocks(x, 16))) for x in (ids, turned))
+    assert all_ < 0.3 * 30 * one
+    words = id_files.encode_blocks(turned, 16)
+    assert (id_files.decode_blocks(words, 1200, 16) == turned).all()
+    words[0] = words[0].copy()
+    words[0][3] ^= 1
+    with pytest.raises(ValueError, match="damaged"):
+        id_files.decode_blocks(words, 1200, 16)
+
+
 def test_id_file_damage(tmp_path):
     import pyarrow.fs as fs
 
