@@ -378,7 +378,7 @@ def read_file(f) -> Iterator[tuple[int, np.ndarray]]:
 
 #: White space beside a space, where parts of a text are not encoded apart; bytes of texts that are split at once.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
-_RUN = 16 << 20
+_RUN = 20 << 20
 #: Words of a piece that the library encodes at once.
 _PIECE = 200
 
@@ -461,7 +461,7 @@ class Encoder:
         named = words.dictionary_encode()
         place = named.indices.to_numpy()
         flat, start, size = self._distinct(named.dictionary)
-        start, size = start[place], size[place]
+        start, size = start.astype(np.int32)[place], size.astype(np.int32)[place]
         # no space comes before the first word of a text
         begin = words.take(pa.array(first[:-1])).dictionary_encode()
         own = self._encode(begin.dictionary.to_pylist())
