@@ -80,3 +80,28 @@ def test_pairs_come_in_order(spark):
     t = {r.sid: r.t for r in s.collect()}
     assert keys == sorted(keys) and {(r.ka, r.kb) for r in rows} == {(i, j) for i in range(0, 300, 2) for j in range(1, 300, 2) if -300 <= t[j] - t[i] < 300}
     assert len(rows) == len({(r.ka, r.kb) for r in rows})
+
+
+def test_files_of_dense_pairs_stay_small(spark, tmp_path):
+    """Buckets of thousands of rows on both sides: the ids of the right come again within a short stretch, not once a left row."""
+    s = spark.range(0, 5000, 1, 4).selectExpr("id * 7919 AS sid", "id % 50 * 20 AS t", "id div 50 % 2 AS side")
+    metrics.xcorr_pairs(s.filter("side = 0"), s.filter("side = 1"), 600).select("ka", "kb", "dt").write.parquet(str(tmp_path / "pairs"))
+    n = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert n == sum(50 * 50 for x in range(0, 1000, 20) for y in range(0, 1000, 20) if -600 <= y - x < 600)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.25 * n
+
+
+@pytest.mark.parametrize("chunk", [1, 8, 1000])
+def test_packed_pairs_are_all_pairs(spark, monkeypatch, chunk):
+    """Chunks of any length, many tasks, a key beside the time, nulls, a hot moment: the pairs of the plain join."""
+    monkeypatch.setattr(relational, "CHUNK", chunk)
+    monkeypatch.setattr(relational, "TASK_ROWS", 16)
+    rng = np.random.default_rng(chunk)
+    times = [int(t) for t in np.concatenate([rng.integers(-900, 900, 200), np.full(40, 77)])]
+    rows = [(None if k % 17 == 0 else t, None if k % 13 == 0 else k % 3, k) for k, t in enumerate(times)]
+    a = spark.createDataFrame(rows, "ta long, ga int, ka long").repartition(3)
+    b = a.selectExpr("ka AS kb", "ga AS gb", "ta AS tb")
+    for by in ([], [("ga", "gb")]):
+        got = relational.band_join(a, b, "ta", "tb", -100, 50, by, order=(["ta", "ka"], ["tb", "kb"]))
+        assert got.columns == ["ta", "ga", "ka", "kb", "gb", "tb"]
+        same(got, relational.band_join(a, b, "ta", "tb", -100, 50, by))
